@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary cut from a sample of its labelled rows. A text is
+Each language has a zstandard raw-content dictionary cut from a sample of its labelled rows. Texts are
+folded first: lower case, every run of ASCII characters other than letters one space. A folded text is
 compressed whole, in pieces of PIECE bytes, once with each language's dictionary; the language that makes
 it smallest is predicted, and the verdict is rejected where the runner-up is nearly as small.
 
@@ -20,9 +21,14 @@ from pyspark.sql import functions as F
 
 
 PIECE = 8192
-LEVEL = 3
+LEVEL = 5
 _LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
+_FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+
+
+def fold(text: str) -> bytes:
+    return b" " + b" ".join(text.lower().encode().translate(_FOLD).split()) + b" "
 
 
 def fit(labelled: DataFrame, rows_per_language: int = 400, dictionary_bytes: int = 98_304) -> dict[str, bytes]:
@@ -39,10 +45,10 @@ def fit(labelled: DataFrame, rows_per_language: int = 400, dictionary_bytes: int
         .collect()
     )
     ids = [r["doc_id"] for r in taken]
-    rows = usable.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring(F.lower("text"), 1, dictionary_bytes).alias("text")).distinct().orderBy("lang", "doc_id", "text").toLocalIterator() if ids else []
+    rows = usable.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, 2 * dictionary_bytes).alias("text")).distinct().orderBy("lang", "doc_id", "text").toLocalIterator() if ids else []
     texts: dict[str, list[bytes]] = {}
     for r in rows:
-        texts.setdefault(r["lang"], []).append(r["text"].encode())
+        texts.setdefault(r["lang"], []).append(fold(r["text"]))
     return {lang: _content(found, dictionary_bytes) for lang, found in texts.items()}
 
 
@@ -54,16 +60,16 @@ def _content(texts: list[bytes], most: int) -> bytes:
         if n >= share:
             break
         left -= n
-    return b"\n".join(t[:share].decode("utf-8", "ignore").encode() for t in texts)[:most]
+    return b"".join(t[:share] for t in texts)[:most]
 
 
 def sizes(text: bytes, coders: list[zstandard.ZstdCompressor]) -> list[int]:
-    """Compressed bytes of the whole text with each dictionary, above what the empty text costs."""
+    """Compressed bytes of the whole text with each dictionary."""
     pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
     return [sum(len(c.compress(p)) for p in pieces) for c in coders]
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.02) -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.005) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, lang_pred, score, rejected).
 
     score is the saving of the best language against the runner-up, scaled so that a saving of a quarter is
@@ -79,7 +85,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float
                 if text is None or not coders or not _LETTER.search(text):
                     labels.append(UNKNOWN), scores.append(0.0), out.append(True)
                     continue
-                found = sizes(text.lower().encode(), coders)
+                found = sizes(fold(text), coders)
                 best = min(range(len(found)), key=found.__getitem__)
                 second = min((n for i, n in enumerate(found) if i != best), default=None)
                 saving = 0.25 if second is None else 1 - found[best] / second

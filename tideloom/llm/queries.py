@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideloom.llm import langid, sharding, simhash
+from tideloom.llm import digests, langid, packing, sharding, simhash
 from tideloom.llm.common import table
 
 SHARD_BYTES = 64 * 1024 * 1024
@@ -27,6 +27,18 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(found).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null text counts as empty; the last document's next is the first."""
+    return digests.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null text: the end id alone. doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shard; shards hold SHARD_BYTES of text at most."""
     found = sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
@@ -34,7 +46,7 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_langid, op10_extendible_shards)}
+    return {f.__name__: f for f in (op1_simhash, op3_langid, op4_exact_digest, op6_kk_packing, op10_extendible_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
