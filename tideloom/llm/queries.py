@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideloom.llm import digests, langid, packing, sharding, simhash
+from tideloom.llm import digests, langid, mixing, packing, quality, sharding, simhash
 from tideloom.llm.common import table
 
 SHARD_BYTES = 64 * 1024 * 1024
@@ -19,6 +19,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op2_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document and the line labeller's verdict."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from rows that are not held out; predicts from the text alone."""
     docs = table(spark, sf_dir, "documents")
@@ -39,6 +45,12 @@ def op6_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a mixture that weighs sources by the square root of their blocks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs)
+
+
 def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shard; shards hold SHARD_BYTES of text at most."""
     found = sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
@@ -46,7 +58,7 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_langid, op4_exact_digest, op6_kk_packing, op10_extendible_shards)}
+    return {f.__name__: f for f in (op1_simhash, op2_crf_quality, op3_langid, op4_exact_digest, op6_kk_packing, op9_pfair_mix, op10_extendible_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
