@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideloom.llm import digests, langid, mixing, packing, quality, sharding, simhash
+from tideloom.llm import digests, langid, lm, mixing, packing, pii, quality, sharding, simhash
 from tideloom.llm.common import table
 
 SHARD_BYTES = 64 * 1024 * 1024
@@ -45,6 +45,18 @@ def op6_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null text is empty. n_* and base_sha256 are of the base spans; spans holds the added ones too."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
+def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram scores of every document against the counts of all; sums are rounded to six places."""
+    found = lm.score(table(spark, sf_dir, "documents"))
+    return found.withColumn("log_prob", F.round("log_prob", 6)).withColumn("score", F.round("score", 6))
+
+
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in a mixture that weighs sources by the square root of their blocks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -58,7 +70,7 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_crf_quality, op3_langid, op4_exact_digest, op6_kk_packing, op9_pfair_mix, op10_extendible_shards)}
+    return {f.__name__: f for f in (op1_simhash, op2_crf_quality, op3_langid, op4_exact_digest, op6_kk_packing, op7_weak_pii, op8_stupid_backoff, op9_pfair_mix, op10_extendible_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
