@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideloom.llm import digests, langid, lm, mixing, packing, pii, quality, sharding, simhash
+from tideloom.llm import digests, extraction, langid, lm, mixing, packing, pii, quality, sharding, simhash
 from tideloom.llm.common import table
 
 SHARD_BYTES = 64 * 1024 * 1024
@@ -38,6 +38,11 @@ def op4_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_lstm_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null html gives the empty text."""
+    return extraction.extract(table(spark, sf_dir, "pages"), extraction.fit())
+
+
 def op6_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null text: the end id alone. doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     import public_tokenizers
@@ -70,7 +75,7 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_crf_quality, op3_langid, op4_exact_digest, op6_kk_packing, op7_weak_pii, op8_stupid_backoff, op9_pfair_mix, op10_extendible_shards)}
+    return {f.__name__: f for f in (op1_simhash, op2_crf_quality, op3_langid, op4_exact_digest, op5_lstm_extraction, op6_kk_packing, op7_weak_pii, op8_stupid_backoff, op9_pfair_mix, op10_extendible_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
