@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import heapq
 import os
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,10 +33,20 @@ from tideloom.llm.common import binary, word_chunks
 MARK = b"\x01"
 _TAIL = b".,;:!?&*#$%|)"
 _CACHED_WORD = 64
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 1_000_000
 _STEP_BYTES = 1_000_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 def _core(word: bytes) -> tuple[bytes, ...]:
     core = word.rstrip(_TAIL)
     return (core, word[len(core) :]) if core != word and core[-1:].isalnum() else (word,)
@@ -59,24 +71,42 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        """The words' ids, encoded as one text with a mark between words; words that hold the mark go alone."""
-        plain = [w for w in words if MARK not in w]
+        """The words' ids. Words of Latin letters only, which normaliser and splitter leave as they are, go
+        straight to the merges; the others are encoded as one text with a mark between words, and words
+        that hold the mark alone."""
+        found: dict[bytes, bytes] = {}
+        merge = self.tokenizer.model.tokenize
+        for w in words:
+            if w.isalpha():
+                ids = [t.id for t in merge(w.decode("ascii"))]
+            elif self._plain(w):
+                ids = [t.id for t in merge(w.decode("latin-1").translate(_BYTE_LETTERS))]
+            else:
+                continue
+            found[w] = struct.pack(f"<{len(ids)}I", *ids)
+        plain = [w for w in words if w not in found and MARK not in w]
         text = f" {MARK.decode()} ".join([w.decode("utf-8") for w in plain])
         ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         at = np.flatnonzero(ids == self.mark)
         starts, ends, data = [0, *(4 * (at + 1)).tolist()], [*(4 * at).tolist(), 4 * len(ids)], ids.tobytes()
-        found = dict(zip(plain, [data[i:j] for i, j in zip(starts, ends, strict=True)], strict=True)) if plain else {}
+        if plain:
+            found |= zip(plain, [data[i:j] for i, j in zip(starts, ends, strict=True)], strict=True)
         for w in words:
-            if MARK in w:
+            if w not in found:
                 found[w] = np.array(self.tokenizer.encode(w.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
         return [found[w] for w in words]
 
+    @staticmethod
+    def _plain(word: bytes) -> bool:
+        text = word.decode("utf-8")
+        return text.isalpha() and max(text) < "\u0250" and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
     def texts(self, texts: list[bytes]) -> list[bytes]:
         parts = [list(word_chunks(t.lower())) for t in texts]
-        new = {w for chunks in parts for words in chunks for w in words}.difference(self.known)
+        every = set().union(*[words for chunks in parts for words in chunks])
+        new = every.difference(self.known)
         if len(self.known) + len(new) > _CACHE_WORDS:
-            self.known = {}
-            new = {w for chunks in parts for words in chunks for w in words}
+            self.known, new = {}, every
         here = dict(self.known) if any(len(w) > _CACHED_WORD for w in new) else self.known
         cut = {w: _core(w) for w in new}
         order = sorted({p for halves in cut.values() for p in halves}.difference(here))
