@@ -18,6 +18,7 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 PIECE = 8192
@@ -69,8 +70,8 @@ def sizes(text: bytes, coders: list[zstandard.ZstdCompressor]) -> list[int]:
     return [sum(len(c.compress(p)) for p in pieces) for c in coders]
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.005) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, lang_pred, score, rejected).
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.005, keep: list[str] | None = None) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, lang_pred, score, rejected); with `keep`, those columns of docs and the three.
 
     score is the saving of the best language against the runner-up, scaled so that a saving of a quarter is
     1; with one language only it is 1. rejected: the saving is under `least_margin`, or `und`.
@@ -80,8 +81,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float
     def make(batches):
         coders = [zstandard.ZstdCompressor(level=LEVEL, dict_data=_prepared(dictionaries[x]), write_content_size=False, write_checksum=False, write_dict_id=False) for x in langs]
         for batch in batches:
-            ids, labels, scores, out = batch.column(0), [], [], []
-            for text in batch.column(1).to_pylist():
+            labels, scores, out = [], [], []
+            for text in batch.column(0).to_pylist():
                 if text is None or not coders or not _LETTER.search(text):
                     labels.append(UNKNOWN), scores.append(0.0), out.append(True)
                     continue
@@ -90,10 +91,16 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float
                 second = min((n for i, n in enumerate(found) if i != best), default=None)
                 saving = 0.25 if second is None else 1 - found[best] / second
                 labels.append(langs[best]), scores.append(min(1.0, 4 * saving)), out.append(saving < least_margin)
-            yield pa.record_batch([ids, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
-
-    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return plain.mapInArrow(make, "doc_id long, lang_pred string, score double, rejected boolean")
+            made = [pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())]
+            fields = [f.with_name(f"c{i}") for i, f in enumerate(list(batch.schema)[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], schema=pa.schema([*fields, ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]))
+
+    carried = [docs["doc_id"].cast("long").alias("doc_id")] if keep is None else [docs[c] for c in keep]
+    plain = docs.select(docs["text"].alias("__text"), *carried)
+    fields = [T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(plain.schema.fields[1:])]
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    found = plain.mapInArrow(make, schema)
+    return found.toDF(*plain.columns[1:], "lang_pred", "score", "rejected")
 
 
 def _prepared(content: bytes) -> zstandard.ZstdCompressionDict:
