@@ -36,7 +36,7 @@ def tie_skips(events: DataFrame) -> DataFrame:
     """Counters of the strict rule: tied groups, pairs within them, and groups that a later event follows."""
     last = F.max("ts").over(Window.partitionBy("user_id"))
     groups = events.withColumn("__last", last).groupBy("user_id", "ts").agg(F.count("*").alias("n"), F.first("__last").alias("last")).where("n > 1")
-    return groups.agg(F.count("*").alias("tied_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("tied_pairs"), F.count_if("last > ts").alias("bridges"))
+    return groups.agg(F.count("*").alias("tied_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("tied_pairs"), F.count_if(F.col("last") > F.col("ts")).alias("bridges"))
 
 
 def tdig_edges(pairs: DataFrame) -> DataFrame:
