@@ -240,5 +240,4 @@ def _(spark, folder):
 )
 def _(spark, folder):
     events = event_interactions(spark, folder).withColumn("at", F.timestamp_seconds("ts"))
-    # Events exactly one gap apart share a session here and start one in session_window, hence the extra second.
-    return events.groupBy("user_id", F.session_window("at", "1801 seconds")).agg(F.min("ts").alias("first_ts"), F.count("*").alias("events")).select("user_id", "first_ts", "events")
+    return events.groupBy("user_id", F.session_window("at", "1800 seconds")).agg(F.min("ts").alias("first_ts"), F.count("*").alias("events")).select("user_id", "first_ts", "events")
