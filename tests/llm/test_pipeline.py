@@ -6,7 +6,7 @@ import re
 
 import __spark_entry__
 import corpus_pipeline
-from tideloom.llm import langid, pii, simhash
+from tideloom.llm import langid, pii, similar
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -21,9 +21,10 @@ def test_stages_keep_their_contracts(spark, tmp_path):
         kept[name] = docs
         if name != "packing":
             assert docs.columns == source.columns
-    told = {r.doc_id: r for r in langid.predict(spark.read.parquet(f"{FOLDER}/documents.parquet"), langid.fit(spark.read.parquet(f"{FOLDER}/documents.parquet").where(~langid.held_out(spark.read.parquet(f"{FOLDER}/documents.parquet"))))).collect()}
+    first = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    told = {r.doc_id: r for r in langid.predict(first, langid.fit(first.where(~langid.held_out(first)))).collect()}
     assert {r.doc_id for r in kept["language"].collect()} == {i for i, r in told.items() if not r.rejected}
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(kept["language"], 5).collect()}
+    groups = {r.doc_id: r.component_id for r in similar.near_copies(kept["language"]).collect()}
     assert {r.doc_id for r in kept["near_copies"].collect()} == set(groups.values())
     for r in kept["personal_data"].collect():
         assert not pii.base_spans(r.text) or r.text == before[r.doc_id].text

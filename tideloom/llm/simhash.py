@@ -112,18 +112,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataF
     return prints.join(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp")
 
 
-def keep_first(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
-    """One document of each near-duplicate group, with its columns: the one with the smallest doc_id.
-
-    Fingerprints here take five-word shingles. Rows that repeat the kept doc_id are repeats of it and go
-    too; rows without a doc_id cannot be told apart and stay.
-    """
+def keep_documents(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is kept, one for each; rows without a doc_id cannot be told apart and stay."""
     some = docs.where("doc_id is not null")
-    kept = near_duplicates(some, width, distance).where("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[some[c] for c in some.columns]))
     first = some.join(kept, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
     return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+def keep_first(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
+    """One document of each group of linked fingerprints, with its columns: the one of smallest doc_id."""
+    some = docs.where("doc_id is not null")
+    kept = near_duplicates(some, width, distance).where("doc_id = component_id").select("doc_id").distinct()
+    return keep_documents(docs, kept)
+
+
 def hex16(column: str):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
