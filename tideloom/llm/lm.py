@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from tideloom.llm.common import binary, map_batches, word_chunks
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_TOTAL = np.uint64(1)  # the key of the gram of no words, whose count is N
-_REQUEST = "bucket int, block int, size long, keys binary, counts binary"
+_REQUEST = "bucket int, block int, level int, total long, keys binary, counts binary"
+_ANSWER = "block int, bucket int, level int, total long, counts binary"
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -55,7 +55,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """The grams of a block's texts. keys: distinct, sorted; places[k]: for each token the place in keys of the gram of k + 1 words that ends there, -1 where its document has none."""
+    """The grams of a block's texts, one order at a time so that one order's arrays are sorted at once.
+
+    keys[k]: distinct grams of k + 1 words, sorted; counts[k]: how often the block has them, copies included;
+    places[k]: for each token the place in keys[k] of the gram that ends there, -1 where its document has none.
+    """
 
     def __init__(self, texts: list[bytes], copies: np.ndarray, order: int):
         hashed = [np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)) for t in texts for words in [[w for chunk in word_chunks(t.lower()) for w in chunk]]]
@@ -63,60 +67,68 @@ class Grams:
         one = np.concatenate(hashed) if hashed else np.zeros(0, dtype=np.uint64)
         del hashed
         n = len(one)
-        within = np.arange(n) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        weight = np.repeat(copies, self.lengths).astype(np.float64)
-        levels, valid = [one], [np.ones(n, dtype=bool)]
-        for k in range(1, order):
-            before = np.concatenate([[np.uint64(0)], levels[-1][:-1]]) if n else levels[-1]
-            levels.append(_mixed(before * _MIX + one + np.uint64(k)))
-            valid.append(within >= k)
-        flat = np.concatenate([g[v] for g, v in zip(levels, valid, strict=True)] + [np.array([_TOTAL])])
-        del levels
-        self.keys, inverse = np.unique(flat, return_inverse=True)
-        del flat
-        heavy = np.concatenate([weight[v] for v in valid] + [np.array([weight.sum()])])
-        self.counts = np.bincount(inverse, weights=heavy, minlength=len(self.keys)).astype(np.uint64)
-        self.total = int(inverse[-1])
-        self.places, at = [], 0
-        for v in valid:
-            place = np.full(n, -1, dtype=np.int64)
-            m = int(v.sum())
-            place[v] = inverse[at : at + m]
-            at += m
-            self.places.append(place)
+        self.total = int((copies * self.lengths).sum())
+        self.keys, self.counts, self.places = [], [], []
+        level, valid = one, np.ones(n, dtype=bool)
+        starts = np.cumsum(self.lengths)[:-1] if len(self.lengths) else np.zeros(0, dtype=np.int64)
+        first = np.zeros(n, dtype=bool)
+        first[0:1] = True
+        first[starts[starts < n]] = True
+        weight = np.repeat(copies, self.lengths) if copies.max(initial=1) > 1 else None
+        for k in range(order):
+            if k:
+                before = np.roll(level, 1)
+                before *= _MIX
+                before += one
+                before += np.uint64(k)
+                level = _mixed(before)
+                valid = np.roll(valid, 1) & ~first
+                del before
+            place = np.flatnonzero(valid).astype(np.int32)
+            if weight is None:
+                keys, inverse, counts = np.unique(level[valid], return_inverse=True, return_counts=True)
+            else:
+                keys, inverse = np.unique(level[valid], return_inverse=True)
+                counts = np.bincount(inverse, weights=weight[valid], minlength=len(keys))
+            spots = np.full(n, -1, dtype=np.int32)
+            spots[place] = inverse
+            self.keys.append(keys)
+            self.counts.append(counts.astype(np.uint64))
+            self.places.append(spots)
+            del inverse, counts, place
 
     def slices(self, bits: int):
-        """(bucket, from, to) of the keys by their leading bits."""
-        heads = (self.keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.keys), dtype=np.int64)
-        cuts = np.flatnonzero(np.diff(heads)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(heads)], strict=True):
-            if b > a:
-                yield int(heads[a]), a, b
-
-    def score(self, counts: np.ndarray, discount: float, min_count: int) -> list[tuple[int, float, list[int]]]:
+        """(order, bucket, from, to) of the keys by their leading bits."""
+        for k, keys in enumerate(self.keys):
+            heads = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), dtype=np.int32)
+            cuts = np.flatnonzero(np.diff(heads)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(heads)], strict=True):
+                if b > a:
+                    yield k, int(heads[a]), a, b
+
+    def score(self, counts: list[np.ndarray], total: int, discount: float, min_count: int) -> list[tuple[int, float, list[int]]]:
         """(words, log-probability, words scored by each order) of every text; counts are the corpus's, by place in keys."""
         n, order = int(self.lengths.sum()), len(self.places)
-        c = counts.astype(np.float64)
-        log_p, level = np.zeros(n), np.zeros(n, dtype=np.int64)
-        found = [np.where(p >= 0, c[p], 0.0) for p in self.places]
-        starts = np.zeros(n, dtype=np.int64)  # orders that the document's own beginning allows
+        log_p, level = np.zeros(n), np.zeros(n, dtype=np.int8)
+        allowed = np.zeros(n, dtype=np.int8)  # orders that the document's own beginning allows
         for p in self.places:
-            starts += p >= 0
-        open_ = np.ones(n, dtype=bool)
-        for k in range(order - 1, 0, -1):
-            hit = open_ & (found[k] >= min_count)
-            context = np.concatenate([[1.0], found[k - 1][:-1]]) if n else found[k - 1]
-            log_p[hit] = np.log(found[k][hit]) - np.log(context[hit])
+            allowed += p >= 0
+        waits = np.ones(n, dtype=bool)
+
+        def of(k: int) -> np.ndarray:
+            return np.where(self.places[k] >= 0, counts[k][self.places[k]], 0) if len(counts[k]) else np.zeros(n)
+
+        for k in range(order - 1, -1, -1):
+            own = of(k)
+            hit = waits & (own >= min_count) if k else waits.copy()
+            context = np.roll(of(k - 1), 1) if k else np.full(n, max(total, 1))
+            log_p[hit] = np.log(own[hit]) - np.log(context[hit])
             level[hit] = k
-            open_ &= ~hit
-        log_p[open_] = np.log(found[0][open_]) - math.log(max(c[self.total], 1.0))
-        log_p += (starts - 1 - level) * math.log(discount)
+            waits &= ~hit
+        log_p += (allowed - 1 - level) * math.log(discount)
         ends = np.cumsum(self.lengths)
         tallies = [np.concatenate([[0], np.cumsum(level == k)]) for k in range(order)]
-        out = []
-        for a, b in zip((ends - self.lengths).tolist(), ends.tolist(), strict=True):
-            out.append((b - a, float(log_p[a:b].sum()), [int(t[b] - t[a]) for t in tallies]))
-        return out
+        return [(b - a, float(log_p[a:b].sum()), [int(t[b] - t[a]) for t in tallies]) for a, b in zip((ends - self.lengths).tolist(), ends.tolist(), strict=True)]
 
 
 def _texts(block: pa.Table) -> tuple[list[str], list[bytes], np.ndarray]:
@@ -131,7 +143,7 @@ def _texts(block: pa.Table) -> tuple[list[str], list[bytes], np.ndarray]:
     return order, [unpack.decompress(packed[d]) for d in order], np.array([copies[d] for d in order], dtype=np.int64)
 
 
-def score(docs: DataFrame, order: int = 3, discount: float = 0.4, min_count: int = 2, block_bytes: int = 20_000_000, bucket_bytes: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, discount: float = 0.4, min_count: int = 2, block_bytes: int = 16_000_000, bucket_bytes: int = 8_000_000) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_words, log_prob, score, and n_order1 .. words scored by each order); score is log_prob / n_words."""
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -153,40 +165,58 @@ def score(docs: DataFrame, order: int = 3, discount: float = 0.4, min_count: int
         return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "digest", "packed", "copies"])
 
     def request(block: pa.Table) -> pa.Table:
+        """The block's grams by order and bucket, and its number of words, which goes to every block through bucket 0."""
         _, texts, copies = _texts(block)
         grams = Grams(texts, copies, order)
         name = block.column("block")[0].as_py()
-        rows = [(b, name, z - a, _pack(np.diff(grams.keys[a:z], prepend=np.uint64(0))), _pack(grams.counts[a:z])) for b, a, z in grams.slices(bits)]
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "size", "keys", "counts"])
+        rows = [(b, name, k, 0, _pack(np.diff(grams.keys[k][a:z], prepend=np.uint64(0))), _pack(grams.counts[k][a:z])) for k, b, a, z in grams.slices(bits)]
+        rows.append((0, name, -1, grams.total, b"", b""))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "level", "total", "keys", "counts"])
 
     def count(bucket: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_unpack(k), dtype=np.uint64) for k in bucket.column("keys").to_pylist()]
-        own = [_unpack(c) for c in bucket.column("counts").to_pylist()]
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inverse, weights=np.concatenate(own).astype(np.float64)).astype(np.uint64)
-        answers, at = [], 0
-        for k in keys:
-            answers.append(_pack(sums[inverse[at : at + len(k)]]))
-            at += len(k)
-        return pa.table([bucket.column("block"), bucket.column("bucket"), pa.chunked_array([pa.array(answers, pa.binary())])], names=["block", "bucket", "counts"])
+        levels, answers, totals = bucket.column("level").to_pylist(), [b""] * bucket.num_rows, [0] * bucket.num_rows
+        n = sum(bucket.column("total").to_pylist())
+        packed, own = bucket.column("keys"), bucket.column("counts")
+        for level in sorted(set(levels)):
+            rows = [i for i, x in enumerate(levels) if x == level]
+            if level < 0:
+                for i in rows:
+                    totals[i] = n
+                continue
+            keys = [np.cumsum(_unpack(packed[i].as_py()), dtype=np.uint64) for i in rows]
+            sizes = [len(k) for k in keys]
+            _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            del keys
+            sums = np.bincount(inverse, weights=np.concatenate([_unpack(own[i].as_py()) for i in rows])).astype(np.uint64)
+            at = 0
+            for i, size in zip(rows, sizes, strict=True):
+                answers[i] = _pack(sums[inverse[at : at + size]])
+                at += size
+        return pa.table([bucket.column("block"), bucket.column("bucket"), bucket.column("level"), pa.chunked_array([pa.array(totals, pa.int64())]), pa.chunked_array([pa.array(answers, pa.binary())])], names=["block", "bucket", "level", "total", "counts"])
 
     names = ["digest", "n_words", "log_prob", *[f"n_order{k}" for k in range(1, order + 1)]]
 
     def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
+        kinds = [pa.string(), pa.int64(), pa.float64()] + [pa.int64()] * order
         if not block.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, [pa.string(), pa.int64(), pa.float64()] + [pa.int64()] * order, strict=True)})
+            return pa.table([pa.array([], k) for k in kinds], names=names)
         digests, texts, copies = _texts(block)
         grams = Grams(texts, copies, order)
-        known = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist(), strict=True))
-        counts = np.concatenate([_unpack(known[b]) for b, _, _ in grams.slices(bits)])
-        rows = [(d, n, p, *tally) for d, (n, p, tally) in zip(digests, grams.score(counts, discount, min_count), strict=True)]
-        kinds = [pa.string(), pa.int64(), pa.float64()] + [pa.int64()] * order
+        del texts
+        places = {(k, b): i for i, (k, b) in enumerate(zip(answers.column("level").to_pylist(), answers.column("bucket").to_pylist(), strict=True))}
+        told = answers.column("counts")
+        counts: list[list[np.ndarray]] = [[] for _ in range(order)]
+        for k, b, _, _ in grams.slices(bits):
+            counts[k].append(_unpack(told[places[k, b]].as_py()))
+        total = answers.column("total")[places[-1, 0]].as_py()
+        scores = grams.score([np.concatenate(c) if c else np.zeros(0, dtype=np.uint64) for c in counts], total, discount, min_count)
+        rows = [(d, n, p, *tally) for d, (n, p, tally) in zip(digests, scores, strict=True)]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     dealt = map_batches(plain.select("text"), deal, "block int, digest string, packed binary, copies long").repartition(blocks, "block")
     asked = dealt.groupBy("block").applyInArrow(request, _REQUEST)
-    told = asked.groupBy("bucket").applyInArrow(count, "block int, bucket int, counts binary")
+    told = asked.groupBy("bucket").applyInArrow(count, _ANSWER)
     tallies = ", ".join(f"n_order{k} long" for k in range(1, order + 1))
     scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, f"digest string, n_words long, log_prob double, {tallies}")
     named = plain.select("doc_id", F.sha2("text", 256).alias("digest"))
