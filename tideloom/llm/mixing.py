@@ -118,5 +118,11 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_doc
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs sorted into training order."""
-    return mix(docs, **options).orderBy("mix_position").select(*docs.columns)
+    """The rows of docs sorted into training order.
+
+    Places are worked out on ids and sources alone, so whole rows move twice: to meet their place and to be
+    sorted by it. Rows of the same doc_id and source share the first of their places.
+    """
+    places = mix(docs.select("doc_id", "source"), **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__from")).agg(F.min("mix_position").alias("__place"))
+    met = docs.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__from")))
+    return met.select(*docs.columns, "__place").orderBy("__place").select(*docs.columns)

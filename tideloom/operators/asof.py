@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideloom.operators.graph import strict_transitions
+from tideloom.operators.prep import numbered
 
 
 def running_counts(train: DataFrame) -> DataFrame:
@@ -89,9 +90,7 @@ def full_rank(cases: DataFrame, scores: DataFrame, items: DataFrame, seen: DataF
     The zero tail is counted and not listed: a target without score stands behind the scored items and the
     unscored, unseen items of smaller id. Nothing of size cases x items is made.
     """
-    ordered = items.select("item_id").distinct()
-    numbered = ordered.withColumn("__below", F.row_number().over(Window.orderBy("item_id")) - 1)
-    target = cases.select("event_id", "item_id").join(numbered, "item_id")
+    target = cases.select("event_id", "item_id").join(numbered(items.select("item_id").distinct(), ["item_id"], "__below"), "item_id")
     open_seen = seen.join(cases.select("event_id", F.col("item_id").alias("target")), "event_id").where("item_id <> target")
     live = scores.where("score > 0").withColumnRenamed("candidate_id", "item_id").join(open_seen.select("event_id", "item_id"), ["event_id", "item_id"], "left_anti")
     own = target.join(live, ["event_id", "item_id"], "left").select("event_id", F.col("item_id").alias("target"), "__below", F.coalesce("score", F.lit(0.0)).alias("own"))
@@ -99,3 +98,16 @@ def full_rank(cases: DataFrame, scores: DataFrame, items: DataFrame, seen: DataF
     hidden = own.select("event_id", "target").join(open_seen.select("event_id", "item_id").distinct(), "event_id", "left").groupBy("event_id").agg(F.count_if(F.col("item_id") < F.col("target")).alias("seen_below"))
     rank = F.when(F.col("own") > 0, F.col("ahead") + 1).otherwise(F.col("ahead") + F.col("__below") - F.col("scored_below") - F.col("seen_below") + 1)
     return own.join(above, "event_id").join(hidden, "event_id").select("event_id", F.col("target").alias("item_id"), rank.cast("long").alias("rank"))
+
+
+def popularity_rank(cases: DataFrame, counts: DataFrame, items: DataFrame, seen: DataFrame) -> DataFrame:
+    """The target's rank among unseen items by one global score: its place in the catalogue less the seen items before it.
+
+    counts(item_id, score). One ordering of the catalogue serves all cases; nothing of size cases x items is made.
+    """
+    scored = items.select("item_id").distinct().join(counts, "item_id", "left").select("item_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    placed = numbered(scored, [F.desc("score"), "item_id"], "__place").select("item_id", "__place")
+    target = cases.select("event_id", "item_id").join(placed, "item_id").select("event_id", F.col("item_id").alias("target"), F.col("__place").alias("__own"))
+    before = target.join(seen.select("event_id", "item_id").distinct().join(placed, "item_id"), "event_id", "left")
+    ahead = F.count_if((F.col("item_id") != F.col("target")) & (F.col("__place") < F.col("__own")))
+    return before.groupBy("event_id", "target", "__own").agg(ahead.alias("__ahead")).select("event_id", F.col("target").alias("item_id"), (F.col("__own") - F.col("__ahead") + 1).cast("long").alias("rank"))

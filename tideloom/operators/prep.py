@@ -74,33 +74,31 @@ def min_counts(interactions: DataFrame, user_min: int, item_min: int | None = No
     return kept.select(*interactions.columns)
 
 
-def dense_ids(frame: DataFrame, column: str, alias: str) -> DataFrame:
-    """Distinct values to 0-based ids in text order: (column, alias).
+def numbered(frame: DataFrame, order: Sequence[Column | str], alias: str) -> DataFrame:
+    """A 0-based number for each row in a total order.
 
-    The numbering is range-partitioned: ranks within a partition and the counts before it, so no task
-    holds the whole key set.
+    Rows are range-partitioned and numbered within partitions; the counts of the partitions before are
+    added. No task holds all rows, and the driver sees one count a partition.
     """
-    keys = frame.select(F.col(column)).where(F.col(column).isNotNull()).distinct()
-    ordered = cut(keys.repartitionByRange(F.col(column).cast("string")).withColumn("__p", F.spark_partition_id()))
+    ordered = cut(frame.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     counts = {r["__p"]: r["count"] for r in ordered.groupBy("__p").count().collect()}
     start, offsets = 0, {}
     for p in sorted(counts):
         offsets[p], start = start, start + counts[p]
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(F.col(column).cast("string")))
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
     offset = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])[F.col("__p")] if offsets else F.lit(0)
-    return ordered.select(column, (within - 1 + offset).cast("long").alias(alias))
+    return ordered.withColumn(alias, (within - 1 + offset).cast("long")).drop("__p")
+
+
+def dense_ids(frame: DataFrame, column: str, alias: str) -> DataFrame:
+    """Distinct values to 0-based ids in text order: (column, alias)."""
+    keys = frame.select(F.col(column)).where(F.col(column).isNotNull()).distinct()
+    return numbered(keys, [F.col(column).cast("string")], alias)
 
 
 def event_ids(interactions: DataFrame, order: Sequence[str] = ("user_id", "ts", "item_id", "rating")) -> DataFrame:
-    """A 0-based id in the given total order, by range partitions and offsets."""
-    ordered = cut(interactions.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
-    counts = {r["__p"]: r["count"] for r in ordered.groupBy("__p").count().collect()}
-    start, offsets = 0, {}
-    for p in sorted(counts):
-        offsets[p], start = start, start + counts[p]
-    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    offset = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])[F.col("__p")] if offsets else F.lit(0)
-    return ordered.withColumn("event_id", (within - 1 + offset).cast("long")).drop("__p")
+    """A 0-based id in the given total order."""
+    return numbered(interactions, list(order), "event_id")
 
 
 def tie_stats(interactions: DataFrame) -> DataFrame:

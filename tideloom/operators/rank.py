@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideloom.functions.text import tokens
+from tideloom.operators.prep import numbered
 
 
 def top_k(scored: DataFrame, keys: Sequence[str], k: int, item: str = "item_id") -> DataFrame:
@@ -78,7 +79,7 @@ def sampled_candidates(cases: DataFrame, items: DataFrame, size: int, seed: int
     count = items.select("item_id").distinct().count()
     take = min(size, count)
     key = F.sha2(F.concat_ws("|", F.lit(seed), F.col("item_id")), 256)
-    ring = items.select("item_id").distinct().withColumn("place", F.row_number().over(Window.orderBy(key, "item_id")) - 1)
+    ring = numbered(items.select("item_id").distinct(), [key, "item_id"], "place")
     start = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "user_id", F.col("item_id")), 256), 1, 12), 16, 10).cast("long")
     drawn = cases.select("event_id", F.col("item_id").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(take - 1))).alias("i"), start.alias("s"))
     placed = drawn.withColumn("place", F.pmod(F.col("s") + F.col("i"), F.lit(count)).cast("long")).join(ring, "place")

@@ -212,8 +212,7 @@ def _seen(spark, folder):
 @register("popularity_full_ranking", sql.query(sql.EVENTS, sql.SPLIT, sql.CASES, _full_rank_sql("scores AS (SELECT event_id, item_id, n::DOUBLE AS score FROM cases_ids CROSS JOIN pop)").replace("seen AS", "cases_ids AS (SELECT event_id FROM cases), pop AS (SELECT item_id, count(*) AS n FROM loo WHERE split = 'train' GROUP BY 1), seen AS", 1), select=_PLACED))
 def _(spark, folder):
     cases = test_cases(spark, folder)
-    scores = cases.select("event_id").crossJoin(F.broadcast(rank.popularity(train_events(spark, folder)))).withColumnRenamed("item_id", "candidate_id")
-    return asof.full_rank(cases, scores, catalogue(spark, folder), _seen(spark, folder))
+    return asof.popularity_rank(cases, rank.popularity(train_events(spark, folder)), catalogue(spark, folder), _seen(spark, folder))
 
 
 @register(
