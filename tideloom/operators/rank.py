@@ -33,6 +33,15 @@ def markov(cases: DataFrame, last_items: DataFrame, edges: DataFrame, counts: Da
     return joined.withColumn("score", F.coalesce("count", F.lit(0)) + 1e-6 * F.coalesce("__pop", F.lit(0.0))).drop("count", "__pop", "source_id")
 
 
+def markov_top_k(last_items: DataFrame, edges: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+    """The best k items of the whole catalogue by markov(): no other item can be among them than targets of the last item and the k most popular."""
+    popular = counts.orderBy(F.desc("score"), "item_id").limit(k).select("item_id")
+    reached = last_items.select("user_id", F.col("item_id").alias("source_id")).join(edges.select("source_id", F.col("target_id").alias("item_id")), "source_id").select("user_id", "item_id")
+    cases = reached.union(last_items.select("user_id").crossJoin(F.broadcast(popular))).distinct()
+    scored = markov(cases, last_items, edges, counts).select("user_id", "item_id", F.round("score", 9).alias("score"))
+    return top_k(scored, ["user_id"], k)
+
+
 def transition_retriever(histories: DataFrame, edges: DataFrame, max_history: int = 5) -> DataFrame:
     """Summed transition counts from the last items to unseen targets: histories(user_id, items) -> (user_id, item_id, score)."""
     recent = histories.select("user_id", F.explode(F.slice("items", F.greatest(F.size("items") - max_history + 1, F.lit(1)), max_history)).alias("source_id"))
@@ -87,7 +96,11 @@ def sampled_candidates(cases: DataFrame, items: DataFrame, size: int, seed: int
     return others.union(cases.select("event_id", "item_id"))
 
 
-def pool(items: DataFrame, size: int, seed: int = 0) -> DataFrame:
+#: Items of a shared pool, as protocols that score every case against one pool bound it; small enough to broadcast.
+POOL = 1000
+
+
+def pool(items: DataFrame, size: int = POOL, seed: int = 0) -> DataFrame:
     """One shared pool: the first items of the catalogue in hash order."""
     return items.select("item_id").distinct().orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "item_id"), 256), "item_id").limit(size)
 

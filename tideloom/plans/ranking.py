@@ -46,10 +46,7 @@ _LAST = "last AS (SELECT user_id, item_id AS source_id FROM loo WHERE split = 'v
 def _(spark, folder):
     train = train_events(spark, folder)
     last = split_events(spark, folder).where("split = 'val'").select("user_id", "item_id")
-    counts = rank.popularity(train)
-    cases = last.select("user_id").crossJoin(F.broadcast(counts.select("item_id")))
-    scored = rank.markov(cases, last, graph.transition_edges(train), counts).select("user_id", "item_id", F.round("score", 9).alias("score"))
-    return rank.top_k(scored, ["user_id"], 10)
+    return rank.markov_top_k(last, graph.transition_edges(train), rank.popularity(train), 10)
 
 
 @register(
@@ -58,7 +55,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     events = split_events(spark, folder)
-    pairs = events.select("user_id").distinct().crossJoin(F.broadcast(rank.popularity(train_events(spark, folder)).select("item_id")))
+    pairs = events.select("user_id").distinct().crossJoin(F.broadcast(rank.pool(train_events(spark, folder))))
     return rank.top_k(rank.random_scores(pairs), ["user_id"], 5)
 
 
@@ -91,7 +88,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     train = train_events(spark, folder)
-    pairs = split_events(spark, folder).select("user_id").distinct().crossJoin(F.broadcast(train.select("item_id").distinct()))
+    pairs = split_events(spark, folder).select("user_id").distinct().crossJoin(F.broadcast(rank.pool(train)))
     return rounded(rank.evidence_scores(pairs, sequences.histories(train), graph.transition_edges(train), part_items(spark, folder)))
 
 
@@ -127,8 +124,9 @@ _DOT = "SELECT q.vec_id AS query_id, v.vec_id AS item_id, round(list_sum(list_tr
 def _(spark, folder):
     vectors = table(spark, folder, "embeddings")
     queries = vectors.where("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    pool = vectors.where("label = 1").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    return rank.top_k(rounded(rank.dot_scores(queries, pool)), ["query_id"], 5)
+    items = vectors.where("label = 1").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    pooled = items.join(rank.pool(items), "item_id", "left_semi")
+    return rank.top_k(rounded(rank.dot_scores(queries, pooled)), ["query_id"], 5)
 
 
 _STOP = "('a', 'an', 'and', 'by', 'for', 'from', 'in', 'item', 'movie', 'of', 'on', 'or', 'the', 'to', 'with')"
@@ -207,7 +205,7 @@ def _negatives(spark, folder):
     mine = events.where("split <> 'test'")
     previous = asof.sources_of(cases, mine, 1).select("event_id", "source_id")
     seen = asof.sources_of(cases, mine, 1 << 30).select("event_id", F.col("source_id").alias("item_id"))
-    grid = cases.select("event_id", F.col("item_id").alias("target")).crossJoin(F.broadcast(event_interactions(spark, folder).select("item_id").distinct())).where("item_id <> target").select("event_id", "item_id")
+    grid = cases.select("event_id", F.col("item_id").alias("target")).crossJoin(F.broadcast(rank.pool(event_interactions(spark, folder)))).where("item_id <> target").select("event_id", "item_id")
     eligible = grid.join(previous.select("event_id"), "event_id").join(seen, ["event_id", "item_id"], "left_anti")
     close = semantic.overlap_pairs(_index(spark, folder)).select(F.col("item_id").alias("source_id"), F.col("other_id").alias("item_id"), "shared")
     near = previous.join(close, "source_id").select("event_id", "item_id", F.col("shared").alias("overlap"))
