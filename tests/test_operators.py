@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.errors import PySparkException
 
-from tideloom.operators import asof, graph, metrics, models, prep, prompts, semantic, sequences, splits
+from tideloom.operators import asof, graph, metrics, models, perturb, prep, prompts, runs, semantic, sequences, splits
 from tideloom.sources import sinks, tables
 
 DAY = 86_400
@@ -174,3 +174,42 @@ def test_normalising_drops_with_reasons(spark):
     raw = spark.createDataFrame([("u", "", "i", "1700000000000"), (None, "p", "i", "5"), ("u", "p", "i", "x")], "user string, parent string, item string, ts string")
     found = prep.normalize_interactions(raw, ("user",), ("parent", "item"), ("ts",))
     assert [tuple(r) for r in found.collect()] == [("u", "i", 1_700_000_000, 1.0, None), (None, "p", 5, 1.0, "missing_user"), ("u", "p", None, 1.0, "missing_timestamp")]
+
+
+def test_times_are_swapped_by_ordinal(spark):
+    history = spark.createDataFrame([(1, 100 * DAY, t, i, i) for i, t in enumerate([10 * DAY, 20 * DAY, 80 * DAY, 95 * DAY])], "case_id long, case_ts long, ts long, event_id long, item_id long")
+    found = {r.item_id: r.swapped_ts // DAY for r in perturb.swap_far_and_near(history).collect()}
+    assert found == {0: 95, 1: 20, 2: 80, 3: 10}
+    dealt = perturb.random_times(history, 1).collect()
+    assert sorted(r.ts for r in dealt) == sorted(r.ts for r in history.collect()) and len(dealt) == 4
+
+
+def test_variants_of_a_history(spark):
+    frame = spark.createDataFrame([(1, list(range(8)))], "user_id long, items array<long>")
+    found = {r.variant: list(r["items"]) for r in perturb.variants(frame, recent=3).collect()}
+    assert found["reversed"] == list(range(7, -1, -1)) and found["recent_3"] == [5, 6, 7] and found["remove_recent_3"] == [0, 1, 2, 3, 4]
+    assert sorted(found["shuffled_seed_0"]) == list(range(8))
+
+
+def test_batches_fit_the_memory():
+    assert runs.fitting_batch(512, 1000, "float32", 512) == 512 and runs.fitting_batch(512, 1_000_000, "float32", 512) == 134
+    with pytest.raises(MemoryError):
+        runs.fitting_batch(1, 1_000_000, "float64", 1)
+
+
+def test_popularity_rank_equals_the_full_ranking(spark):
+    rng = random.Random(1)
+    items = rows(spark, [(i,) for i in range(30)], "item_id long")
+    counts = {i: float(rng.randrange(4)) for i in range(25)}
+    cases = [(e, 1, rng.randrange(30), 9) for e in range(12)]
+    seen = {(e, rng.randrange(30)) for e in range(12) for _ in range(6)}
+    found = {r.event_id: r["rank"] for r in asof.popularity_rank(rows(spark, cases), spark.createDataFrame(list(counts.items()), "item_id long, score double"), items, rows(spark, list(seen), "event_id long, item_id long")).collect()}
+    for e, _, target, _ in cases:
+        open_items = [i for i in range(30) if i == target or (e, i) not in seen]
+        assert found[e] == 1 + sorted(open_items, key=lambda i: (-counts.get(i, 0.0), i)).index(target)
+
+
+def test_command_line_lists_queries(capsys):
+    from tideloom.__main__ import main
+
+    assert main(["list"]) == 0 and "tdig_edges" in capsys.readouterr().out.split()
