@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideloom.functions.cuts import cut
 from tideloom.operators.graph import strict_transitions
 from tideloom.operators.prep import numbered
 
@@ -39,14 +40,19 @@ def retrieve(cases: DataFrame, labelled: DataFrame, source_items: int = 20, per_
     """As-of candidates of each case: (event_id, candidate_id, score, rank), seen items left out unless the target.
 
     A source's targets score their share of the source's transitions observed before the case; the best
-    `per_source` of each source merge by maximum; ties by id.
+    `per_source` of each source merge by maximum; ties by id. A transition's count is a step function of time,
+    so a case meets one step of each (source, target) and nothing is counted per case. The labelled events are cut: they feed the
+    transitions, the sources and the seen items.
     """
+    labelled = cut(labelled.select("event_id", "user_id", "item_id", "ts", "split"))
     train = labelled.where("split = 'train'")
-    known = strict_transitions(train).select("source_id", "target_id", "target_ts")
+    steps = strict_transitions(train).groupBy("source_id", "target_id", F.col("target_ts").alias("from_ts")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("source_id", "target_id").orderBy("from_ts")
+    known = steps.select("source_id", "target_id", "from_ts", F.lead("from_ts").over(w).alias("to_ts"), F.sum("n").over(w).alias("support"))
     mine = labelled.where("split <> 'test'").select("user_id", "item_id", "ts", "event_id")
     sources = sources_of(cases, mine, source_items)
     timed = sources.join(cases.select("event_id", F.col("ts").alias("case_ts")), "event_id")
-    found = timed.join(known, "source_id").where("target_ts < case_ts").groupBy("event_id", "source_id", "target_id").agg(F.count("*").alias("support"))
+    found = timed.join(known, "source_id").where("from_ts < case_ts and (to_ts is null or case_ts <= to_ts)").select("event_id", "source_id", "target_id", "support")
     share = F.col("support") / F.sum("support").over(Window.partitionBy("event_id", "source_id"))
     ranked = found.withColumn("score", share)
     w = Window.partitionBy("event_id", "source_id").orderBy(F.desc("score"), "target_id")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideloom.functions.cuts import cut
 from tideloom.operators.sequences import gap_bucket, time_bucket
 
 GAP_BUCKETS = ("same_session", "within_1d", "within_1w", "within_1m", "long_gap")
@@ -42,11 +43,12 @@ def tie_skips(events: DataFrame) -> DataFrame:
 def tdig_edges(pairs: DataFrame) -> DataFrame:
     """Edge statistics: support, P(target|source), lift, PMI, asymmetry, times, mean gap and gap histogram.
 
-    Totals by source, target and reverse edge are aggregates of the edge table and not of the pairs, so the
-    pairs are shuffled once.
+    Totals by source, target and reverse edge are aggregates of the edge table and not of the pairs. The edge
+    table is cut, so the pairs are made and shuffled once for all four of its uses.
     """
     buckets = [F.count_if(gap_bucket(F.col("gap")) == b).alias(f"gap_{b}") for b in GAP_BUCKETS]
     edges = pairs.groupBy("source_id", "target_id").agg(F.count("*").alias("support"), F.min("target_ts").alias("first_ts"), F.max("target_ts").alias("last_ts"), F.avg("target_ts").alias("mean_ts"), F.avg("gap").alias("mean_gap"), *buckets)
+    edges = cut(edges)
     out = edges.groupBy("source_id").agg(F.sum("support").alias("__out"))
     into = edges.groupBy("target_id").agg(F.sum("support").alias("__in"))
     total = edges.agg(F.sum("support").alias("__all"))
