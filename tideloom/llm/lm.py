@@ -54,6 +54,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and each value's place among them; as np.unique, in half its memory."""
+    order = np.argsort(values, kind="stable").astype(np.int32)
+    ordered = values[order]
+    new = np.ones(len(values), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    keys = ordered[new]
+    del ordered
+    places = np.empty(len(values), dtype=np.int32)
+    places[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys, places
+
+
 class Grams:
     """The grams of a block's texts, one order at a time so that one order's arrays are sorted at once.
 
@@ -84,18 +97,14 @@ class Grams:
                 level = _mixed(before)
                 valid = np.roll(valid, 1) & ~first
                 del before
-            place = np.flatnonzero(valid).astype(np.int32)
-            if weight is None:
-                keys, inverse, counts = np.unique(level[valid], return_inverse=True, return_counts=True)
-            else:
-                keys, inverse = np.unique(level[valid], return_inverse=True)
-                counts = np.bincount(inverse, weights=weight[valid], minlength=len(keys))
+            keys, inverse = _ranked(level[valid])
+            counts = np.bincount(inverse, weights=None if weight is None else weight[valid], minlength=len(keys))
             spots = np.full(n, -1, dtype=np.int32)
-            spots[place] = inverse
+            spots[valid] = inverse
             self.keys.append(keys)
             self.counts.append(counts.astype(np.uint64))
             self.places.append(spots)
-            del inverse, counts, place
+            del inverse, counts
 
     def slices(self, bits: int):
         """(order, bucket, from, to) of the keys by their leading bits."""
@@ -186,7 +195,7 @@ def score(docs: DataFrame, order: int = 3, discount: float = 0.4, min_count: int
                 continue
             keys = [np.cumsum(_unpack(packed[i].as_py()), dtype=np.uint64) for i in rows]
             sizes = [len(k) for k in keys]
-            _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            _, inverse = _ranked(np.concatenate(keys))
             del keys
             sums = np.bincount(inverse, weights=np.concatenate([_unpack(own[i].as_py()) for i in rows])).astype(np.uint64)
             at = 0
