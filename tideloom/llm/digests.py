@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tideloom.llm.common import map_batches
 
 Digest = Callable[[bytes], str]
+MOST_BUCKETS = 10_000
 
 
 def canonical(text: str | None) -> bytes:
@@ -94,8 +95,8 @@ def fingerprint_edits(docs: DataFrame, digest: Digest = wide_digest, bits: int =
     exact fingerprints is 1 where the canonical bytes are equal and 0 elsewhere.
 
     Documents are dealt once, to buckets of consecutive doc_ids; the first document of a bucket goes to the
-    bucket before it too. Bucket bounds are quantiles and the first ids are one row a bucket, so what the
-    driver sees is in proportion to the number of tasks.
+    bucket before it too. Bucket bounds are quantiles and the first ids are one row a bucket; there are at most
+    MOST_BUCKETS, and a bucket is streamed, so neither the driver nor a task holds what grows with the input.
     """
     colliding = colliding_forms(docs, digest, bits)
     if not colliding.isEmpty():
@@ -113,7 +114,7 @@ def _bounds(ids: DataFrame, buckets: int) -> list[int]:
 def _edits(docs: DataFrame, digest: Digest, bucket_rows: int, keep_forms: bool) -> DataFrame:
     ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"))
     count = ids.count()
-    bounds = _bounds(ids.where("doc_id is not null"), max(1, -(-count // bucket_rows)))
+    bounds = _bounds(ids.where("doc_id is not null"), min(MOST_BUCKETS, max(1, -(-count // bucket_rows))))
 
     def bucket_of(values: pa.Array) -> np.ndarray:
         known = values.fill_null(0).to_numpy(zero_copy_only=False)
@@ -124,7 +125,8 @@ def _edits(docs: DataFrame, digest: Digest, bucket_rows: int, keep_forms: bool)
 
     heads = map_batches(ids, numbered, "bucket int, doc_id long").groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc_id"))).alias("head")).select("bucket", "head.doc_id").collect()
     order = sorted(r["bucket"] for r in heads)
-    head_of = {r["doc_id"]: order[order.index(r["bucket"]) - 1] for r in heads}
+    before = {bucket: order[i - 1] for i, bucket in enumerate(order)}
+    head_of = {r["doc_id"]: before[r["bucket"]] for r in heads}
 
     def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []

@@ -36,7 +36,8 @@ def fit(labelled: DataFrame, rows_per_language: int = 400, dictionary_bytes: int
     """labelled(doc_id, text, lang) -> each language's dictionary content.
 
     The first pass ranks doc_ids by hash within a language (a partial top-k on every task); the second reads
-    the chosen rows alone. Each chosen row adds an equal share of bytes, from its start.
+    the chosen rows alone. Each chosen row adds an equal share of bytes, from its start, and an eighth of the
+    dictionary (4096 characters at least) at most.
     """
     usable = labelled.where("lang is not null and text is not null and doc_id is not null")
     taken = (
@@ -46,7 +47,7 @@ def fit(labelled: DataFrame, rows_per_language: int = 400, dictionary_bytes: int
         .collect()
     )
     ids = [r["doc_id"] for r in taken]
-    rows = usable.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, 2 * dictionary_bytes).alias("text")).distinct().orderBy("lang", "doc_id", "text").toLocalIterator() if ids else []
+    rows = usable.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, max(4096, dictionary_bytes // 8)).alias("text")).distinct().orderBy("lang", "doc_id", "text").toLocalIterator() if ids else []
     texts: dict[str, list[bytes]] = {}
     for r in rows:
         texts.setdefault(r["lang"], []).append(fold(r["text"]))

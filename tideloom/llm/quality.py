@@ -5,8 +5,8 @@ scores the line and its neighbour, and Viterbi decoding labels the lines of a wh
 where the base rules pass and at least `least_content` of its words lie in content lines.
 
 The chain is fitted by maximum likelihood on a bounded sample of labelled documents: at most
-`rows_per_class` of each quality, those of least hash, at most `fit_lines` lines of each (limits of the fit;
-decoding takes every line). Lines of good documents are content. Lines of bad documents start as boilerplate; after
+`rows_per_class` of each quality, those of least hash, at most `fit_lines` lines and `fit_chars` characters of
+each (limits of the fit; decoding takes every line). Lines of good documents are content. Lines of bad documents start as boilerplate; after
 the first fit the lines that the chain itself reads as content are relabelled and it is fitted again. With no
 label of either quality there is no evidence against a line, and all lines are content.
 
@@ -200,7 +200,7 @@ def train(documents: list[list[list[int]]], labels: list[list[int]], rounds: int
     return Chain(*theta)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 400, fit_lines: int = 40) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 400, fit_lines: int = 40, fit_chars: int = 65_536) -> Chain:
     """docs(doc_id, text), labels(doc_id, quality) -> the chain, from a bounded sample."""
     chosen = (
         labels.select(labels["doc_id"], labels["quality"])
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 400, fit_lines
     quality = {r["doc_id"]: r["quality"] for r in chosen}
     if len(set(quality.values())) < 2:
         return Chain()
-    texts = docs.select(docs["doc_id"], docs["text"]).where(F.col("doc_id").isin(list(quality)) & F.col("text").isNotNull()).dropDuplicates(["doc_id"]).toLocalIterator()
+    texts = docs.select(docs["doc_id"], F.substring(docs["text"], 1, fit_chars).alias("text")).where(F.col("doc_id").isin(list(quality)) & F.col("text").isNotNull()).dropDuplicates(["doc_id"]).toLocalIterator()
     sample = sorted(((r["doc_id"], line_features(r["text"].encode())[0][:fit_lines]) for r in texts), key=lambda r: r[0])
     sample = [(i, lines) for i, lines in sample if lines]
     if len({quality[i] for i, _ in sample}) < 2:
