@@ -154,11 +154,9 @@ def edited_texts(seed, groups=12, copies=8):
     return out
 
 
-@pytest.mark.parametrize("bucket", [64, 4])
-def test_edited_copies_equal_all_pairs(spark, monkeypatch, bucket):
-    plain = similar.candidate_links
-    monkeypatch.setattr(similar, "candidate_links", lambda texts: plain(texts, bucket_pairs=bucket))
-    rows = list(enumerate(edited_texts(3)))
+@pytest.mark.parametrize(("groups", "copies"), [(12, 8), (2, 70)])
+def test_edited_copies_equal_all_pairs(spark, groups, copies):
+    rows = list(enumerate(edited_texts(3, groups, copies)))
     found = {r.doc_id: r.component_id for r in similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == slow_copies(rows)
 
