@@ -168,6 +168,15 @@ def test_large_clusters_link_by_their_bits(spark):
     assert sum(found[i] == truth[i] for i in truth) >= 0.8 * len(truth) and all(found[i] // 9 == i // 9 for i in found)
 
 
+@pytest.mark.parametrize("most", [2, 20])
+def test_large_clusters_equal_all_pairs(spark, most):
+    rng, passage = random.Random(8), words(random.Random(9), 150, 5000)
+    texts = edited_texts(3, 3, 30) + [passage + " " + words(rng, rng.randrange(20, 60), 5000) for _ in range(40)]
+    rows = list(enumerate(texts))
+    found = {r.doc_id: r.component_id for r in similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), cluster_texts=most).collect()}
+    assert found == slow_copies(rows)
+
+
 def test_near_copies_of_odd_and_no_rows(docs, empty):
     found = {r.doc_id: r.component_id for r in similar.near_copies(docs).collect()}
     assert found == slow_copies([(r.doc_id, r.text) for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()])
