@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
-from tideloom.operators import asof, graph, metrics, models, perturb, prep, prompts, runs, semantic, sequences, splits
+from tideloom.operators import asof, graph, metrics, models, perturb, prep, prompts, rank, runs, semantic, sequences, splits
 from tideloom.sources import sinks, tables
 
 DAY = 86_400
@@ -209,6 +210,19 @@ def test_popularity_rank_equals_the_full_ranking(spark):
         assert found[e] == 1 + sorted(open_items, key=lambda i: (-counts.get(i, 0.0), i)).index(target)
 
 
+def test_dot_products_search_every_item(spark, tmp_path):
+    from tideloom.plans import registry
+
+    vectors = np.random.default_rng(3).normal(size=(1400, 8))
+    frame = spark.createDataFrame([(i, int(i >= 20), v.tolist()) for i, v in enumerate(vectors)], "vec_id long, label int, embedding array<double>")
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    queries, items = (frame.where(f"label = {n}").selectExpr(f"vec_id AS {name}", "embedding AS vector") for n, name in ((0, "query_id"), (1, "item_id")))
+    scores = np.round(vectors[:20] @ vectors[20:].T, 6)
+    truth = sorted((q, 20 + int(i), n + 1) for q in range(20) for n, i in enumerate(np.lexsort((np.arange(1380), -scores[q]))[:5]))
+    for found in (registry.queries()["dot_product_topk"](spark, str(tmp_path)), rank.dot_top_k(queries, items, 5, 7, 100)):
+        assert sorted((r.query_id, r.item_id, r["rank"]) for r in found.collect()) == truth
+
+
 def test_command_line_lists_queries(capsys):
     from tideloom.__main__ import main
 

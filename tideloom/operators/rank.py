@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,7 +120,46 @@ def row_id(split: Column, user: Column, item: Column) -> Column:
     return F.concat_ws("|", split, user, item)
 
 
-def dot_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """queries(query_id, vector) x a bounded pool vectors(item_id, vector) -> dot products, in the JVM."""
-    product = F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return queries.select("query_id", F.col("vector").alias("q")).crossJoin(vectors.select("item_id", F.col("vector").alias("v"))).select("query_id", "item_id", product.alias("score"))
+def _best_of_blocks(queries: pa.Table, items: pa.Table, k: int) -> pa.Table:
+    """The best k items of a block for each query of a block. A sum takes its terms in the order of the places; scores have six places."""
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return np.array(table.column("vector").to_pylist(), dtype=np.float64).reshape(table.num_rows, -1)
+
+    kinds = {"query_id": pa.int64(), "item_id": pa.int64(), "score": pa.float64()}
+    if not queries.num_rows or not items.num_rows:
+        return pa.table([pa.array([], kind) for kind in kinds.values()], names=list(kinds))
+    items = items.sort_by("item_id")
+    ids, vectors = items.column("item_id").to_numpy(), np.ascontiguousarray(matrix(items).T)
+    asked, wanted = queries.column("query_id").to_numpy(), matrix(queries)
+    out = []
+    for at in range(0, len(asked), 128):
+        some = wanted[at : at + 128]
+        scores = np.zeros((len(some), len(ids)))
+        for d in range(some.shape[1]):
+            scores += some[:, d, None] * vectors[d]
+        scores = np.copysign(np.floor(np.abs(scores) * 1e6 + 0.5) / 1e6, scores)
+        scores[asked[at : at + 128, None] == ids] = -np.inf
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        out += [(asked[at + r], ids[c], scores[r, c]) for r in range(len(some)) for c in best[r] if scores[r, c] != -np.inf]
+    return pa.table([pa.array([row[i] for row in out], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+
+def dot_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_block: int = 1024, item_block: int = 4096) -> DataFrame:
+    """queries(query_id, vector) against all vectors(item_id, vector) -> the k other items of largest dot product.
+
+    Every block of queries meets every block of items in a task of its own, which returns the k best of each
+    query; these are merged by query. Rows sent: queries x item blocks and items x query blocks.
+    """
+
+    def dealt(frame: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
+        rows = frame.select(F.col(key).cast("long").alias(key), "vector")
+        blocks = -(-rows.count() // size) or 1
+        return rows.withColumn("mine", F.pmod(F.xxhash64(key), F.lit(blocks))), blocks
+
+    q, q_blocks = dealt(queries, "query_id", query_block)
+    v, v_blocks = dealt(vectors, "item_id", item_block)
+    q = q.select(F.col("mine").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(v_blocks - 1).cast("long"))).alias("v"), "query_id", "vector")
+    v = v.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))).alias("q"), F.col("mine").alias("v"), "item_id", "vector")
+    found = q.groupBy("q", "v").cogroup(v.groupBy("q", "v")).applyInArrow(lambda a, b: _best_of_blocks(a, b, k), "query_id long, item_id long, score double")
+    return top_k(found, ["query_id"], k)

@@ -125,8 +125,7 @@ def _(spark, folder):
     vectors = table(spark, folder, "embeddings")
     queries = vectors.where("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     items = vectors.where("label = 1").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    pooled = items.join(rank.pool(items), "item_id", "left_semi")
-    return rank.top_k(rounded(rank.dot_scores(queries, pooled)), ["query_id"], 5)
+    return rank.dot_top_k(queries, items, 5)
 
 
 _STOP = "('a', 'an', 'and', 'by', 'for', 'from', 'in', 'item', 'movie', 'of', 'on', 'or', 'the', 'to', 'with')"
