@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -223,6 +224,32 @@ def test_dot_products_search_every_item(spark, tmp_path):
         assert sorted((r.query_id, r.item_id, r["rank"]) for r in found.collect()) == truth
 
 
+def test_hard_negatives_read_every_item(spark):
+    rng = random.Random(6)
+    cases = [(e, e, rng.randrange(1500), 9) for e in range(6)]
+    seen = {(e, rng.randrange(1500)) for e in range(6) for _ in range(30)} | {(0, i) for i in range(1490, 1500)}
+    overlap = {(e, rng.randrange(1500)): rng.randrange(1, 4) for e in range(6) for _ in range(40)}
+    moved = {(e, rng.randrange(1500)): (rng.randrange(1, 5) / 8, 1) for e in range(6) for _ in range(40)}
+    counts = {i: 1 + i // 3 for i in range(1500) if i % 7}
+    keyed = lambda pairs: [(*k, *(v if isinstance(v, tuple) else (v,))) for k, v in pairs.items()]
+    found = semantic.hard_negatives(
+        rows(spark, cases),
+        spark.range(1500).withColumnRenamed("id", "item_id"),
+        rows(spark, list(seen), "event_id long, item_id long"),
+        rows(spark, keyed(overlap), "event_id long, item_id long, overlap long"),
+        rows(spark, keyed(moved), "event_id long, item_id long, score double, support long"),
+        rows(spark, list(counts.items()), "item_id long, popularity long"),
+    ).collect()
+    truth = set()
+    for e, _, target, _ in cases:
+        items = [i for i in range(1500) if i != target and (e, i) not in seen]
+        o, (s, n), p = (lambda i, e=e: overlap.get((e, i), 0)), ((lambda i, e=e, at=at: moved.get((e, i), (0, 0))[at]) for at in (0, 1)), lambda i: counts.get(i, 0)
+        close, next_to = [i for i in items if o(i)], [i for i in items if s(i)]
+        drawn = min(items, key=lambda i, e=e: (int(hashlib.sha256(f"0|{e}|{i}".encode()).hexdigest()[:12], 16), i))
+        truth.add((e, min(close, key=lambda i: (-o(i), n(i) > 0, s(i), -p(i), i)), min(next_to, key=lambda i: (-s(i), o(i), -n(i), i)), min(items, key=lambda i: (-p(i), i)), drawn))
+    assert {tuple(r) for r in found} == truth
+
+
 def test_command_line_lists_queries(capsys):
     from tideloom.__main__ import main
 

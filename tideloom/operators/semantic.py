@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideloom.functions.cuts import cut
 from tideloom.functions.text import item_tokens
+from tideloom.operators.prep import numbered
 
 
 def token_index(items: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -61,20 +63,36 @@ def random_key(seed: int, case: Column, item: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), case, item), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def hard_negatives(cases: DataFrame, eligible: DataFrame, semantic: DataFrame, moves: DataFrame, counts: DataFrame, seed: int = 0) -> DataFrame:
-    """For each case the semantic, transition, popularity and random hard negative among its eligible items.
+def popular_unseen(cases: DataFrame, seen: DataFrame, counts: DataFrame) -> DataFrame:
+    """(event_id, item_id) of the most popular item of counts(item_id, popularity) that is not among the case's seen(event_id, item_id).
 
-    eligible(event_id, item_id), semantic(event_id, item_id, overlap), moves(event_id, item_id, score, support), counts(event_id, item_id, popularity).
+    Its place in the order of popularity is the first that no seen item of the case takes.
     """
-    rows = eligible.join(semantic, ["event_id", "item_id"], "left").join(moves, ["event_id", "item_id"], "left").join(counts, ["event_id", "item_id"], "left").select("event_id", "item_id", F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("popularity", F.lit(0)).alias("popularity"))
-    key = random_key(seed, F.col("event_id"), F.col("item_id"))
+    placed = cut(numbered(counts.select("item_id", "popularity"), [F.desc("popularity"), "item_id"], "place").select("item_id", "place"))
+    taken = seen.select("event_id", "item_id").distinct().join(placed, "item_id")
+    run = taken.withColumn("r", F.row_number().over(Window.partitionBy("event_id").orderBy("place")) - 1).where("place = r").groupBy("event_id").agg(F.count("*").alias("place"))
+    return cases.select("event_id").join(run, "event_id", "left").select("event_id", F.coalesce("place", F.lit(0)).cast("long").alias("place")).join(placed, "place").select("event_id", "item_id")
+
+
+def hard_negatives(cases: DataFrame, items: DataFrame, seen: DataFrame, semantic: DataFrame, moves: DataFrame, counts: DataFrame, seed: int = 0) -> DataFrame:
+    """For each case the semantic, transition, popularity and random hard negative among all items but its target and its seen ones.
+
+    items(item_id), seen(event_id, item_id), semantic(event_id, item_id, overlap), moves(event_id, item_id, score, support),
+    counts(item_id, popularity). The first three come from the rows that semantic and moves have; only the random
+    one reads every pair of case and item, which are neither sent nor kept: each task holds the least key of a case.
+    """
+    taken = seen.select("event_id", "item_id").union(cases.select("event_id", "item_id")).distinct()
+    rows = semantic.join(moves, ["event_id", "item_id"], "full_outer").join(items.select("item_id").distinct(), "item_id", "left_semi").join(taken, ["event_id", "item_id"], "left_anti").join(counts, "item_id", "left")
+    rows = rows.select("event_id", "item_id", F.coalesce("overlap", F.lit(0)).alias("overlap"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("support", F.lit(0)).alias("support"), F.coalesce("popularity", F.lit(0)).alias("popularity"))
     least = lambda c, *o: F.min(F.when(c, F.struct(*o, F.col("item_id").alias("id"))))["id"]
-    return rows.groupBy("event_id").agg(
+    close = rows.groupBy("event_id").agg(
         least(F.col("overlap") > 0, (-F.col("overlap")).alias("a"), (F.col("support") > 0).alias("b"), F.col("score").alias("c"), (-F.col("popularity")).alias("d")).alias("semantic_negative"),
         least(F.col("score") > 0, (-F.col("score")).alias("a"), F.col("overlap").alias("b"), (-F.col("support")).alias("c")).alias("transition_negative"),
-        least(F.col("popularity") > 0, (-F.col("popularity")).alias("a")).alias("popularity_negative"),
-        least(F.lit(True), key.alias("a")).alias("random_negative"),
     )
+    popular = popular_unseen(cases, taken, counts).withColumnRenamed("item_id", "popularity_negative")
+    each = taken.groupBy("event_id").agg(F.collect_list("item_id").alias("taken")).crossJoin(items.select("item_id").distinct()).where(~F.array_contains("taken", F.col("item_id")))
+    drawn = each.groupBy("event_id").agg(least(F.lit(True), random_key(seed, F.col("event_id"), F.col("item_id")).alias("a")).alias("random_negative"))
+    return drawn.join(close, "event_id", "left").join(popular, "event_id", "left").select("event_id", "semantic_negative", "transition_negative", "popularity_negative", "random_negative")
 
 
 def stress_rates(rows: DataFrame) -> DataFrame:

@@ -204,13 +204,12 @@ def _negatives(spark, folder):
     mine = events.where("split <> 'test'")
     previous = asof.sources_of(cases, mine, 1).select("event_id", "source_id")
     seen = asof.sources_of(cases, mine, 1 << 30).select("event_id", F.col("source_id").alias("item_id"))
-    grid = cases.select("event_id", F.col("item_id").alias("target")).crossJoin(F.broadcast(rank.pool(event_interactions(spark, folder)))).where("item_id <> target").select("event_id", "item_id")
-    eligible = grid.join(previous.select("event_id"), "event_id").join(seen, ["event_id", "item_id"], "left_anti")
+    asked = cases.join(previous.select("event_id"), "event_id", "left_semi")
     close = semantic.overlap_pairs(_index(spark, folder)).select(F.col("item_id").alias("source_id"), F.col("other_id").alias("item_id"), "shared")
     near = previous.join(close, "source_id").select("event_id", "item_id", F.col("shared").alias("overlap"))
     moves = previous.join(train_edges(spark, folder), "source_id").select("event_id", F.col("target_id").alias("item_id"), F.col("transition_probability").alias("score"), "support")
-    counts = eligible.join(rank.popularity(train).select("item_id", F.col("score").cast("long").alias("popularity")), "item_id").select("event_id", "item_id", "popularity")
-    return semantic.hard_negatives(cases, eligible, near, moves, counts)
+    counts = rank.popularity(train).select("item_id", F.col("score").cast("long").alias("popularity"))
+    return semantic.hard_negatives(asked, event_interactions(spark, folder), seen.join(asked, "event_id", "left_semi"), near, moves, counts)
 
 
 @register(
