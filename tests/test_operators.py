@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
+import json
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -250,6 +253,24 @@ def test_hard_negatives_read_every_item(spark):
     assert {tuple(r) for r in found} == truth
 
 
+@pytest.mark.parametrize("name", ["random_rank", "evidence_scores", "window_rank_topk", "hard_negatives"])
+def test_more_than_a_thousand_items_equal_the_sql(spark, tmp_path, name):
+    from tideloom.plans import registry
+
+    rng, start = random.Random(7), datetime.datetime(2024, 1, 1)
+    events = [(e, start + datetime.timedelta(hours=5 * e), e % 5, "view", 1.0, json.dumps({"k": rng.randrange(1400)})) for e in range(2600)]
+    parts = [(i, f"cold widget n{i % 90}", f"Brand#{i % 7}", f"type {i % 4}", 1) for i in range(1400)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    for table in ("events", "part"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    answer = duck.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in answer.description]
+    found = registry.queries()[name](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(repr, (tuple(r) for r in found))) == sorted(map(repr, answer.fetchall()))
+
+
 def test_command_line_lists_queries(capsys):
     from tideloom.__main__ import main
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideloom.operators import sequences
+from tideloom.operators import rank, sequences
 
 DAY = 86_400
 
@@ -65,3 +65,13 @@ def window_rank(histories: DataFrame, candidates: DataFrame, edges: DataFrame, l
     recent = histories.select("user_id", F.explode(sequences.tail(F.col("items"), last)).alias("source_id"))
     scored = recent.join(candidates, "user_id").join(weights, ["source_id", "item_id"], "left")
     return scored.groupBy("user_id", "item_id").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("score"))
+
+
+def window_rank_top_k(histories: DataFrame, items: DataFrame, edges: DataFrame, k: int, last: int = 5) -> DataFrame:
+    """The best k of all items by window_rank(): no other item can be among them than those that an edge reaches and the k least ids, which lead the items without a weight."""
+    both = edges.select("source_id", F.col("target_id").alias("item_id")).union(edges.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("item_id"))).distinct()
+    users = histories.select("user_id")
+    reached = histories.select("user_id", F.explode(sequences.tail(F.col("items"), last)).alias("source_id")).join(both, "source_id").select("user_id", "item_id").join(items.select("item_id").distinct(), "item_id", "left_semi").select("user_id", "item_id")
+    first = items.select("item_id").distinct().orderBy("item_id").limit(k)
+    candidates = reached.union(users.crossJoin(F.broadcast(first))).distinct()
+    return rank.top_k(window_rank(histories, candidates, edges, last), ["user_id"], k)

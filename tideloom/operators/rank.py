@@ -29,6 +29,20 @@ def random_scores(cases: DataFrame, seed: int = 0) -> DataFrame:
     return cases.withColumn("score", F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48))
 
 
+def random_top_k(users: DataFrame, items: DataFrame, k: int, seed: int = 0, block: int = 1000) -> DataFrame:
+    """The best k of all items by random_scores() for each user.
+
+    Items are dealt into blocks by a hash; each user's k best of a block are merged, so pairs are neither sent nor kept.
+    """
+    whole = items.select("item_id").distinct()
+    blocks = -(-whole.count() // block) or 1
+    dealt = whole.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("item_id").alias("items"))
+    pairs = users.select("user_id").distinct().crossJoin(dealt)
+    digest = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "user_id", i), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    best = F.slice(F.array_sort(F.transform("items", lambda i: F.struct((-digest(i)).alias("s"), i.alias("item_id")))), 1, k)
+    return top_k(pairs.select("user_id", F.explode(best).alias("b")).select("user_id", "b.item_id", (-F.col("b.s")).alias("score")), ["user_id"], k)
+
+
 def markov(cases: DataFrame, last_items: DataFrame, edges: DataFrame, counts: DataFrame) -> DataFrame:
     """Transitions from the user's last item to each candidate, plus a millionth of its popularity."""
     joined = cases.join(last_items.select("user_id", F.col("item_id").alias("source_id")), "user_id", "left").join(edges.select("source_id", F.col("target_id").alias("item_id"), "count"), ["source_id", "item_id"], "left").join(counts.withColumnRenamed("score", "__pop"), "item_id", "left")
@@ -98,11 +112,7 @@ def sampled_candidates(cases: DataFrame, items: DataFrame, size: int, seed: int
     return others.union(cases.select("event_id", "item_id"))
 
 
-#: Items of a shared pool, as protocols that score every case against one pool bound it; small enough to broadcast.
-POOL = 1000
-
-
-def pool(items: DataFrame, size: int = POOL, seed: int = 0) -> DataFrame:
+def pool(items: DataFrame, size: int, seed: int = 0) -> DataFrame:
     """One shared pool: the first items of the catalogue in hash order."""
     return items.select("item_id").distinct().orderBy(F.sha2(F.concat_ws("|", F.lit(seed), "item_id"), 256), "item_id").limit(size)
 

@@ -107,8 +107,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     train = train_events(spark, folder)
-    pairs = train.select("user_id").distinct().crossJoin(F.broadcast(rank.pool(train)))
-    return rank.top_k(perturb.window_rank(sequences.histories(train), pairs, graph.window_edges(train, 86_400)), ["user_id"], 5)
+    return perturb.window_rank_top_k(sequences.histories(train), train, graph.window_edges(train, 86_400), 5)
 
 
 @register(

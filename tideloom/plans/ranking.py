@@ -55,8 +55,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     events = split_events(spark, folder)
-    pairs = events.select("user_id").distinct().crossJoin(F.broadcast(rank.pool(train_events(spark, folder))))
-    return rank.top_k(rank.random_scores(pairs), ["user_id"], 5)
+    return rank.random_top_k(events, train_events(spark, folder), 5)
 
 
 _RECENT = "recent AS (SELECT user_id, item_id AS source_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS p FROM loo WHERE split = 'train')"
@@ -88,7 +87,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     train = train_events(spark, folder)
-    pairs = split_events(spark, folder).select("user_id").distinct().crossJoin(F.broadcast(rank.pool(train)))
+    pairs = split_events(spark, folder).select("user_id").distinct().crossJoin(train.select("item_id").distinct())
     return rounded(rank.evidence_scores(pairs, sequences.histories(train), graph.transition_edges(train), part_items(spark, folder)))
 
 
