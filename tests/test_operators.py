@@ -271,6 +271,13 @@ def test_more_than_a_thousand_items_equal_the_sql(spark, tmp_path, name):
     assert sorted(map(repr, (tuple(r) for r in found))) == sorted(map(repr, answer.fetchall()))
 
 
+def test_resampling_takes_a_thousand_rounds(spark):
+    from tideloom.plans import registry
+
+    found = [r.p_randomization * 1001 for r in registry.queries()["paired_resampling"](spark, "/root/testdata/sf0.001").collect()]
+    assert found and found == pytest.approx([round(p) for p in found], abs=1e-6)
+
+
 def test_command_line_lists_queries(capsys):
     from tideloom.__main__ import main
 

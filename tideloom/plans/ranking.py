@@ -350,7 +350,7 @@ def _halves(spark, folder):
 
 @register("paired_resampling")
 def _(spark, folder):
-    return stats.resampled(_halves(spark, folder).withColumn("row", F.xxhash64("user_id")), ["domain"], 200)
+    return stats.resampled(_halves(spark, folder).withColumn("row", F.xxhash64("user_id")), ["domain"])
 
 
 @register(
