@@ -359,8 +359,8 @@ def test_words_give_the_ids_of_whole_texts(vocabulary):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(vocabulary)
-    plain.encode_special_tokens = True
     texts = [t or "" for t in odd_texts()] + ["don't I'LL 'S!! a.b x1. É. é. \x01 a\x01b 漢字、かな <|endoftext|> ΑΣ İ ﬁ", "́ x"]
+    texts += ["a<|endoftext|>b", "<|startoftext|><|endoftext|>", "e<|endoftext|>\u0301 <|ENDOFTEXT|> <|EndOfText|>x", " <|endoftext|> end <|endoftext|", "don<|startoftext|>'t"]
     encoder = packing.WordEncoder(vocabulary)
     for t, got in zip(texts, encoder.texts([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids

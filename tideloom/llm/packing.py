@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -59,6 +60,9 @@ class WordEncoder:
     words; the words of a batch that are new are encoded together. ASCII letters are lowered first, as the
     vocabulary's own normaliser does. A run of ASCII punctuation behind an ASCII letter or digit is always a
     piece of its own there, so a new word's core and tail are looked up apart.
+
+    The vocabulary's special tokens, where a text holds their strings, cut it before anything is normalised;
+    what stands between them is encoded on its own.
     """
 
     def __init__(self, path: str):
@@ -66,7 +70,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = {content: struct.pack("<I", i) for content, i in special.items()}
+        self.cuts = re.compile(b"(" + b"|".join(map(re.escape, sorted(special, key=len, reverse=True))) + b")") if special else None
+        self.tokenizer.encode_special_tokens = True  # words hold none of them as such any more
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.known: dict[bytes, bytes] = {}
 
@@ -102,6 +109,13 @@ class WordEncoder:
         return text.isalpha() and max(text) < "\u0250" and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
+        if self.cuts and any(map(self.cuts.search, texts)):
+            split = [self.cuts.split(t) for t in texts]
+            between = iter(self._plain_texts([part for parts in split for part in parts[::2]]))
+            return [b"".join([self.special[part] if i % 2 else next(between) for i, part in enumerate(parts)]) for parts in split]
+        return self._plain_texts(texts)
+
+    def _plain_texts(self, texts: list[bytes]) -> list[bytes]:
         parts = [list(word_chunks(t.lower())) for t in texts]
         every = set().union(*[words for chunks in parts for words in chunks])
         new = every.difference(self.known)
