@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -347,6 +348,65 @@ def test_extraction_of_odd_and_no_rows(spark, labeller):
     assert extraction.extract(pages.where("false"), labeller).count() == 0
 
 
+def loss(model, x, mask, y):
+    prob = np.clip(model.forward(x, mask)[0].astype(np.float64), 1e-9, 1 - 1e-9)
+    return -float(((y * np.log(prob) + (1 - y) * np.log(1 - prob)) * mask).sum() / mask.sum())
+
+
+def test_gradients_equal_finite_differences():
+    rng, model = np.random.default_rng(3), extraction.Labeller(1)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, mask = rng.random((3, 6, extraction.INPUT)), np.array([[1] * 6, [1] * 4 + [0] * 2, [1] + [0] * 5], dtype=bool)
+    y = (rng.random((3, 6)) < 0.5).astype(np.float64)
+    found = model.gradients(x, mask, y)
+    for name, value in model.p.items():
+        for at in rng.choice(value.size, min(6, value.size), replace=False):
+            spot, step = np.unravel_index(at, value.shape), 1e-4
+            kept = value[spot]
+            value[spot] = kept + step
+            above = loss(model, x, mask, y)
+            value[spot] = kept - step
+            below = loss(model, x, mask, y)
+            value[spot] = kept
+            assert found[name][spot] == pytest.approx((above - below) / (2 * step), abs=2e-5)
+
+
+def test_forward_equals_a_scalar_loop():
+    rng, model, size = np.random.default_rng(4), extraction.Labeller(2), extraction.HIDDEN
+    x = rng.random((1, 5, extraction.INPUT)).astype(np.float32)
+    states = {}
+    for d, order in (("f", range(5)), ("b", range(4, -1, -1))):
+        h, c = [0.0] * size, [0.0] * size
+        for t in order:
+            g = [float(model.p[f"c{d}"][j]) + sum(float(x[0, t, a]) * float(model.p[f"w{d}"][a, j]) for a in range(extraction.INPUT)) + sum(h[a] * float(model.p[f"u{d}"][a, j]) for a in range(size)) for j in range(4 * size)]
+            gate = [1 / (1 + math.exp(-v)) for v in g[: 3 * size]]
+            c = [gate[size + j] * c[j] + gate[j] * math.tanh(g[3 * size + j]) for j in range(size)]
+            h = [gate[2 * size + j] * math.tanh(c[j]) for j in range(size)]
+            states[d, t] = h
+    for t in range(5):
+        z = float(model.p["oc"][0]) + sum(float(w) * v for w, v in zip(model.p["o"], states["f", t] + states["b", t], strict=True))
+        assert model.forward(x, np.ones((1, 5), bool))[0][0, t] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+
+
+@pytest.mark.parametrize(("page", "count"), [("<div>x" * 100_000, 100_000), ("<div>" * 100_000 + "x</p>" * 100_000, 100_000), ("<b>" * 50_000 + "<li>x" * 50_000, 50_000), ("<div><b>" * 50_000 + "</b>x" * 50_000, 1)])
+def test_hostile_nesting_takes_linear_time(page, count):
+    began = time.perf_counter()
+    found = htmlblocks.blocks(page)
+    assert len(found) == count and time.perf_counter() - began < 5
+    assert extraction.vector(found[-1]).shape == (extraction.INPUT,)
+
+
+def test_the_whole_path_and_all_words_count():
+    def last(page):
+        return extraction.vector(htmlblocks.blocks(page)[-1])
+
+    deep = "<div>" * 40
+    assert not np.allclose(last(f'<div class="comments">{deep}x'), last(f'<div class="article">{deep}x'))
+    wordy = " ".join(f"w{i}" for i in range(9))
+    assert not np.allclose(last(f'<div class="{wordy} footer">x'), last(f'<div class="{wordy} story">x'))
+    assert not np.allclose(last("<p>" + "a " * 300 + "b"), last("<p>" + "a " * 300 + "c"))
+
+
 # --- op6
 
 

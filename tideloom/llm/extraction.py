@@ -1,8 +1,9 @@
 """Main text of HTML pages by a recurrent block labeller.
 
-A page is a sequence of leaf blocks. A block's vector holds its tag path (element names and class, id and
-role words, hashed), its words (hashed, as shares) and a few measures; a bidirectional LSTM written in numpy
-reads the whole sequence both ways, so each block is classified with all of the page before and after it.
+A page is a sequence of leaf blocks. A block's vector holds its whole tag path (element names and class, id
+and role words, hashed, outer ones fainter), all its words (hashed, as shares) and a few measures; a
+bidirectional LSTM written in numpy reads the whole sequence both ways, so each block is classified with all
+of the page before and after it.
 Blocks of the article are joined in page order.
 
 The network is trained here, from seed, on pages made by `training_pages`: random layouts of articles among
@@ -23,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tideloom.llm.htmlblocks import Block, blocks
+from tideloom.llm.htmlblocks import Block, Node, blocks
 
 PATHS, WORDS, MEASURES = 96, 48, 8
+NEARNESS = 0.9
 INPUT = PATHS + WORDS + MEASURES
 HIDDEN = 16
 
@@ -35,15 +37,26 @@ def _cell(word: str, size: int) -> int:
     return zlib.crc32(word.encode()) % size
 
 
+def path_vector(node: Node | None) -> np.ndarray:
+    """The hashed names and words of an element and all it stands in, each step out weighing NEARNESS times the last."""
+    chain = []
+    while node is not None and node.memo is None:
+        chain.append(node)
+        node = node.parent
+    x = np.zeros(PATHS, dtype=np.float32) if node is None else node.memo
+    for node in reversed(chain):
+        x = x * NEARNESS
+        x[[_cell(part, PATHS) for part in (node.name, *node.words)]] = 1.0
+        node.memo = x
+    return x
+
+
 def vector(block: Block) -> np.ndarray:
     x = np.zeros(INPUT, dtype=np.float32)
-    for i, part in enumerate(reversed(block.path[-24:])):
-        at = _cell(part, PATHS)
-        x[at] = max(x[at], 1.0 if i < 6 else 0.7)
+    x[:PATHS] = path_vector(block.node)
     words = block.text.lower().split()
-    for w in words[:: max(1, len(words) // 64)]:
-        x[PATHS + _cell(w.strip(".,:;!?()\"'"), WORDS)] += 1
-    x[PATHS : PATHS + WORDS] /= max(1.0, x[PATHS : PATHS + WORDS].sum())
+    counts = np.bincount([_cell(w.strip(".,:;!?()\"'"), WORDS) for w in words], minlength=WORDS)
+    x[PATHS : PATHS + WORDS] = counts / max(1, len(words))
     n, size = len(words), max(1, len(block.text))
     x[PATHS + WORDS :] = (
         min(1.0, math.log1p(n) / 6),
@@ -52,8 +65,8 @@ def vector(block: Block) -> np.ndarray:
         block.text[-1:] in ".!?\"",
         n > 12,
         "©" in block.text,
-        block.path[-1:] == ["p"],
-        len(block.path) / 24,
+        block.node is not None and block.node.name == "p",
+        min(1.0, block.node.depth / 12 if block.node else 0.0),
     )
     return x
 
@@ -71,62 +84,59 @@ class Labeller:
         self.p["o"] = (rng.standard_normal(2 * HIDDEN) * 0.2).astype(np.float32)
         self.p["oc"] = np.zeros(1, dtype=np.float32)
 
-    def _run(self, z: np.ndarray, mask: np.ndarray, d: str, keep: bool):
-        """z: (pages, steps, 4 HIDDEN), already in reading order. States are held where the mask is off."""
-        n, steps, _ = z.shape
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-        states, kept = np.zeros((n, steps, HIDDEN), np.float32), []
+    def _both(self, name: str) -> np.ndarray:
+        return np.stack([self.p[f"{name}f"], self.p[f"{name}b"]])
+
+    def _run(self, x: np.ndarray, mask: np.ndarray, keep: bool):
+        """States of both directions, (2, pages, steps, HIDDEN), each in its own reading order. They are held where the mask is off."""
+        n, steps, _ = x.shape
+        z = np.stack([x @ self.p["wf"] + self.p["cf"], (x @ self.p["wb"] + self.p["cb"])[:, ::-1]]).transpose(2, 0, 1, 3)
+        masks, u = np.stack([mask, mask[:, ::-1]]).transpose(2, 0, 1)[..., None], self._both("u")
+        h, c = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
+        states, kept = np.zeros((2, n, steps, HIDDEN), np.float32), []
         for t in range(steps):
-            g = z[:, t] + h @ self.p[f"u{d}"]
-            s = 1 / (1 + np.exp(-g[:, : 3 * HIDDEN]))
-            i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
-            k = np.tanh(g[:, 3 * HIDDEN :])
-            m = mask[:, t, None]
+            g = z[t] + h @ u
+            s = 1 / (1 + np.exp(-g[..., : 3 * HIDDEN]))
+            i, f, o = s[..., :HIDDEN], s[..., HIDDEN : 2 * HIDDEN], s[..., 2 * HIDDEN :]
+            k, m = np.tanh(g[..., 3 * HIDDEN :]), masks[t]
             new_c = np.where(m, f * c + i * k, c)
             tc = np.tanh(new_c)
             new_h = np.where(m, o * tc, h)
             if keep:
                 kept.append((h, c, i, f, o, k, tc, m))
             h, c = new_h, new_c
-            states[:, t] = h
+            states[:, :, t] = h
         return states, kept
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        out, memory = [], {}
-        for d in "fb":
-            z = x @ self.p[f"w{d}"] + self.p[f"c{d}"]
-            way = slice(None) if d == "f" else slice(None, None, -1)
-            states, kept = self._run(z[:, way], mask[:, way], d, keep)
-            out.append(states[:, way])
-            memory[d] = kept
-        both = np.concatenate(out, axis=2)
+        states, memory = self._run(x, mask, keep)
+        both = np.concatenate([states[0], states[1][:, ::-1]], axis=2)
         return 1 / (1 + np.exp(-np.clip(both @ self.p["o"] + self.p["oc"], -30, 30))), both, memory
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of the blocks that the mask keeps."""
         prob, both, memory = self.forward(x, mask, keep=True)
         error = ((prob - y) * mask / max(1, mask.sum())).astype(np.float32)
         g = {"o": np.einsum("nt,nth->h", error, both), "oc": error.sum(keepdims=True).reshape(1)}
-        for j, d in enumerate("fb"):
-            way = slice(None) if d == "f" else slice(None, None, -1)
-            back = (error[..., None] * self.p["o"][j * HIDDEN : (j + 1) * HIDDEN])[:, way]
-            xs = x[:, way]
-            n = len(x)
-            dh, dc = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-            dz = np.zeros((n, x.shape[1], 4 * HIDDEN), np.float32)
-            du = np.zeros_like(self.p[f"u{d}"])
-            for t in range(x.shape[1] - 1, -1, -1):
-                h, c, i, f, o, k, tc, m = memory[d][t]
-                dh = dh + back[:, t]
-                live, held_h, held_c = np.where(m, dh, 0), np.where(m, 0, dh), np.where(m, 0, dc)
-                dcell = np.where(m, dc, 0) + live * o * (1 - tc * tc)
-                step = np.concatenate([dcell * k * i * (1 - i), dcell * c * f * (1 - f), live * tc * o * (1 - o), dcell * i * (1 - k * k)], axis=1)
-                dz[:, t] = step
-                du += h.T @ step
-                dh = step @ self.p[f"u{d}"].T + held_h
-                dc = dcell * f + held_c
-            g[f"u{d}"] = du
-            g[f"w{d}"] = xs.reshape(-1, INPUT).T @ dz.reshape(-1, 4 * HIDDEN)
-            g[f"c{d}"] = dz.sum(axis=(0, 1))
+        back = np.stack([error[..., None] * self.p["o"][:HIDDEN], (error[..., None] * self.p["o"][HIDDEN:])[:, ::-1]])
+        n, steps, _ = x.shape
+        u = self._both("u")
+        dh, dc, du = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32), np.zeros_like(u)
+        dz = np.zeros((2, n, steps, 4 * HIDDEN), np.float32)
+        for t in range(steps - 1, -1, -1):
+            h, c, i, f, o, k, tc, m = memory[t]
+            dh = dh + back[:, :, t]
+            live, held_h, held_c = np.where(m, dh, 0), np.where(m, 0, dh), np.where(m, 0, dc)
+            dcell = np.where(m, dc, 0) + live * o * (1 - tc * tc)
+            step = np.concatenate([dcell * k * i * (1 - i), dcell * c * f * (1 - f), live * tc * o * (1 - o), dcell * i * (1 - k * k)], axis=-1)
+            dz[:, :, t] = step
+            du += h.transpose(0, 2, 1) @ step
+            dh = step @ u.transpose(0, 2, 1) + held_h
+            dc = dcell * f + held_c
+        for j, (d, own) in enumerate((("f", dz[0]), ("b", dz[1][:, ::-1]))):
+            g[f"u{d}"] = du[j]
+            g[f"w{d}"] = x.reshape(-1, INPUT).T @ own.reshape(-1, 4 * HIDDEN)
+            g[f"c{d}"] = own.sum(axis=(0, 1))
         return g
 
     def train(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 6, batch: int = 32, rate: float = 0.01) -> Labeller:

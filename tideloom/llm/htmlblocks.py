@@ -17,10 +17,21 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _PIECE = re.compile(r"[a-z]+")
 
 
-@dataclass
+@dataclass(slots=True)
+class Node:
+    """An open block-level element. Blocks of one element share its node, and a node its parent's chain."""
+
+    name: str
+    words: list[str]  # class, id and role words
+    parent: Node | None
+    depth: int
+    memo: object = None  # what a reader of the path keeps here
+
+
+@dataclass(slots=True)
 class Block:
     text: str
-    path: list[str]  # element names and class, id and role words, outermost first
+    node: Node | None  # the element it stands in; None at the top
     linked: int  # characters inside links
 
 
@@ -28,13 +39,16 @@ def blocks(page: str | None) -> list[Block]:
     """The page's blocks in order: runs of text between block-level tags, character references decoded, white space folded.
 
     Scripts, styles, comments and the head hold no text. Tags left open or cut off at the end are taken as
-    browsers take them: an unclosed element ends with its parent, a list item or paragraph with the next.
+    browsers take them: an unclosed element ends with its parent, a list item or paragraph with the next. Time
+    and memory are linear in the page whatever the nesting: open elements are found by name.
     """
     page = page or ""
     found: list[Block] = []
-    stack: list[tuple[str, list[str]]] = []
+    stack: list[str] = []  # names of open elements
+    open_at: dict[str, list[int]] = {}  # their places in the stack, by name
+    solid: list[tuple[int, Node]] = []  # the block-level ones
     texts: list[str] = []
-    linked = links = 0
+    linked = 0
     at, size = 0, len(page)
 
     def close() -> None:
@@ -42,22 +56,21 @@ def blocks(page: str | None) -> list[Block]:
         if texts:
             text = " ".join(html.unescape("".join(texts)).split())
             if text:
-                path = [w for name, words in stack if name not in _INLINE for w in (name, *words)]
-                found.append(Block(text, path, linked))
+                found.append(Block(text, solid[-1][1] if solid else None, linked))
             texts.clear()
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
         texts.append(text)
-        if links:
+        if open_at.get("a"):
             linked += len(text)
 
     def leave(depth: int) -> None:
-        nonlocal links
-        for name, _ in stack[depth:]:
-            links -= name == "a"
-        del stack[depth:]
+        while len(stack) > depth:
+            open_at[stack.pop()].pop()
+        while solid and solid[-1][0] >= depth:
+            solid.pop()
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -70,44 +83,42 @@ def blocks(page: str | None) -> list[Block]:
         name = (m.group(2) or m.group(5) or "").lower()
         if not name:
             continue
+        inline = name in _INLINE
         if m.group(1) or m.group(4):
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name not in _INLINE:
+            if not inline:
                 close()
-            if depth is not None and (name not in _INLINE or all(n in _INLINE for n, _ in stack[depth:])):
-                leave(depth)
+            places = open_at.get(name)
+            if places and (not inline or not solid or solid[-1][0] < places[-1]):
+                leave(places[-1])
             continue
         if name in _RAW and name != "head":
             end = re.compile(rf"</{re.escape(name)}\s*[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = end.end() if end else size
-            if name not in _INLINE:
-                close()
+            close()
             continue
         if name in _VOID:
-            if name in ("br", "wbr"):
-                if name == "br":
-                    add(" ")
+            if name == "br":
+                add(" ")
             elif name == "hr":
                 close()
             continue
-        if name not in _INLINE:
+        if not inline:
             close()
-            if name in _ENDS_ITSELF or not stack or stack[-1][0] in _INLINE or stack[-1][0] == "p":
-                for i in range(len(stack) - 1, -1, -1):
-                    open_name = stack[i][0]
-                    if open_name == "p" or open_name == name and name in _ENDS_ITSELF or {open_name, name} <= {"td", "th"} or {open_name, name} <= {"dt", "dd"}:
-                        leave(i)
-                        break
-                    if open_name not in _INLINE:
-                        break
+            if solid and (name in _ENDS_ITSELF or stack[-1] in _INLINE or stack[-1] == "p"):
+                place, open_name = solid[-1][0], solid[-1][1].name
+                if open_name == "p" or open_name == name and name in _ENDS_ITSELF or {open_name, name} <= {"td", "th"} or {open_name, name} <= {"dt", "dd"}:
+                    leave(place)
         given = m.group(3) or m.group(6) or ""
-        words = []
-        if given and not given.isspace():
-            for a, b, c in _NAMED.findall(given):
-                words += _PIECE.findall((a or b or c).lower())
-        if given.rstrip().endswith("/") and name not in _INLINE:
+        if given.rstrip().endswith("/") and not inline:
             continue
-        stack.append((name, words[:6]))
-        links += name == "a"
+        if not inline:
+            words: list[str] = []
+            if given and not given.isspace():
+                for a, b, c in _NAMED.findall(given):
+                    words += _PIECE.findall((a or b or c).lower())
+            parent = solid[-1][1] if solid else None
+            solid.append((len(stack), Node(name, words, parent, parent.depth + 1 if parent else 1)))
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append(name)
     close()
     return found
