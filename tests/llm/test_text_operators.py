@@ -553,11 +553,11 @@ def slow_scores(rows):
     return out
 
 
-@pytest.mark.parametrize(("block", "bucket"), [(20_000_000, 8_000_000), (20_000, 5_000)])
-def test_backoff_scores_equal_brute_force(docs, block, bucket):
+@pytest.mark.parametrize(("block", "bucket", "piece"), [(20_000_000, 8_000_000, 1_000_000), (20_000, 5_000, 1_000_000), (20_000, 50_000, 700)])
+def test_backoff_scores_equal_brute_force(docs, block, bucket, piece):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     expected = slow_scores(rows)
-    found = lm.score(docs, block_bytes=block, bucket_bytes=bucket).collect()
+    found = lm.score(docs, block_bytes=block, bucket_bytes=bucket, row_grams=0, piece_bytes=piece).collect()
     assert len(found) == len(rows)
     for r in found:
         n, p, tally = expected[r.doc_id]
@@ -565,6 +565,20 @@ def test_backoff_scores_equal_brute_force(docs, block, bucket):
         assert (r.score is None) == (n == 0)
 
 
+@pytest.mark.parametrize(("text", "most", "context"), [(b"a b c d e f g", 7, 2), (b"one", 1, 2), (b" x  y " * 50, 20, 1), (b"x y z", 2, 0), (b"", 0, 2)])
+def test_pieces_cover_a_text(text, most, context):
+    found = [(n, part.split()) for n, part in lm.pieces(text, most, context)]
+    assert [w for n, part in found for w in part[n:]] == text.split()
+    for (_, a), (n, b) in itertools.pairwise(found):
+        assert b[:n] == a[len(a) - n :] and n <= context and (n == context or n == len(a))
+
+
+def test_packed_rows_stay_in_proportion():
+    for size in (10**9, 10**12, 10**14):
+        block, bucket = lm.block_and_bucket(size, 16_000_000, 8_000_000, 32)
+        assert size / block * size / bucket <= size / 6 / 32 * 1.01 or (block, bucket) == (16_000_000, 8_000_000)
+
+
 def test_scores_of_no_rows(empty):
     assert lm.score(empty).count() == 0
 

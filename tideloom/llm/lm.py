@@ -9,19 +9,23 @@ The plan is relational: exploded n-grams, a count table partitioned by gram hash
 per document. Rows are packed: texts fall in blocks of about `block_bytes`, a block's distinct grams are cut
 by hash bucket, and one row holds a block's grams of one bucket (sorted 64-bit hashes and counts,
 compressed). The bucket's rows from all blocks are summed to its part of the count table and matched with
-each block's own grams; the counts go back to the block, which scores its texts. No block or bucket grows
-with the corpus, only their number does, and a frequent gram is one entry a block however often it occurs.
+each block's own grams; the counts go back to the block, which scores its texts. A frequent gram is one entry
+a block however often it occurs. Blocks and buckets keep their size up to some 700 GB of text; beyond, both
+grow with the root of the input, so that a packed row never holds fewer than about `row_grams` grams: rows
+stay below grams / row_grams, in proportion to the input, where blocks x buckets alone would be its square.
 
 Texts are scored once for all their copies: copies collapse within each task before they are dealt, and
-within a block. Grams are told apart by 64 hash bits, texts by SHA-256. Words are lower-cased (A-Z) runs of
-other than 0x20 and 0x09-0x0D; a gram does not reach beyond its document. Null and wordless texts have no
-words, log-probability 0 and a null score.
+within a block. A text of more than `piece_bytes` is dealt as several pieces, each with the words before it as
+context, so no text sets the memory of a task. Grams are told apart by 64 hash bits, texts by SHA-256. Words
+are lower-cased (A-Z) runs of other than 0x20 and 0x09-0x0D; a gram does not reach beyond its document. Null
+and wordless texts have no words, log-probability 0 and a null score.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,27 +71,44 @@ def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, places
 
 
+def pieces(text: bytes, most_bytes: int, context: int) -> Iterator[tuple[int, bytes]]:
+    """(context words, text) of each piece of a text; the context, up to that many words, comes first and is not the piece's own."""
+    if len(text) <= most_bytes:
+        yield 0, text
+        return
+    before: list[bytes] = []
+    size = max(1, most_bytes // 8)
+    for words in word_chunks(text, size):
+        for at in range(0, len(words), size):
+            some = words[at : at + size]
+            yield len(before), b" ".join(before + some)
+            before = (before + some)[len(before) + len(some) - context :] if context else []
+
+
 class Grams:
-    """The grams of a block's texts, one order at a time so that one order's arrays are sorted at once.
+    """The grams of a block's pieces, one order at a time so that one order's arrays are sorted at once.
 
-    keys[k]: distinct grams of k + 1 words, sorted; counts[k]: how often the block has them, copies included;
-    places[k]: for each token the place in keys[k] of the gram that ends there, -1 where its document has none.
+    keys[k]: distinct grams of k + 1 words, sorted; counts[k]: how often the block has them, copies included and
+    those that end in a piece's context left out; places[k]: for each token the place in keys[k] of the gram that
+    ends there, -1 where its piece has none.
     """
 
-    def __init__(self, texts: list[bytes], copies: np.ndarray, order: int):
+    def __init__(self, texts: list[bytes], copies: np.ndarray, contexts: np.ndarray, order: int):
         hashed = [np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)) for t in texts for words in [[w for chunk in word_chunks(t.lower()) for w in chunk]]]
-        self.lengths = np.array([len(h) for h in hashed], dtype=np.int64)
+        self.lengths, self.contexts = np.array([len(h) for h in hashed], dtype=np.int64), contexts
         one = np.concatenate(hashed) if hashed else np.zeros(0, dtype=np.uint64)
         del hashed
         n = len(one)
-        self.total = int((copies * self.lengths).sum())
+        self.total = int((copies * (self.lengths - contexts)).sum())
         self.keys, self.counts, self.places = [], [], []
         level, valid = one, np.ones(n, dtype=bool)
-        starts = np.cumsum(self.lengths)[:-1] if len(self.lengths) else np.zeros(0, dtype=np.int64)
-        first = np.zeros(n, dtype=bool)
-        first[0:1] = True
-        first[starts[starts < n]] = True
-        weight = np.repeat(copies, self.lengths) if copies.max(initial=1) > 1 else None
+        starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        first = np.zeros(n + 1, dtype=bool)
+        first[starts] = True
+        first = first[:n]
+        weight = np.repeat(copies, self.lengths) if copies.max(initial=1) > 1 or contexts.any() else None
+        for i in np.flatnonzero(contexts).tolist():
+            weight[starts[i] : starts[i] + contexts[i]] = 0
         for k in range(order):
             if k:
                 before = np.roll(level, 1)
@@ -116,7 +137,7 @@ class Grams:
                     yield k, int(heads[a]), a, b
 
     def score(self, counts: list[np.ndarray], total: int, discount: float, min_count: int) -> list[tuple[int, float, list[int]]]:
-        """(words, log-probability, words scored by each order) of every text; counts are the corpus's, by place in keys."""
+        """(words, log-probability, words scored by each order) of every piece; counts are the corpus's, by place in keys."""
         n, order = int(self.lengths.sum()), len(self.places)
         log_p, level = np.zeros(n), np.zeros(n, dtype=np.int8)
         allowed = np.zeros(n, dtype=np.int8)  # orders that the document's own beginning allows
@@ -129,7 +150,7 @@ class Grams:
 
         for k in range(order - 1, -1, -1):
             own = of(k)
-            hit = waits & (own >= min_count) if k else waits.copy()
+            hit = waits & (own >= min_count) if k else waits & (own > 0)
             context = np.roll(of(k - 1), 1) if k else np.full(n, max(total, 1))
             log_p[hit] = np.log(own[hit]) - np.log(context[hit])
             level[hit] = k
@@ -137,46 +158,51 @@ class Grams:
         log_p += (allowed - 1 - level) * math.log(discount)
         ends = np.cumsum(self.lengths)
         tallies = [np.concatenate([[0], np.cumsum(level == k)]) for k in range(order)]
-        return [(b - a, float(log_p[a:b].sum()), [int(t[b] - t[a]) for t in tallies]) for a, b in zip((ends - self.lengths).tolist(), ends.tolist(), strict=True)]
+        return [(b - a, float(log_p[a:b].sum()), [int(t[b] - t[a]) for t in tallies]) for a, b in zip((ends - self.lengths + self.contexts).tolist(), ends.tolist(), strict=True)]
 
 
-def _texts(block: pa.Table) -> tuple[list[str], list[bytes], np.ndarray]:
-    """The block's distinct texts in digest order, and how many documents have each."""
+def _texts(block: pa.Table) -> tuple[list[tuple[str, int]], list[bytes], np.ndarray, np.ndarray]:
+    """The block's distinct pieces by digest and place, how many documents have each, and their context words."""
     unpack = zstandard.ZstdDecompressor()
-    copies: dict[str, int] = {}
-    packed: dict[str, bytes] = {}
-    for digest, text, n in zip(*[block.column(c).to_pylist() for c in ("digest", "packed", "copies")], strict=True):
-        copies[digest] = copies.get(digest, 0) + n
-        packed[digest] = text
-    order = sorted(packed)
-    return order, [unpack.decompress(packed[d]) for d in order], np.array([copies[d] for d in order], dtype=np.int64)
+    held: dict[tuple[str, int], list] = {}
+    for digest, piece, context, text, n in zip(*[block.column(c).to_pylist() for c in ("digest", "piece", "context", "packed", "copies")], strict=True):
+        held.setdefault((digest, piece), [text, context, 0])[2] += n
+    order = sorted(held)
+    return order, [unpack.decompress(held[k][0]) for k in order], np.array([held[k][2] for k in order], dtype=np.int64), np.array([held[k][1] for k in order], dtype=np.int64)
+
+
+def block_and_bucket(size: int, block_bytes: int, bucket_bytes: int, row_grams: int) -> tuple[int, int]:
+    """The two sizes, raised alike where a block's grams of a bucket would be fewer than row_grams on average, at six bytes a word."""
+    least = math.sqrt(6 * row_grams * size / (block_bytes * bucket_bytes))
+    return int(block_bytes * max(1.0, least)), int(bucket_bytes * max(1.0, least))
 
 
-def score(docs: DataFrame, order: int = 3, discount: float = 0.4, min_count: int = 2, block_bytes: int = 16_000_000, bucket_bytes: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, discount: float = 0.4, min_count: int = 2, block_bytes: int = 16_000_000, bucket_bytes: int = 8_000_000, row_grams: int = 32, piece_bytes: int = 1_000_000) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_words, log_prob, score, and n_order1 .. words scored by each order); score is log_prob / n_words."""
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    block_bytes, bucket_bytes = block_and_bucket(size, block_bytes, bucket_bytes, row_grams)
     blocks = max(1, -(-size // block_bytes))
     bits = max(0, math.ceil(math.log2(max(1, size / bucket_bytes))))
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = zstandard.ZstdCompressor(level=3)
         counts: dict[str, int] = {}
-        packed: dict[str, bytes] = {}
+        parts: dict[str, list[tuple[int, bytes]]] = {}
         for text in binary(batch.column(0)):
             digest = hashlib.sha256(text).hexdigest()
             if digest not in counts:
-                counts[digest], packed[digest] = 0, coder.compress(text)
+                counts[digest], parts[digest] = 0, [(n, coder.compress(part)) for n, part in pieces(text, piece_bytes, order - 1)]
             counts[digest] += 1
-        keys = list(counts)
-        kinds = (pa.int32(), pa.string(), pa.binary(), pa.int64())
-        cols = ([int(d[:15], 16) % blocks for d in keys], keys, [packed[d] for d in keys], [counts[d] for d in keys])
-        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "digest", "packed", "copies"])
+        rows = [((int(d[:15], 16) + i) % blocks, d, i, context, part, counts[d]) for d, found in parts.items() for i, (context, part) in enumerate(found)]
+        kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+        cols = list(zip(*rows, strict=True)) or [[] for _ in kinds]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["block", "digest", "piece", "context", "packed", "copies"])
 
     def request(block: pa.Table) -> pa.Table:
         """The block's grams by order and bucket, and its number of words, which goes to every block through bucket 0."""
-        _, texts, copies = _texts(block)
-        grams = Grams(texts, copies, order)
+        _, texts, copies, contexts = _texts(block)
+        grams = Grams(texts, copies, contexts, order)
         name = block.column("block")[0].as_py()
         rows = [(b, name, k, 0, _pack(np.diff(grams.keys[k][a:z], prepend=np.uint64(0))), _pack(grams.counts[k][a:z])) for k, b, a, z in grams.slices(bits)]
         rows.append((0, name, -1, grams.total, b"", b""))
@@ -210,8 +236,8 @@ def score(docs: DataFrame, order: int = 3, discount: float = 0.4, min_count: int
         kinds = [pa.string(), pa.int64(), pa.float64()] + [pa.int64()] * order
         if not block.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
-        digests, texts, copies = _texts(block)
-        grams = Grams(texts, copies, order)
+        places_of, texts, copies, contexts = _texts(block)
+        grams = Grams(texts, copies, contexts, order)
         del texts
         places = {(k, b): i for i, (k, b) in enumerate(zip(answers.column("level").to_pylist(), answers.column("bucket").to_pylist(), strict=True))}
         told = answers.column("counts")
@@ -220,14 +246,15 @@ def score(docs: DataFrame, order: int = 3, discount: float = 0.4, min_count: int
             counts[k].append(_unpack(told[places[k, b]].as_py()))
         total = answers.column("total")[places[-1, 0]].as_py()
         scores = grams.score([np.concatenate(c) if c else np.zeros(0, dtype=np.uint64) for c in counts], total, discount, min_count)
-        rows = [(d, n, p, *tally) for d, (n, p, tally) in zip(digests, scores, strict=True)]
+        rows = [(d, n, p, *tally) for (d, _), (n, p, tally) in zip(places_of, scores, strict=True)]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    dealt = map_batches(plain.select("text"), deal, "block int, digest string, packed binary, copies long").repartition(blocks, "block")
+    dealt = map_batches(plain.select("text"), deal, "block int, digest string, piece int, context int, packed binary, copies long").repartition(blocks, "block")
     asked = dealt.groupBy("block").applyInArrow(request, _REQUEST)
     told = asked.groupBy("bucket").applyInArrow(count, _ANSWER)
     tallies = ", ".join(f"n_order{k} long" for k in range(1, order + 1))
     scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(finish, f"digest string, n_words long, log_prob double, {tallies}")
+    scored = scored.groupBy("digest").agg(*[F.sum(n).alias(n) for n in names[1:]])  # of a text's pieces
     named = plain.select("doc_id", F.sha2("text", 256).alias("digest"))
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
     return named.join(scored, "digest").select("doc_id", "n_words", "log_prob", mean.alias("score"), *names[3:])
