@@ -7,12 +7,20 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; only where it is unset (tests, one machine) make one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, one of this machine in local mode, and an error on a cluster, whose executors cannot see it."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tideloom-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        return tempfile.mkdtemp(prefix="tideloom-")
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(frame: DataFrame) -> DataFrame:

@@ -2,64 +2,95 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideloom.functions.cuts import cut
 from tideloom.operators.graph import strict_transitions
 from tideloom.operators.prep import numbered
 
 
-def running_counts(train: DataFrame) -> DataFrame:
-    """For each item and time, the training events up to and including it. One row a distinct time, so the as-of join meets a step function and not all events."""
-    steps = train.groupBy("item_id", "ts").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("item_id").orderBy("ts")
-    return steps.select("item_id", F.col("ts").alias("from_ts"), F.lead("ts").over(w).alias("to_ts"), F.sum("n").over(w).alias("count"))
+def counts_before(asked: DataFrame, rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """asked(event_id, keys, ts) with the number of rows(keys, ts) of the same keys at earlier times.
+
+    One sorted pass over the union in place of a range join; rows of one time are added up first.
+    """
+    steps = rows.groupBy(*keys, "ts").agg(F.count("*").alias("n")).select(*keys, "ts", "n", F.lit(None).cast("long").alias("event_id"))
+    w = Window.partitionBy(*keys).orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    both = steps.union(asked.select(*keys, "ts", F.lit(0).cast("long").alias("n"), "event_id"))
+    return both.select(*keys, "event_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias(name)).where("event_id is not null")
 
 
 def popularity(cases: DataFrame, train: DataFrame) -> DataFrame:
     """cases(event_id, item_id, ts) with the target's training count strictly before the case."""
-    before = train.groupBy("item_id", "ts").agg(F.count("*").alias("n")).select("item_id", "ts", "n", F.lit(None).cast("long").alias("event_id"))
-    asked = cases.select("item_id", "ts", F.lit(0).cast("long").alias("n"), "event_id")
-    # One sorted pass over the union in place of a range join: a case sees the counts of earlier times only.
-    w = Window.partitionBy("item_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    seen = before.union(asked).select("event_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("popularity"))
-    return cases.join(seen.where("event_id is not null"), "event_id")
+    return cases.join(counts_before(cases, train, ["item_id"], "popularity").drop("item_id"), "event_id")
+
+
+_RECENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("source_id", T.LongType()), T.StructField("recency", T.IntegerType())])
 
 
 def sources_of(cases: DataFrame, events: DataFrame, most: int) -> DataFrame:
-    """The last distinct items of each case's user strictly before it, newest first: (event_id, source_id, recency)."""
-    past = events.select("user_id", F.col("item_id").alias("source_id"), F.col("ts").alias("__ts"), F.col("event_id").alias("__e"))
-    seen = cases.select("event_id", "user_id", "ts").join(past, "user_id").where("__ts < ts")
-    latest = seen.groupBy("event_id", "source_id").agg(F.max(F.struct("__ts", "__e")).alias("at"))
-    w = Window.partitionBy("event_id").orderBy(F.desc("at"))
-    return latest.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= most).select("event_id", "source_id", "recency")
+    """The last distinct items of each case's user strictly before it, newest first: (event_id, source_id, recency).
+
+    One pass over cases and events in the order of each user's times, which holds the user's last `most`
+    distinct items: no case meets a user's history, however many cases a user has.
+    """
+    past = events.select("user_id", "ts", F.lit(1).alias("kind"), F.col("event_id").cast("long").alias("event_id"), F.col("item_id").cast("long").alias("item_id"))
+    asked = cases.select("user_id", "ts", F.lit(0).alias("kind"), F.col("event_id").cast("long").alias("event_id"), F.lit(None).cast("long").alias("item_id"))
+    ordered = past.union(asked).repartition("user_id").sortWithinPartitions("user_id", "ts", "kind", "event_id")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, held = None, {}
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for who, kind, event, item in zip(*[batch.column(c).to_pylist() for c in ("user_id", "kind", "event_id", "item_id")], strict=True):
+                if who != user:
+                    user, held = who, {}
+                if kind:
+                    held.pop(item, None)
+                    held[item] = None  # dicts keep the order of insertion
+                    if len(held) > most:
+                        del held[next(iter(held))]
+                else:
+                    out[0].extend([event] * len(held))
+                    out[1].extend(reversed(held))
+                    out[2].extend(range(1, len(held) + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["event_id", "source_id", "recency"])
+
+    return ordered.mapInArrow(walk, _RECENT)
+
+
+def seen_before(cases: DataFrame, events: DataFrame) -> DataFrame:
+    """(event_id, item_id): every item of the case's user strictly before it. An item's first time decides, one row a user and item."""
+    first = events.groupBy("user_id", "item_id").agg(F.min("ts").alias("__first"))
+    return cases.select("event_id", "user_id", "ts").join(first, "user_id").where("__first < ts").select("event_id", "item_id")
 
 
 def retrieve(cases: DataFrame, labelled: DataFrame, source_items: int = 20, per_source: int = 50) -> DataFrame:
     """As-of candidates of each case: (event_id, candidate_id, score, rank), seen items left out unless the target.
 
     A source's targets score their share of the source's transitions observed before the case; the best
-    `per_source` of each source merge by maximum; ties by id. A transition's count is a step function of time,
-    so a case meets one step of each (source, target) and nothing is counted per case. The labelled events are cut: they feed the
-    transitions, the sources and the seen items.
+    `per_source` of each source merge by maximum; ties by id. A case meets each target of its sources once, whatever
+    the number of transitions; how many were before the case comes from one sorted pass by (source, target). The
+    labelled events and the sources are cut: they feed several branches.
     """
     labelled = cut(labelled.select("event_id", "user_id", "item_id", "ts", "split"))
-    train = labelled.where("split = 'train'")
-    steps = strict_transitions(train).groupBy("source_id", "target_id", F.col("target_ts").alias("from_ts")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("source_id", "target_id").orderBy("from_ts")
-    known = steps.select("source_id", "target_id", "from_ts", F.lead("from_ts").over(w).alias("to_ts"), F.sum("n").over(w).alias("support"))
+    moves = cut(strict_transitions(labelled.where("split = 'train'")).select("source_id", "target_id", F.col("target_ts").alias("ts")))
     mine = labelled.where("split <> 'test'").select("user_id", "item_id", "ts", "event_id")
-    sources = sources_of(cases, mine, source_items)
-    timed = sources.join(cases.select("event_id", F.col("ts").alias("case_ts")), "event_id")
-    found = timed.join(known, "source_id").where("from_ts < case_ts and (to_ts is null or case_ts <= to_ts)").select("event_id", "source_id", "target_id", "support")
+    timed = cut(sources_of(cases, mine, source_items).join(cases.select("event_id", "ts"), "event_id"))
+    first = moves.groupBy("source_id", "target_id").agg(F.min("ts").alias("__first"))
+    met = timed.join(first, "source_id").where("__first < ts").select("event_id", "source_id", "target_id", "ts")
+    found = counts_before(met, moves, ["source_id", "target_id"], "support")
     share = F.col("support") / F.sum("support").over(Window.partitionBy("event_id", "source_id"))
     ranked = found.withColumn("score", share)
     w = Window.partitionBy("event_id", "source_id").orderBy(F.desc("score"), "target_id")
     best = ranked.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_source)
     merged = best.groupBy("event_id", F.col("target_id").alias("candidate_id")).agg(F.max("score").alias("score"))
-    target = cases.select("event_id", "user_id", F.col("item_id").alias("target"), F.col("ts").alias("case_ts"))
-    seen = target.join(mine.select("user_id", F.col("item_id").alias("candidate_id"), "ts"), "user_id").where("ts < case_ts and candidate_id <> target").select("event_id", "candidate_id").distinct()
+    seen = seen_before(cases, mine).join(cases.select("event_id", F.col("item_id").alias("target")), "event_id").where("item_id <> target").select("event_id", F.col("item_id").alias("candidate_id"))
     left = merged.join(seen, ["event_id", "candidate_id"], "left_anti")
     order = Window.partitionBy("event_id").orderBy(F.desc("score"), "candidate_id")
     return left.withColumn("rank", F.row_number().over(order))
@@ -72,12 +103,16 @@ def target_ranks(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
 
 
 def cooccurrence(train: DataFrame, window: int = 200) -> DataFrame:
-    """Symmetric counts of item pairs among a user's first sights, within the last `window` distinct items."""
+    """Symmetric counts of item pairs among a user's first sights, within the last `window` distinct items.
+
+    A banded join: an item's place falls in a band of `window` places and looks into the next band too, so a
+    long history costs its length times the window and not its square.
+    """
     first = train.groupBy("user_id", "item_id").agg(F.min(F.struct("ts", "event_id")).alias("at"))
-    placed = first.withColumn("p", F.row_number().over(Window.partitionBy("user_id").orderBy("at")))
-    a = placed.select("user_id", F.col("item_id").alias("a"), F.col("p").alias("pa"))
-    b = placed.select("user_id", F.col("item_id").alias("b"), F.col("p").alias("pb"))
-    pairs = a.join(b, "user_id").where((F.col("pb") > F.col("pa")) & (F.col("pb") - F.col("pa") <= window)).groupBy("a", "b").agg(F.count("*").alias("n"))
+    placed = first.withColumn("p", F.row_number().over(Window.partitionBy("user_id").orderBy("at"))).withColumn("band", F.expr(f"p div {window}"))
+    a = placed.select("user_id", F.col("item_id").alias("a"), F.col("p").alias("pa"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    b = placed.select("user_id", F.col("item_id").alias("b"), F.col("p").alias("pb"), "band")
+    pairs = a.join(b, ["user_id", "band"]).where((F.col("pb") > F.col("pa")) & (F.col("pb") - F.col("pa") <= window)).groupBy("a", "b").agg(F.count("*").alias("n"))
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     return both.groupBy("a", "b").agg(F.sum("n").alias("count")).select(F.col("a").alias("item_id"), F.col("b").alias("neighbor_id"), "count")
 
@@ -86,8 +121,7 @@ def item_knn(cases: DataFrame, history: DataFrame, pairs: DataFrame, neighbors:
     """Scores of candidates: over the case's history items, the counts of each one's best neighbours."""
     w = Window.partitionBy("item_id").orderBy(F.desc("count"), "neighbor_id")
     best = pairs.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= neighbors)
-    sources = cases.select("event_id", "user_id", F.col("ts").alias("case_ts")).join(history.select("user_id", "item_id", "ts"), "user_id").where("ts < case_ts").select("event_id", "item_id").distinct()
-    return sources.join(best, "item_id").groupBy("event_id", F.col("neighbor_id").alias("candidate_id")).agg(F.sum("count").alias("score"))
+    return seen_before(cases, history).join(best, "item_id").groupBy("event_id", F.col("neighbor_id").alias("candidate_id")).agg(F.sum("count").alias("score"))
 
 
 def full_rank(cases: DataFrame, scores: DataFrame, items: DataFrame, seen: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,14 +43,17 @@ def first_per_key(frame: DataFrame, keys: Sequence[str], order: Sequence[Column
     return frame.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
 
 
-def k_core(interactions: DataFrame, user_k: int, item_k: int, simultaneous: bool = False, max_rounds: int = 50, error_when_empty: bool = True) -> DataFrame:
+def k_core(interactions: DataFrame, user_k: int, item_k: int, simultaneous: bool = False, max_rounds: int | None = None, error_when_empty: bool = True) -> DataFrame:
     """Rows left when users and items with too few rows are removed until none is.
 
     A round removes users and then items of what is left, or both by the same counts. Each round is two
-    aggregations and semi-joins, cut to a checkpoint; the driver sees counts alone.
+    aggregations and semi-joins, cut to a checkpoint; the driver sees counts alone. Rounds go on to the fixpoint;
+    with max_rounds, to so many rounds and then an error.
     """
     rows, size = cut(interactions), -1
-    for _ in range(max_rounds):
+    for done in count():
+        if done == max_rounds:
+            raise ValueError(f"no fixpoint after {max_rounds} rounds")
         before = rows.count() if size < 0 else size
         users = rows.groupBy("user_id").count().where(F.col("count") >= user_k).select("user_id")
         kept = rows.join(users, "user_id", "left_semi")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tideloom.functions.cuts import cut
 from tideloom.operators import graph, metrics, perturb, rank, runs, semantic, sequences, stats
 from tideloom.plans import sql
 from tideloom.plans.base import rounded, split_events, train_edges, train_events
@@ -134,8 +135,8 @@ def _(spark, folder):
 
     cases = test_cases(spark, folder)
     negatives = _negatives(spark, folder)
-    previous = asof.sources_of(cases, split_events(spark, folder).where("split <> 'test'"), 1).select("event_id", "source_id")
-    close = semantic.overlap_pairs(_index(spark, folder)).select(F.col("item_id").alias("source_id"), F.col("other_id").alias("item_id"), "shared")
+    previous = cut(asof.sources_of(cases, split_events(spark, folder).where("split <> 'test'"), 1).select("event_id", "source_id"))
+    close = semantic.overlap_pairs(_index(spark, folder), previous.select(F.col("source_id").alias("item_id"))).select(F.col("item_id").alias("source_id"), F.col("other_id").alias("item_id"), "shared")
     moves = train_edges(spark, folder).select("source_id", F.col("target_id").alias("item_id"), "transition_probability")
 
     def measured(items, name):

@@ -204,9 +204,7 @@ _PLACED = "SELECT event_id, item_id, rank FROM placed WHERE item_id = target"
 
 
 def _seen(spark, folder):
-    cases = test_cases(spark, folder).select("event_id", "user_id", F.col("ts").alias("case_ts"))
-    past = split_events(spark, folder).where("split <> 'test'").select("user_id", "item_id", "ts")
-    return cases.join(past, "user_id").where("ts < case_ts").select("event_id", "item_id").distinct()
+    return asof.seen_before(test_cases(spark, folder), split_events(spark, folder).where("split <> 'test'"))
 
 
 @register("popularity_full_ranking", sql.query(sql.EVENTS, sql.SPLIT, sql.CASES, _full_rank_sql("scores AS (SELECT event_id, item_id, n::DOUBLE AS score FROM cases_ids CROSS JOIN pop)").replace("seen AS", "cases_ids AS (SELECT event_id FROM cases), pop AS (SELECT item_id, count(*) AS n FROM loo WHERE split = 'train' GROUP BY 1), seen AS", 1), select=_PLACED))
