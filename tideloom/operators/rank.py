@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -23,10 +24,14 @@ def popularity(train: DataFrame) -> DataFrame:
     return train.groupBy("item_id").agg(F.count("*").cast("double").alias("score"))
 
 
+def unit_hash(*parts: Column) -> Column:
+    """A number in [0, 1): the first 16 hex digits of the SHA-256 of the parts, joined by |."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16), 16, 10).cast("double") / float(1 << 64)
+
+
 def random_scores(cases: DataFrame, seed: int = 0) -> DataFrame:
     """A score in [0, 1) from a hash of seed, user and candidate, the same on every run."""
-    digest = F.sha2(F.concat_ws("|", F.lit(seed), "user_id", "item_id"), 256)
-    return cases.withColumn("score", F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48))
+    return cases.withColumn("score", unit_hash(F.lit(seed), F.col("user_id"), F.col("item_id")))
 
 
 def random_top_k(users: DataFrame, items: DataFrame, k: int, seed: int = 0, block: int = 1000) -> DataFrame:
@@ -38,8 +43,7 @@ def random_top_k(users: DataFrame, items: DataFrame, k: int, seed: int = 0, bloc
     blocks = -(-whole.count() // block) or 1
     dealt = whole.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(F.collect_list("item_id").alias("items"))
     pairs = users.select("user_id").distinct().crossJoin(dealt)
-    digest = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "user_id", i), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    best = F.slice(F.array_sort(F.transform("items", lambda i: F.struct((-digest(i)).alias("s"), i.alias("item_id")))), 1, k)
+    best = F.slice(F.array_sort(F.transform("items", lambda i: F.struct((-unit_hash(F.lit(seed), F.col("user_id"), i)).alias("s"), i.alias("item_id")))), 1, k)
     return top_k(pairs.select("user_id", F.explode(best).alias("b")).select("user_id", "b.item_id", (-F.col("b.s")).alias("score")), ["user_id"], k)
 
 
@@ -69,18 +73,18 @@ def transition_retriever(histories: DataFrame, edges: DataFrame, max_history: in
 def bm25(queries: DataFrame, documents: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """queries(query_id, text) against documents(doc_id, text) -> (query_id, doc_id, score) of all pairs that share a token.
 
-    Postings join on the token; document frequencies and the mean length come from all documents.
+    Documents are tokenised into postings once, of the tokens that queries ask for alone, and a posting carries its
+    document's length. Document frequencies and the mean length come from all documents.
     """
-    terms = documents.select("doc_id", F.explode(tokens("text")).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    lengths = documents.select("doc_id", F.size(tokens("text")).alias("length"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    df = terms.groupBy("token").agg(F.count("*").alias("df"))
     asked = queries.select("query_id", F.explode(tokens("text")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
+    read = documents.select("doc_id", tokens("text").alias("t")).select("doc_id", "t", F.size("t").alias("length"))
+    corpus = read.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    terms = read.select("doc_id", "length", F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf"))
+    df = terms.groupBy("token").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     wanted = asked.join(df, "token").crossJoin(F.broadcast(corpus)).withColumn("idf", idf)
-    met = wanted.join(terms, "token").join(lengths, "doc_id")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return met.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return wanted.join(terms, "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
 def evidence_scores(candidates: DataFrame, histories: DataFrame, edges: DataFrame, items: DataFrame, recent: int = 3) -> DataFrame:
@@ -95,19 +99,28 @@ def evidence_scores(candidates: DataFrame, histories: DataFrame, edges: DataFram
     return out.select("user_id", "item_id", (F.col("base") + F.when(F.col("category") == F.col("liked"), 0.1).otherwise(0.0)).alias("score"))
 
 
+def _prime_from(n: int) -> int:
+    """The least prime of n or more."""
+    n = max(2, n)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
 def sampled_candidates(cases: DataFrame, items: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """The target and size - 1 others of each case from a ring of the catalogue in hash order, starting at a place drawn by hash.
+    """The target and size - 1 others of each case, drawn for the case alone, without replacement.
 
-    The ring is numbered once; a case takes consecutive numbers, so candidates come by an equi-join and
-    not by ordering the catalogue for each case.
+    The catalogue is numbered once. With p the least prime from its count on, draw i of a case is number
+    (a i + b) mod p, a and b being its own hashes: all draws differ, numbers outside the catalogue are passed over,
+    and candidates come by an equi-join and not by ordering the catalogue for each case.
     """
     count = items.select("item_id").distinct().count()
-    take = min(size, count)
-    key = F.sha2(F.concat_ws("|", F.lit(seed), F.col("item_id")), 256)
-    ring = numbered(items.select("item_id").distinct(), [key, "item_id"], "place")
-    start = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "user_id", F.col("item_id")), 256), 1, 12), 16, 10).cast("long")
-    drawn = cases.select("event_id", F.col("item_id").alias("target"), F.explode(F.sequence(F.lit(0), F.lit(take - 1))).alias("i"), start.alias("s"))
-    placed = drawn.withColumn("place", F.pmod(F.col("s") + F.col("i"), F.lit(count)).cast("long")).join(ring, "place")
+    take, prime = min(size, count), _prime_from(count)
+    ring = numbered(items.select("item_id").distinct(), [F.sha2(F.concat_ws("|", F.lit(seed), F.col("item_id")), 256), "item_id"], "place")
+    digest = F.sha2(F.concat_ws("|", F.lit(seed), "user_id", F.col("item_id")), 256)
+    step, start = (F.conv(F.substring(digest, at, 12), 16, 10).cast("long") for at in (1, 13))
+    drawn = cases.select("event_id", F.col("item_id").alias("target"), (1 + F.pmod(step, F.lit(prime - 1))).alias("a"), F.pmod(start, F.lit(prime)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(min(prime, take + prime - count) - 1))).alias("i"))
+    placed = drawn.withColumn("place", F.pmod(F.col("a") * F.col("i") + F.col("b"), F.lit(prime)).cast("long")).join(ring, "place")
     others = placed.where("item_id <> target").withColumn("r", F.row_number().over(Window.partitionBy("event_id").orderBy("i"))).where(F.col("r") < take).select("event_id", "item_id")
     return others.union(cases.select("event_id", "item_id"))
 

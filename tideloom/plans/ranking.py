@@ -52,7 +52,7 @@ def _(spark, folder):
 
 @register(
     "random_rank",
-    sql.query(sql.EVENTS, sql.SPLIT, _POP, select="SELECT user_id, p.item_id, ('0x' || substr(sha256('0|' || user_id || '|' || p.item_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, p.item_id) AS rank FROM (SELECT DISTINCT user_id FROM loo) CROSS JOIN pop p QUALIFY rank <= 5"),
+    sql.query(sql.EVENTS, sql.SPLIT, _POP, select="SELECT user_id, p.item_id, ('0x' || substr(sha256('0|' || user_id || '|' || p.item_id), 1, 16))::UBIGINT / 18446744073709551616.0::DOUBLE AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, p.item_id) AS rank FROM (SELECT DISTINCT user_id FROM loo) CROSS JOIN pop p QUALIFY rank <= 5"),
 )
 def _(spark, folder):
     events = split_events(spark, folder)
@@ -92,13 +92,23 @@ def _(spark, folder):
     return rounded(rank.evidence_scores(pairs, sequences.histories(train), graph.transition_edges(train), part_items(spark, folder)))
 
 
-_HASH = "('0x' || substr(sha256('0|' || user_id || '|' || item_id), 1, 12))::BIGINT"
+_HASH = "('0x' || substr(sha256('0|' || user_id || '|' || item_id), {}, 12))::BIGINT"
 _RING = "ring AS (SELECT item_id, row_number() OVER (ORDER BY sha256('0|' || item_id), item_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT item_id FROM ia))"
+_PRIME = "pr AS (SELECT n, (SELECT min(x) FROM range(greatest(n, 2), 2 * n + 3) t(x) WHERE NOT EXISTS (SELECT 1 FROM range(2, 1000) s(d) WHERE d * d <= x AND x % d = 0)) AS p FROM (SELECT max(n) AS n FROM ring))"
 
 
 @register(
     "sampled_candidates",
-    sql.query(sql.EVENTS, sql.SPLIT, sql.CASES, _RING, f"d AS (SELECT event_id, item_id AS target, unnest(range(least(20, (SELECT max(n) FROM ring)))) AS i, {_HASH} AS s FROM cases)", "o AS (SELECT d.event_id, r.item_id, row_number() OVER (PARTITION BY d.event_id ORDER BY i) AS k FROM d JOIN ring r ON r.place = (s + i) % r.n WHERE r.item_id <> target)", select="SELECT event_id, item_id FROM o WHERE k < 20 UNION ALL SELECT event_id, item_id FROM cases"),
+    sql.query(
+        sql.EVENTS,
+        sql.SPLIT,
+        sql.CASES,
+        _RING,
+        _PRIME,
+        f"d AS (SELECT event_id, item_id AS target, 1 + {_HASH.format(1)} % (p - 1) AS a, {_HASH.format(13)} % p AS b, p, unnest(range(least(p, least(20, n) + p - n))) AS i FROM cases CROSS JOIN pr)",
+        "o AS (SELECT d.event_id, r.item_id, row_number() OVER (PARTITION BY d.event_id ORDER BY i) AS k FROM d JOIN ring r ON r.place = (a * i + b) % p WHERE r.item_id <> target)",
+        select="SELECT event_id, item_id FROM o WHERE k < (SELECT least(20, n) FROM pr) UNION ALL SELECT event_id, item_id FROM cases",
+    ),
 )
 def _(spark, folder):
     return rank.sampled_candidates(test_cases(spark, folder), event_interactions(spark, folder), 20)
