@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideloom.functions.cuts import cut
 from tideloom.functions.text import item_tokens, jaccard
 
 COLUMNS = ("case_id", "evidence_type", "source_id", "target_id", "transition_count", "window_score", "similarity", "recent_signal", "mean_gap", "gap_bucket", "drift_from", "drift_to")
@@ -28,38 +29,44 @@ def dominant_bucket(buckets: Sequence[str]) -> Column:
     return F.when(best["n"] < 0, best["b"])
 
 
-def transition_evidence(sources: DataFrame, candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """sources(case_id, source_id) and candidates(case_id, target_id) that an edge joins."""
-    probe = sources.select("case_id", "source_id").join(candidates.select("case_id", "target_id"), "case_id")
-    return _shaped(probe.join(edges.select("source_id", "target_id", F.col("count").alias("transition_count"), "mean_gap", "gap_bucket"), ["source_id", "target_id"]), "transition")
+def probe(sources: DataFrame, candidates: DataFrame) -> DataFrame:
+    """sources(case_id, source_id, recency) and candidates(case_id, target_id) -> every pair of a case, cut, since four kinds of evidence start from it."""
+    return cut(sources.select("case_id", "source_id", "recency").join(candidates.select("case_id", "target_id"), "case_id"))
 
 
-def window_evidence(sources: DataFrame, candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    probe = sources.select("case_id", "source_id").join(candidates.select("case_id", "target_id"), "case_id")
-    return _shaped(probe.join(edges.select("source_id", "target_id", F.col("weight").alias("window_score"), "mean_gap"), ["source_id", "target_id"]), "time_window")
+def transition_evidence(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs of probe() that an edge joins."""
+    known = edges.select("source_id", "target_id", F.col("count").alias("transition_count"), "mean_gap", "gap_bucket")
+    return _shaped(pairs.drop("recency").join(known, ["source_id", "target_id"]), "transition")
 
 
-def _similar(sources: DataFrame, candidates: DataFrame, items: DataFrame, columns: Sequence[str]) -> DataFrame:
+def window_evidence(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    return _shaped(pairs.drop("recency").join(edges.select("source_id", "target_id", F.col("weight").alias("window_score"), "mean_gap"), ["source_id", "target_id"]), "time_window")
+
+
+def similar(pairs: DataFrame, items: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pairs of probe() of two different items with the likeness of their texts. A pair of items is compared once, however many cases have it."""
     bags = items.select("item_id", item_tokens(F.concat_ws(" ", *columns)).alias("t"))
     a = bags.select(F.col("item_id").alias("source_id"), F.col("t").alias("ta"))
     b = bags.select(F.col("item_id").alias("target_id"), F.col("t").alias("tb"))
-    probe = sources.select("case_id", "source_id").join(candidates.select("case_id", "target_id"), "case_id").where("source_id <> target_id")
-    return probe.join(a, "source_id").join(b, "target_id").withColumn("similarity", jaccard(F.col("ta"), F.col("tb"))).drop("ta", "tb")
+    once = pairs.where("source_id <> target_id").select("source_id", "target_id").distinct().join(a, "source_id").join(b, "target_id")
+    return cut(pairs.drop("recency").join(once.select("source_id", "target_id", jaccard(F.col("ta"), F.col("tb")).alias("similarity")), ["source_id", "target_id"]))
 
 
-def semantic_evidence(sources: DataFrame, candidates: DataFrame, items: DataFrame, columns: Sequence[str], threshold: float = 0.2) -> DataFrame:
-    return _shaped(_similar(sources, candidates, items, columns).where(F.col("similarity") >= threshold), "semantic")
+def semantic_evidence(alike: DataFrame, threshold: float = 0.2) -> DataFrame:
+    """Rows of similar() from the threshold on."""
+    return _shaped(alike.where(F.col("similarity") >= threshold), "semantic")
 
 
-def contrastive_evidence(sources: DataFrame, candidates: DataFrame, items: DataFrame, columns: Sequence[str], edges: DataFrame, threshold: float = 0.1) -> DataFrame:
+def contrastive_evidence(alike: DataFrame, edges: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Moves that text similarity does not explain."""
-    far = _similar(sources, candidates, items, columns).where(F.col("similarity") <= threshold)
-    return _shaped(far.join(edges.select("source_id", "target_id", F.col("count").alias("transition_count"), "gap_bucket"), ["source_id", "target_id"]), "contrastive")
+    known = edges.select("source_id", "target_id", F.col("count").alias("transition_count"), "gap_bucket")
+    return _shaped(alike.where(F.col("similarity") <= threshold).join(known, ["source_id", "target_id"]), "contrastive")
 
 
-def history_evidence(sources: DataFrame, candidates: DataFrame) -> DataFrame:
-    """sources(case_id, source_id, recency): a signal of 1 / recency."""
-    return _shaped(sources.join(candidates.select("case_id", "target_id"), "case_id").withColumn("recent_signal", 1 / F.col("recency")).drop("recency"), "history")
+def history_evidence(pairs: DataFrame) -> DataFrame:
+    """A signal of 1 / recency."""
+    return _shaped(pairs.withColumn("recent_signal", 1 / F.col("recency")).drop("recency"), "history")
 
 
 def drift_evidence(histories: DataFrame, candidates: DataFrame, items: DataFrame) -> DataFrame:

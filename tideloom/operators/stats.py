@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ def overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], k: int) -> D
 
 
 def paired_moments(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """pairs(groups, a, b) -> n, mean difference, sample variance, t and the two-sided p of the normal approximation."""
+    """pairs(groups, a, b) -> n, mean difference, sample variance, t and direction."""
     d = F.col("a") - F.col("b")
     sums = pairs.groupBy(*groups).agg(F.count("*").alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("ss"))
     mean = F.col("s") / F.col("n")
@@ -44,34 +44,37 @@ def normal_p(t: float) -> float:
     return math.erfc(abs(t) / math.sqrt(2)) if math.isfinite(t) else 0.0
 
 
+#: Sums of the Poisson(1) distribution up to each count; what lies beyond the last is below 1e-16.
+_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(18)]
+
+
 def resampled(pairs: DataFrame, groups: Sequence[str], rounds: int = 1000, seed: int = 0) -> DataFrame:
     """Sign-flip p and 95 % bootstrap interval of the mean difference, by group.
 
-    Round r's sums come from signs and Poisson(1) weights that hash (seed, round, row) alone, so every
-    partition adds up its own rows and only `rounds` sums a group are shuffled.
+    Round r's signs and Poisson(1) weights hash (seed, round, row) alone, so every task adds up its own rows and
+    only `rounds` sums a group are shuffled. pairs(groups, row, a, b).
     """
-    names = [*groups, "round", "flip", "boot", "weight", "total", "n"]
-    kinds = ", ".join(f"{g} {dict(pairs.dtypes)[g]}" for g in groups)
-
-    def run(batches):
-        import pandas as pd
-
-        sums: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            keys = list(zip(*[pdf[g] for g in groups], strict=True)) if groups else [()] * len(pdf)
-            for key, row, d in zip(keys, pdf["row"], pdf["a"] - pdf["b"], strict=True):
-                rng = np.random.default_rng([seed, int(row) & 0x7FFFFFFFFFFFFFFF])
-                at = sums.setdefault(key, np.zeros((5, rounds)))
-                sign, weight = rng.integers(0, 2, rounds) * 2 - 1, rng.poisson(1.0, rounds)
-                at += np.stack([sign * d, weight * d, weight, np.full(rounds, d), np.ones(rounds)])
-        for key, s in sums.items():
-            yield pd.DataFrame({**{g: [k] * rounds for g, k in zip(groups, key, strict=True)}, "round": range(rounds), "flip": s[0], "boot": s[1], "weight": s[2], "total": s[3], "n": s[4]})[names]
-
-    parts = pairs.select(*groups, "row", "a", "b").mapInPandas(run, f"{kinds + ', ' if kinds else ''}round int, flip double, boot double, weight double, total double, n double")
-    each = parts.groupBy(*groups, "round").agg(*[F.sum(c).alias(c) for c in ("flip", "boot", "weight", "total", "n")])
+    drawn = F.xxhash64(F.lit(seed).cast("long"), F.col("round").cast("long"), F.col("row").cast("long"))
+    each = pairs.select(*groups, "row", (F.col("a") - F.col("b")).alias("d"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round")).withColumn("h", drawn)
+    share = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    weight = F.lit(len(_POISSON))
+    for k in range(len(_POISSON) - 1, -1, -1):
+        weight = F.when(F.col("u") < _POISSON[k], k).otherwise(weight)
+    signs = each.withColumn("u", share).select(*groups, "round", "d", (F.pmod("h", F.lit(2)) * 2 - 1).alias("sign"), weight.alias("w"))
+    sums = signs.groupBy(*groups, "round").agg(F.sum(F.col("sign") * F.col("d")).alias("flip"), F.sum(F.col("w") * F.col("d")).alias("boot"), F.sum("w").alias("weight"), F.sum("d").alias("total"))
     extreme = F.count_if(F.abs("flip") >= F.abs(F.col("total")) - 1e-12)
     mean = F.when(F.col("weight") > 0, F.col("boot") / F.col("weight"))
-    return each.groupBy(*groups).agg(((extreme + 1) / (F.count("*") + 1)).alias("p_randomization"), F.percentile(mean, F.lit(0.025)).alias("ci_low"), F.percentile(mean, F.lit(0.975)).alias("ci_high"))
+    return sums.groupBy(*groups).agg(((extreme + 1) / (F.count("*") + 1)).alias("p_randomization"), F.percentile(mean, F.lit(0.025)).alias("ci_low"), F.percentile(mean, F.lit(0.975)).alias("ci_high"))
+
+
+def paired_t_test(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """paired_moments() with the two-sided p of the normal approximation. One row a group reaches Python."""
+
+    @F.pandas_udf("double")
+    def p_of(t: pd.Series) -> pd.Series:
+        return t.map(normal_p)
+
+    return paired_moments(pairs, groups).withColumn("p_value", p_of("t"))
 
 
 def multiseed(rows: DataFrame, keys: Sequence[str], seeds: Sequence[int]) -> DataFrame:

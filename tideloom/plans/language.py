@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tideloom.functions.cuts import cut, shared_folder
 from tideloom.operators import asof, evidence, graph, models, prompts, rank, sequences
 from tideloom.plans import sql
 from tideloom.plans.base import catalogue, rounded, split_events, test_cases, train_events
@@ -33,13 +33,15 @@ def _histories(spark, folder):
 
 def _evidence(spark, folder):
     sources, candidates, edges, items = _inputs(spark, folder)
-    text = ["title", "brand"]
+    pairs = evidence.probe(sources, candidates)
+    alike = evidence.similar(pairs, items, ["title", "brand"])
+    edges = cut(edges)
     parts = [
-        evidence.transition_evidence(sources, candidates, edges),
-        evidence.window_evidence(sources, candidates, graph.window_edges(train_events(spark, folder), 86_400)),
-        evidence.semantic_evidence(sources, candidates, items, text),
-        evidence.contrastive_evidence(sources, candidates, items, text, edges),
-        evidence.history_evidence(sources, candidates),
+        evidence.transition_evidence(pairs, edges),
+        evidence.window_evidence(pairs, graph.window_edges(train_events(spark, folder), 86_400)),
+        evidence.semantic_evidence(alike),
+        evidence.contrastive_evidence(alike, edges),
+        evidence.history_evidence(pairs),
         evidence.drift_evidence(_histories(spark, folder), candidates, items),
     ]
     out = parts[0]
@@ -123,7 +125,8 @@ def _(spark, folder):
     _case_sql("a AS (SELECT case_id, evidence_type, source_id, target_id, gap_bucket, target_id % 2 = 0 AS good FROM ev WHERE evidence_type = 'transition')", select="SELECT count(*) AS used, round(avg(CASE WHEN good THEN 1.0 ELSE 0 END), 6) AS grounding_rate, round(avg(CASE WHEN good AND gap_bucket = 'same_day' THEN 1.0 ELSE 0 END), 6) AS bucket_rate FROM a"),
 )
 def _(spark, folder):
-    given = evidence.transition_evidence(*_inputs(spark, folder)[:3])
+    sources, candidates, edges, _ = _inputs(spark, folder)
+    given = evidence.transition_evidence(evidence.probe(sources, candidates), edges)
     answers = given.select("case_id", F.when(F.col("target_id") % 2 == 0, F.col("evidence_id")).otherwise("ev_unknown").alias("evidence_id"), F.lit("same_day").alias("mentions_bucket"))
     return rounded(evidence.grounding(answers, given))
 
@@ -230,18 +233,19 @@ def _(spark, folder):
     return rank.top_k(scored, ["trial", "user"], 5)
 
 
-def _drained(spark, name, frame, mode="append"):
-    """Run a stream to the end of its input into a table in memory."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tideloom-stream-")
-    table_name = f"{name}_{uuid.uuid4().hex[:8]}"
-    query = frame.writeStream.outputMode(mode).format("memory").queryName(table_name).option("checkpointLocation", f"{place}/{table_name}").trigger(availableNow=True).start()
+def _drained(spark, name, frame):
+    """Run a stream to the end of its input into Parquet files of the shared folder, and read these."""
+    place = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    query = frame.writeStream.outputMode("append").format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(table_name)
+    return spark.read.schema(frame.schema).parquet(f"{place}/rows")
 
 
 def _event_stream(spark, folder):
     static = spark.read.parquet(f"{folder}/events.parquet")
-    return spark.readStream.schema(static.schema).format("parquet").load(f"{folder}/events.parquet*")
+    raw = spark.readStream.schema(static.schema).format("parquet").load(f"{folder}/events.parquet*")
+    seconds = F.expr("cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as bigint)")
+    return raw.select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("item_id"), seconds.alias("ts"), F.timestamp_seconds(seconds).alias("event_time"))
 
 
 _STRICT = """s AS (SELECT *, count(*) OVER (PARTITION BY user_id, ts) AS n FROM ia)"""
@@ -254,14 +258,30 @@ _STRICT = """s AS (SELECT *, count(*) OVER (PARTITION BY user_id, ts) AS n FROM
       WHERE source_ts < target_ts AND b = 1"""),
 )
 def _(spark, folder):
-    raw = _event_stream(spark, folder)
-    rows = raw.select("user_id", F.get_json_object("props", "$.k").cast("long").alias("item_id"), F.expr("cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as bigint)").alias("ts"), "event_id")
-    return _drained(spark, "transitions", streams.stream_transitions(rows))
+    return _drained(spark, "transitions", streams.stream_transitions(_event_stream(spark, folder).select("user_id", "item_id", "ts", "event_id")))
 
 
-@register("stream_popularity", sql.query(sql.EVENTS, select="SELECT ts // 86400 AS day, item_id, count(*) AS count FROM ia GROUP BY ALL"))
+_CLOSED = "w AS (SELECT max(ts) - 3600 AS mark FROM ia)"
+
+
+@register("stream_popularity", sql.query(sql.EVENTS, _CLOSED, select="SELECT ts // 86400 AS day, item_id, count(*) AS count FROM ia WHERE (ts // 86400 + 1) * 86400 <= (SELECT mark FROM w) GROUP BY ALL"))
 def _(spark, folder):
-    raw = _event_stream(spark, folder)
-    rows = raw.select(F.get_json_object("props", "$.k").cast("long").alias("item_id"), F.timestamp_seconds(F.expr("cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as bigint)")).alias("event_time"))
-    counted = _drained(spark, "popularity", streams.stream_popularity(rows, length="1 day"), "complete")
+    """The days that the watermark has closed at the end of the input."""
+    counted = _drained(spark, "popularity", streams.stream_popularity(_event_stream(spark, folder).select("event_time", "item_id"), length="1 day"))
     return counted.select(F.expr("unix_seconds(window_start) div 86400").alias("day"), "item_id", "count")
+
+
+@register(
+    "stream_sessions",
+    sql.query(
+        sql.EVENTS,
+        _CLOSED,
+        "m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 1800 THEN 1 ELSE 0 END AS n FROM ia)",
+        "s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM m)",
+        select="SELECT user_id, min(ts) AS first_ts, max(ts) + 1800 AS end_ts, count(*) AS events FROM s GROUP BY user_id, s HAVING max(ts) + 1800 <= (SELECT mark FROM w)",
+    ),
+)
+def _(spark, folder):
+    """The sessions that the watermark has closed at the end of the input."""
+    found = _drained(spark, "sessions", streams.stream_sessions(_event_stream(spark, folder).select("event_time", "user_id")))
+    return found.select("user_id", F.expr("unix_seconds(session_start)").alias("first_ts"), F.expr("unix_seconds(session_end)").alias("end_ts"), "events")

@@ -354,6 +354,11 @@ def _(spark, folder):
     return rounded(stats.paired_moments(_halves(spark, folder), ["domain"]))
 
 
+@register("paired_t_test")
+def _(spark, folder):
+    return stats.paired_t_test(_halves(spark, folder), ["domain"])
+
+
 def _halves(spark, folder):
     even = F.col("event_id") % 2 == 0
     return event_interactions(spark, folder).groupBy("domain", "user_id").agg(F.avg(F.when(even, F.col("rating"))).alias("a"), F.avg(F.when(~even, F.col("rating"))).alias("b")).where("a is not null and b is not null")
