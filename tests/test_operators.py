@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tideloom.operators import asof, graph, metrics, models, perturb, prep, prompts, rank, runs, semantic, sequences, splits
 from tideloom.sources import sinks, tables
@@ -280,6 +281,95 @@ def test_resampling_takes_a_thousand_rounds(spark):
     assert found and found == pytest.approx([round(p) for p in found], abs=1e-6)
 
 
+def test_resampling_equals_brute_force(spark):
+    import struct
+
+    import xxhash
+
+    from tideloom.operators import stats
+
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(1 << 60), rng.random(), rng.random()) for g in ("x", "y") for _ in range(30)]
+    found = {r.g: r for r in stats.resampled(spark.createDataFrame(rows, "g string, row long, a double, b double"), ["g"], rounds=40, seed=5).collect()}
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+    for g in ("x", "y"):
+        mine = [(row, a - b) for name, row, a, b in rows if name == g]
+        flips, means = [], []
+        for r in range(40):
+            flip = boot = weight = 0.0
+            for row, d in mine:
+                h = 42
+                for v in (5, r, row):
+                    h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+                w = int(np.searchsorted(steps, (h >> 11) / 2**53, side="right"))
+                flip, boot, weight = flip + (d if h & 1 else -d), boot + w * d, weight + w
+            flips.append(flip), means.append(boot / weight)
+        total = abs(sum(d for _, d in mine))
+        assert found[g].p_randomization == pytest.approx((1 + sum(abs(f) >= total - 1e-12 for f in flips)) / 41)
+        assert (found[g].ci_low, found[g].ci_high) == pytest.approx((np.quantile(means, 0.025), np.quantile(means, 0.975)))
+
+
+def test_t_values_and_p(spark):
+    from tideloom.operators import stats
+
+    rows = [("a", 1.0, 0.0), ("a", 2.0, 1.5), ("a", 3.0, 2.9), ("b", 1.0, 1.0), ("c", 2.0, 1.0), ("c", 3.0, 2.0)]
+    found = {r.g: r for r in stats.paired_t_test(spark.createDataFrame(rows, "g string, a double, b double"), ["g"]).collect()}
+    d = np.array([1.0, 0.5, 0.1])
+    t = d.mean() / math.sqrt(d.var(ddof=1) / 3)
+    assert found["a"].t == pytest.approx(t) and found["a"].p_value == pytest.approx(math.erfc(t / math.sqrt(2)))
+    assert found["b"].p_value == 1.0 and found["b"].direction == "tied" and found["c"].p_value == 0.0 and found["c"].direction == "improved"
+
+
+def test_numbers_are_printed_as_printf_does(spark):
+    from tideloom.operators import evidence, prompts
+
+    rng = random.Random(1)
+    values = [0.0, 1.0, 0.5, 9999.6, 9999.4, 12345.0, 12355.0, 99995.0, 0.00012345, 999.95, 999.949, 1e10, -3.5, 0.99996] + [10 ** rng.uniform(-4, 12) for _ in range(300)] + [float(rng.randrange(10**6)) for _ in range(300)]
+    for r in spark.createDataFrame([(v,) for v in values], "v double").withColumn("s", evidence.short_number(F.col("v"))).collect():
+        assert r.s == f"{r.v:.4g}"
+    gaps = [4140, 4500, 3599, 86_399, 1_234_567_890] + [rng.randrange(10**6) for _ in range(300)]
+    for r in spark.createDataFrame([(v,) for v in gaps], "v long").withColumn("s", prompts.human_gap(F.col("v"))).collect():
+        assert r.s == (f"{r.v:.0f} seconds" if r.v < 3600 else f"{r.v / 3600:.1f} hours" if r.v < 86_400 else f"{r.v / 86_400:.1f} days")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_last_distinct_items_before_a_case(spark, seed):
+    from tideloom.operators import asof
+
+    rng = random.Random(seed)
+    events = [(e, rng.randrange(4), rng.randrange(6), rng.randrange(30)) for e in range(80)]
+    cases = [(100 + c, rng.randrange(5), rng.randrange(6), rng.randrange(32)) for c in range(25)]
+    schema = "event_id long, user_id long, item_id long, ts long"
+    found = asof.sources_of(spark.createDataFrame(cases, schema), spark.createDataFrame(events, schema), 3).collect()
+    expected = set()
+    for case, user, _, ts in cases:
+        latest = {}
+        for e, u, i, t in events:
+            if u == user and t < ts:
+                latest[i] = max(latest.get(i, (-1, -1)), (t, e))
+        expected |= {(case, i, n + 1) for n, i in enumerate(sorted(latest, key=latest.get, reverse=True)[:3])}
+    assert {tuple(r) for r in found} == expected
+
+
+def test_late_rows_are_left_out_of_a_stream(spark, tmp_path):
+    from tideloom.streaming import transitions as streams
+
+    def rows(name, times):
+        spark.createDataFrame([(t, 1) for t in times], "ts long, item_id long").selectExpr("timestamp_seconds(ts) AS event_time", "item_id").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+
+    def run():
+        read = spark.readStream.schema("event_time timestamp, item_id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        query = streams.stream_popularity(read, "1 day", "1 hour").writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    day = 86_400
+    for name, times in (("a", [10, 20]), ("b", [3 * day]), ("c", [30, 3 * day + 1]), ("d", [6 * day])):
+        rows(name, times)
+        run()
+    found = spark.read.parquet(f"{tmp_path}/out").selectExpr("unix_seconds(window_start) AS s", "count").collect()
+    assert sorted(map(tuple, found)) == [(0, 2), (3 * day, 2)]  # the row of second 30 came after its day had closed
+
+
 def test_command_line_lists_queries(capsys):
     from tideloom.__main__ import main
 

@@ -96,11 +96,21 @@ def weighted_score(evidence: DataFrame, transition: float = 1.0, window: float =
 
 
 def short_number(value: Column) -> Column:
-    """Four significant digits, trailing zeros dropped; as printf %.4g for values from 1e-4 to 1e15."""
-    exponent = F.when(value == 0, 0).otherwise(F.floor(F.log10(F.abs(value))))
-    plain = F.bround(value.cast("decimal(38,12)"), 0)
-    rounded = F.coalesce(*[F.when(exponent == e, F.bround(value.cast("decimal(38,12)"), 3 - e).cast("string")) for e in range(-4, 4)], plain.cast("string"))
-    return F.when(F.instr(rounded, ".") > 0, F.regexp_replace(F.regexp_replace(rounded, "0+$", ""), "[.]$", "")).otherwise(rounded)
+    """As printf %.4g, for zero and values from 1e-4 to 1e15: four significant digits, trailing zeros dropped, an exponent from 1e4 on."""
+    size, sign = F.abs(value), F.when(value < 0, "-").otherwise("")
+
+    def trimmed(text: Column) -> Column:
+        text = F.replace(text, F.lit(","), F.lit(""))
+        return F.when(F.instr(text, ".") > 0, F.regexp_replace(F.regexp_replace(text, "0+$", ""), "[.]$", "")).otherwise(text)
+
+    def with_exponent(e: int) -> Column:
+        mantissa = F.bround(size.cast("decimal(38,12)"), 3 - e) / F.lit(10**e).cast("decimal(20,0)")
+        return F.concat(trimmed(mantissa.cast("decimal(10,3)").cast("string")), F.lit(f"e+{e:02d}"))
+
+    out = F.when(size == 0, "0")
+    for e in range(15, -5, -1):  # an amount that rounds up to a power of ten counts as one
+        out = out.when(size >= 10.0**e - 0.5 * 10.0 ** (e - 4), with_exponent(e) if e > 3 else trimmed(F.format_number(size, 3 - e)))
+    return F.concat(sign, out)
 
 
 def translate(evidence: DataFrame, label: str = "item {}") -> DataFrame:

@@ -24,8 +24,12 @@ VARIANTS = {
 
 
 def human_gap(gap: Column) -> Column:
-    """A length of time in words: seconds, hours or days."""
-    return F.when(gap.isNull(), "unknown gap").when(gap < 3600, F.format_string("%d seconds", F.bround(gap, 0).cast("long"))).when(gap < 86_400, F.format_string("%s hours", F.bround((gap / 3600).cast("decimal(30,10)"), 1).cast("decimal(30,1)").cast("string"))).otherwise(F.format_string("%s days", F.bround((gap / 86_400).cast("decimal(30,10)"), 1).cast("decimal(30,1)").cast("string")))
+    """A length of time in words: seconds, hours or days, as printf %.0f and %.1f round."""
+
+    def shown(value: Column, places: int, unit: str) -> Column:
+        return F.concat(F.replace(F.format_number(value.cast("double"), places), F.lit(","), F.lit("")), F.lit(f" {unit}"))
+
+    return F.when(gap.isNull(), "unknown gap").when(gap < 3600, shown(gap, 0, "seconds")).when(gap < 86_400, shown(gap / 3600, 1, "hours")).otherwise(shown(gap / 86_400, 1, "days"))
 
 
 def chain(steps: DataFrame, variant: str) -> DataFrame:

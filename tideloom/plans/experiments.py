@@ -88,7 +88,15 @@ def _(spark, folder):
     return perturb.swap_far_and_near(_order_history(spark, folder), near=20_000_000, far=60_000_000).select("case_id", "item_id", "ts", "swapped_ts")
 
 
-@register("random_times")
+@register(
+    "random_times",
+    sql.query(
+        sql.ORDERS,
+        "q AS (SELECT DISTINCT user_id, item_id, ts, max(ts) OVER (PARTITION BY user_id) AS case_ts FROM ib)",
+        "h AS (SELECT user_id AS case_id, item_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) AS by_time, row_number() OVER (PARTITION BY user_id ORDER BY sha256('3|' || user_id || '|' || item_id)) AS by_hash FROM q WHERE ts < case_ts)",
+        select="SELECT a.case_id, a.item_id, b.ts FROM h a JOIN h b ON b.case_id = a.case_id AND b.by_time = a.by_hash",
+    ),
+)
 def _(spark, folder):
     return perturb.random_times(_order_history(spark, folder), 3).select("case_id", "item_id", "ts")
 
@@ -172,10 +180,12 @@ def _(spark, folder):
     return runs.sft_rows(sequences.prefixes(split_events(spark, folder), 5))
 
 
-@register("sft_leaks", sql.query(sql.EVENTS, sql.SPLIT, select="SELECT event_id FROM loo WHERE split = 'x'"))
+@register("sft_leaks", sql.query(sql.EVENTS, sql.SPLIT, select="SELECT event_id FROM (SELECT event_id, split, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM loo) WHERE split <> 'train' AND n > 1"))
 def _(spark, folder):
+    """The audit of rows that were built from every event, as if all were training events: it must name those that are not."""
     events = split_events(spark, folder)
-    return runs.sft_leaks(runs.sft_rows(sequences.prefixes(events, 5)), events).select("event_id")
+    careless = runs.sft_rows(sequences.prefixes(events.withColumn("split", F.lit("train")), 5))
+    return runs.sft_leaks(careless, events).select("event_id")
 
 
 @register("mean_metrics", sql.query(sql.EVENTS, select="SELECT domain, round(avg(user_id), 6) AS user_id, round(avg(rating), 6) AS rating FROM ia GROUP BY domain"))

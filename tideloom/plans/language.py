@@ -101,21 +101,28 @@ def _(spark, folder):
     return _evidence(spark, folder).select("evidence_type", "source_id", "target_id", "evidence_id").distinct()
 
 
+_TEXT = """CASE evidence_type
+      WHEN 'transition' THEN concat_ws('; ', 'After item ' || source_id || ', users reached item ' || target_id, 'transition_count=' || transition_count, 'mean_gap_seconds=' || printf('%.4g', mean_gap), 'gap_bucket=' || gap_bucket) || '.'
+      WHEN 'time_window' THEN concat_ws('; ', 'item ' || source_id || ' and item ' || target_id || ' appeared in the configured time window', 'time_window_score=' || printf('%.4g', window_score), 'gap_bucket=' || gap_bucket) || '.'
+      WHEN 'contrastive' THEN concat_ws('; ', 'item ' || target_id || ' is contrasted with item ' || source_id, 'semantic_similarity=' || printf('%.4g', similarity), CASE WHEN transition_count > 0 THEN 'transition_count=' || transition_count END, 'gap_bucket=' || gap_bucket) || '.'
+      WHEN 'semantic' THEN concat_ws('; ', 'item ' || source_id || ' and item ' || target_id || ' share item metadata evidence', 'semantic_similarity=' || printf('%.4g', similarity)) || '.'
+      WHEN 'history' THEN concat_ws('; ', 'item ' || source_id || ' is in the user''s history before considering item ' || target_id, 'recent_signal=' || printf('%.4g', recent_signal)) || '.'
+      ELSE concat_ws('; ', 'History category drift supports checking item ' || target_id, 'drift_from=' || drift_from, 'drift_to=' || drift_to) || '.' END"""
+
+
+@register("evidence_text", _case_sql(select=f"SELECT case_id, evidence_type, source_id, target_id, {_TEXT} AS text FROM ev"))
+def _(spark, folder):
+    return evidence.translate(_evidence(spark, folder)).select("case_id", "evidence_type", "source_id", "target_id", "text")
+
+
 @register(
-    "evidence_text",
+    "evidence_top_text",
     _case_sql(
-        select="""SELECT case_id, evidence_type, source_id, target_id, CASE evidence_type
-      WHEN 'transition' THEN concat_ws('; ', 'After item ' || source_id || ', users reached item ' || target_id, 'transition_count=' || transition_count, 'gap_bucket=' || gap_bucket) || '.'
-      WHEN 'history' THEN 'item ' || source_id || ' is in the user''s history before considering item ' || target_id || '.'
-      ELSE concat_ws('; ', 'History category drift supports checking item ' || target_id, 'drift_from=' || drift_from, 'drift_to=' || drift_to) || '.' END AS text FROM ev WHERE evidence_type IN ('transition', 'history', 'user_drift')"""
+        "ids AS (SELECT DISTINCT *, 'ev_' || substr(sha1(concat_ws('|', evidence_type, source_id, target_id)), 1, 16) AS evidence_id FROM ev)",
+        "rk AS (SELECT *, row_number() OVER (PARTITION BY case_id, target_id ORDER BY list_position(['transition', 'time_window', 'contrastive', 'semantic', 'history', 'user_drift'], evidence_type), coalesce(transition_count::DOUBLE, window_score, similarity, recent_signal, 0) DESC, evidence_id) AS rank FROM ids)",
+        select=f"SELECT case_id, target_id, rank, evidence_id, {_TEXT} AS text FROM rk WHERE rank <= 3",
     ),
 )
-def _(spark, folder):
-    rows = _evidence(spark, folder).where("evidence_type in ('transition', 'history', 'user_drift')").withColumn("mean_gap", F.lit(None).cast("double")).withColumn("recent_signal", F.lit(None).cast("double"))
-    return evidence.translate(rows).select("case_id", "evidence_type", "source_id", "target_id", "text")
-
-
-@register("evidence_top_text")
 def _(spark, folder):
     return evidence.translate(evidence.first_of_each(_evidence(spark, folder), 3)).select("case_id", "target_id", "rank", "evidence_id", "text")
 
@@ -158,7 +165,10 @@ def _(spark, folder):
     return prompts.chain(_steps(spark, folder), "with_time_buckets")
 
 
-@register("prompt_gap_chain")
+_GAP = "CASE WHEN gap IS NULL THEN 'unknown gap' WHEN gap < 3600 THEN printf('%.0f seconds', gap::DOUBLE) WHEN gap < 86400 THEN printf('%.1f hours', gap / 3600) ELSE printf('%.1f days', gap / 86400) END"
+
+
+@register("prompt_gap_chain", sql.query(sql.EVENTS, sql.SPLIT, _STEPS, select=f"SELECT user_id AS case_id, string_agg(CASE WHEN place = 0 THEN title ELSE 'after ' || {_GAP} || ' -> ' || title END, '; ' ORDER BY place) AS history_line FROM l5 GROUP BY 1"))
 def _(spark, folder):
     return prompts.chain(_steps(spark, folder), "with_time_gaps")
 
