@@ -154,14 +154,25 @@ def test_ids_and_ties(spark):
     assert {r.k: r.i for r in prep.dense_ids(frame, "k", "i").collect()} == {"a": 0, "b": 1, "c": 2}
 
 
-def test_bpr_learns_two_blocks():
-    import numpy as np
-
-    users = np.repeat(np.arange(10), 5)
-    items = np.concatenate([np.arange(5) if u < 5 else np.arange(5, 10) for u in range(10)])
-    p, q, bias = models.fit_bpr(users, items, 4, 60, 0.1, 0.001, 0)
-    scores = p @ q.T + bias
-    assert scores[:5, :5].mean() > scores[:5, 5:].mean() and scores[5:, 5:].mean() > scores[5:, :5].mean()
+@pytest.mark.parametrize("block_pairs", [1000, 12])
+def test_factors_learn_and_rank(spark, block_pairs):
+    pairs = [(u, 100 + i) for u in range(12) for i in range(12) if (u < 6) == (i < 6) and u != i]
+    frame = spark.createDataFrame(pairs, "user long, item long")
+    trials = [{"factors": 4, "epochs": e, "rate": 0.2, "decay": 0.001, "seed": 1} for e in (12, 1)]
+    factors = models.sweep(frame, trials, block_pairs=block_pairs, batch=8).cache()
+    side = {(r.trial, r.kind, r.id): (np.array(r.vector), r.bias) for r in factors.collect()}
+    assert len(side) == 2 * 24
+    value = {(t, u, i): float(side[t, "user", u][0] @ side[t, "item", i][0] + side[t, "item", i][1]) for t in (0, 1) for u in range(12) for i in range(100, 112)}
+    near = [v for (t, u, i), v in value.items() if t == 0 and (u < 6) == (i < 106)]
+    far = [v for (t, u, i), v in value.items() if t == 0 and (u < 6) != (i < 106)]
+    assert np.mean(near) > np.mean(far) + 0.5
+    cases = [(t, 50 + u, u, 100 + u) for t in (0, 1) for u in range(12)]
+    ranks = models.target_ranks(factors, spark.createDataFrame(cases, "trial int, case_id long, user long, item long"), frame, case_block=5, item_block=4).collect()
+    seen = set(pairs)
+    order = {(t, u): sorted((i for i in range(100, 112) if (u, i) not in seen), key=lambda i: (-value[t, u, i], i)) for t in (0, 1) for u in range(12)}
+    assert {(r.trial, r.user): r["rank"] for r in ranks} == {(t, u): order[t, u].index(100 + u) + 1 for t, u in order}
+    best = models.top_unseen(factors, spark.createDataFrame(cases, "trial int, case_id long, user long, item long"), frame, 3, case_block=5, item_block=4).collect()
+    assert {(r.trial, r.user, r["rank"]): r["item"] for r in best} == {(t, u, n + 1): i for (t, u), found in order.items() for n, i in enumerate(found[:3])}
 
 
 def test_files_round_trip(spark, tmp_path):

@@ -2,71 +2,179 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideloom.functions.cuts import cut
+
 
 def positive_pairs(train: DataFrame) -> DataFrame:
     return train.select("user_id", "item_id").distinct()
 
 
-def fit_bpr(users: np.ndarray, items: np.ndarray, factors: int, epochs: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stochastic pairwise updates in the seed's order. users and items are dense ids of the positive pairs."""
-    rng = np.random.default_rng(seed)
-    n_users, n_items = int(users.max()) + 1, int(items.max()) + 1
-    p = rng.normal(0, 0.1, (n_users, factors))
-    q = rng.normal(0, 0.1, (n_items, factors))
-    bias = np.zeros(n_items)
-    known = set(zip(users.tolist(), items.tolist(), strict=True))
-    for _ in range(epochs):
-        for k in rng.permutation(len(users)):
-            u, i = int(users[k]), int(items[k])
-            j = int(rng.integers(n_items))
+def _start(ids: DataFrame, kind: str, grid: DataFrame) -> DataFrame:
+    """Factors from a normal distribution of deviation 0.1, by hashes of (seed, kind, id, place)."""
+    unit = lambda i, salt: (F.shiftrightunsigned(F.xxhash64("seed", F.lit(kind), "id", i, F.lit(salt)), 11) + 1) / float((1 << 53) + 1)
+    normal = F.transform(F.sequence(F.lit(1), F.col("factors")), lambda i: 0.1 * F.sqrt(-2 * F.ln(unit(i, 1))) * F.cos(2 * math.pi * unit(i, 2)))
+    return ids.select(F.col(ids.columns[0]).cast("long").alias("id")).distinct().crossJoin(F.broadcast(grid)).select("trial", F.lit(kind).alias("kind"), "id", normal.alias("vector"), F.lit(0.0).alias("bias"))
+
+
+def _train_block(epoch: int, stratum: int, batch: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """A pass over the pairs of a block of users and a block of items, in batches of the seed's order."""
+
+    def train(pairs: pd.DataFrame, factors: pd.DataFrame) -> pd.DataFrame:
+        out = factors[["trial", "kind", "id", "vector", "bias"]]
+        if not len(pairs) or not len(factors):
+            return out
+        t = factors.iloc[0]
+        user, item = factors[factors.kind == "user"].sort_values("id"), factors[factors.kind == "item"].sort_values("id")
+        if not len(item):
+            return out
+        p, q, bias = np.stack(user.vector.to_numpy()), np.stack(item.vector.to_numpy()), item.bias.to_numpy().copy()
+        pairs = pairs.sort_values(["user", "item"], kind="stable")
+        u, i = np.searchsorted(user.id.to_numpy(), pairs.user.to_numpy()), np.searchsorted(item.id.to_numpy(), pairs.item.to_numpy())
+        known = np.sort(u * len(q) + i)
+        rng = np.random.default_rng([int(t.seed), epoch, stratum, int(t.part)])
+        order = rng.permutation(len(u))
+        for at in range(0, len(order), batch):
+            some = order[at : at + batch]
+            us, pos = u[some], i[some]
+            neg = rng.integers(len(q), size=len(some))
             for _ in range(20):
-                if (u, j) not in known:
+                code = us * len(q) + neg
+                bad = known[np.minimum(np.searchsorted(known, code), len(known) - 1)] == code
+                if not bad.any():
                     break
-                j = int(rng.integers(n_items))
+                neg[bad] = rng.integers(len(q), size=int(bad.sum()))
             else:
-                continue
-            margin = bias[i] - bias[j] + p[u] @ (q[i] - q[j])
-            g = 1 / (1 + np.exp(np.clip(margin, -35, 35)))
-            pu = p[u].copy()
-            p[u] += rate * (g * (q[i] - q[j]) - decay * pu)
-            q[i] += rate * (g * pu - decay * q[i])
-            q[j] += rate * (-g * pu - decay * q[j])
-            bias[i] += rate * (g - decay * bias[i])
-            bias[j] += rate * (-g - decay * bias[j])
-    return p, q, bias
-
-
-def sweep(pairs: DataFrame, trials: list[dict], max_pairs: int = 200_000) -> DataFrame:
-    """pairs(user, item) with dense ids; one task trains each trial -> (trial, kind, id, vector, bias).
-
-    The updates depend on each other, so a trial is one task and its pairs must fit in it: `max_pairs` is
-    checked and not cut. Trials spread over executors.
+                us, pos, neg = us[~bad], pos[~bad], neg[~bad]
+            pu, diff = p[us], q[pos] - q[neg]
+            g = 1 / (1 + np.exp(np.clip(bias[pos] - bias[neg] + (pu * diff).sum(axis=1), -35, 35)))[:, None]
+            np.add.at(p, us, t.rate * (g * diff - t.decay * pu))
+            np.add.at(q, pos, t.rate * (g * pu - t.decay * q[pos]))
+            np.add.at(q, neg, t.rate * (-g * pu - t.decay * q[neg]))
+            np.add.at(bias, pos, t.rate * (g[:, 0] - t.decay * bias[pos]))
+            np.add.at(bias, neg, t.rate * (-g[:, 0] - t.decay * bias[neg]))
+        made = pd.concat([user.assign(vector=list(p)), item.assign(vector=list(q), bias=bias)])
+        return made[["trial", "kind", "id", "vector", "bias"]]
+
+    return train
+
+
+def _fresh(frame: DataFrame) -> DataFrame:
+    """The same columns under attributes of their own, for two frames that come from one."""
+    return frame.select(*[F.col(c).alias(c) for c in frame.columns])
+
+
+_FACTORS = "trial int, kind string, id long, vector array<double>, bias double"
+
+
+def sweep(pairs: DataFrame, trials: list[dict], block_pairs: int = 200_000, batch: int = 64) -> DataFrame:
+    """pairs(user, item), the positive ones -> (trial, kind, id, vector, bias) of each trial's trained factors.
+
+    Users and items are hashed into B blocks each, so that a block of both has about `block_pairs` pairs or fewer. A
+    stratum is B such blocks that share neither users nor items, trained side by side, one task a block and trial;
+    B strata are an epoch. Negatives of a pair come from its item block. With one block this is plain stochastic
+    descent. Between strata the factors are cut, so a lost executor costs a stratum at most.
     """
-    if pairs.count() > max_pairs:
-        raise ValueError(f"a trial trains in one task; more than {max_pairs} pairs need a distributed factorisation")
-    spark = pairs.sparkSession
-    grid = spark.createDataFrame([(i, t["factors"], t["epochs"], t["rate"], t["decay"], t["seed"]) for i, t in enumerate(trials)], "trial int, factors int, epochs int, rate double, decay double, seed int")
-    rows = pairs.select("user", "item").crossJoin(F.broadcast(grid))
-
-    def train(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["user", "item"], kind="stable")
-        t = pdf.iloc[0]
-        p, q, bias = fit_bpr(pdf["user"].to_numpy(), pdf["item"].to_numpy(), int(t.factors), int(t.epochs), float(t.rate), float(t.decay), int(t.seed))
-        made = [(int(t.trial), "user", i, v.tolist(), 0.0) for i, v in enumerate(p)] + [(int(t.trial), "item", i, v.tolist(), float(b)) for i, (v, b) in enumerate(zip(q, bias, strict=True))]
-        return pd.DataFrame(made, columns=["trial", "kind", "id", "vector", "bias"])
-
-    return rows.groupBy("trial").applyInPandas(train, "trial int, kind string, id long, vector array<double>, bias double")
-
-
-def score(factors: DataFrame, cases: DataFrame, seen: DataFrame) -> DataFrame:
-    """cases(trial, user) x items of the same trial, without those seen -> (trial, user, item, score)."""
-    u = factors.where("kind = 'user'").select("trial", F.col("id").alias("user"), F.col("vector").alias("p"))
-    i = factors.where("kind = 'item'").select("trial", F.col("id").alias("item"), F.col("vector").alias("q"), "bias")
-    dot = F.aggregate(F.zip_with("p", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return cases.join(u, ["trial", "user"]).join(i, "trial").join(seen, ["user", "item"], "left_anti").select("trial", "user", "item", (dot + F.col("bias")).alias("score"))
+    blocks = max(1, math.ceil(math.sqrt(pairs.count() / block_pairs)))
+    grid = pairs.sparkSession.createDataFrame([(i, t["factors"], t["epochs"], float(t["rate"]), float(t["decay"]), t["seed"]) for i, t in enumerate(trials)], "trial int, factors int, epochs int, rate double, decay double, seed long")
+    of = lambda column, salt: F.pmod(F.xxhash64(F.col(column).cast("long"), F.lit(salt)), F.lit(blocks))
+    placed = cut(pairs.select(F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item"), of("user", 1).alias("ub"), of("item", 2).alias("ib")))
+    factors = cut(_start(placed.select("user"), "user", grid).union(_start(placed.select("item"), "item", grid)))
+    for epoch in range(max(t["epochs"] for t in trials)):
+        for stratum in range(blocks):
+            part = F.when(F.col("kind") == "user", of("id", 1)).otherwise(F.pmod(of("id", 2) - stratum, F.lit(blocks)))
+            live = factors.join(F.broadcast(grid), "trial").withColumn("part", part)
+            turn = placed.where(F.pmod(F.col("ib") - F.col("ub"), F.lit(blocks)) == stratum).select("user", "item", F.col("ub").alias("part"))
+            asked = turn.crossJoin(F.broadcast(grid.where(F.col("epochs") > epoch).select("trial")))
+            step = _fresh(asked).groupBy("trial", "part").cogroup(_fresh(live).groupBy("trial", "part"))
+            factors = cut(step.applyInPandas(_train_block(epoch, stratum, batch), _FACTORS))
+    return factors
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _sides(factors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    users = factors.where("kind = 'user'").select("trial", F.col("id").alias("user"), F.col("vector").alias("p"))
+    return users, factors.where("kind = 'item'").select("trial", F.col("id").alias("item"), F.col("vector").alias("q"), "bias")
+
+
+def score(factors: DataFrame, cases: DataFrame) -> DataFrame:
+    """cases(trial, user, item, ...) with the score of each; cases without factors are left out."""
+    users, items = _sides(factors)
+    return cases.join(users, ["trial", "user"]).join(items, ["trial", "item"]).withColumn("score", _dot("p", "q") + F.col("bias")).drop("p", "q", "bias")
+
+
+def _block_scores(asked: pd.DataFrame, items: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Item ids in order and the score of every asked row with each; a sum takes its terms in the order of the places."""
+    items = items.sort_values("item")
+    p, q = np.stack(asked.p.to_numpy()), np.stack(items.q.to_numpy())
+    scores = np.zeros((len(p), len(q)))
+    for d in range(p.shape[1]):
+        scores += p[:, d, None] * q[:, d]
+    return items.item.to_numpy(), scores + items.bias.to_numpy()
+
+
+def _against_items(factors: DataFrame, asked: DataFrame, reduce, schema: str, case_block: int, item_block: int) -> DataFrame:
+    """asked(trial, p, ...) and all items of the trial, every block of the ones with every block of the others in a task of its own."""
+    _, items = _sides(factors)
+    n, m = (max(1, -(-frame.count() // size)) for frame, size in ((asked, case_block), (items, item_block)))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    a = _fresh(asked).withColumn("cases", F.pmod(F.xxhash64("trial", "user"), F.lit(n))).withColumn("items", every(m))
+    b = _fresh(items).withColumn("items", F.pmod(F.xxhash64("item"), F.lit(m))).withColumn("cases", every(n))
+    return _fresh(a).groupBy("trial", "cases", "items").cogroup(_fresh(b).groupBy("trial", "cases", "items")).applyInPandas(reduce, schema)
+
+
+def top_unseen(factors: DataFrame, cases: DataFrame, seen: DataFrame, k: int, case_block: int = 512, item_block: int = 4096) -> DataFrame:
+    """cases(trial, user) -> the k best items that seen(user, item) has not: (trial, user, item, score, rank).
+
+    A block of items gives each case its k best and one more for every seen item of that block.
+    """
+    users, _ = _sides(factors)
+    known = seen.select("user", "item").distinct().groupBy("user").agg(F.count("*").alias("held"))
+    asked = cases.select("trial", "user").distinct().join(users, ["trial", "user"]).join(known, "user", "left").select("trial", "user", "p", F.coalesce("held", F.lit(0)).alias("held"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"trial": [], "user": [], "item": [], "score": []})
+        ids, scores = _block_scores(a, b)
+        order = np.argsort(-scores, axis=1, kind="stable")
+        rows = [(t, u, ids[c], scores[r, c]) for r, (t, u, held) in enumerate(zip(a.trial, a.user, a.held, strict=True)) for c in order[r, : k + held]]
+        return pd.DataFrame(rows, columns=["trial", "user", "item", "score"])
+
+    found = _against_items(factors, asked, best, "trial int, user long, item long, score double", case_block, item_block)
+    left = found.join(seen.select("user", "item").distinct(), ["user", "item"], "left_anti")
+    w = Window.partitionBy("trial", "user").orderBy(F.desc("score"), "item")
+    return left.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("trial", "user", "item", "score", "rank")
+
+
+def target_ranks(factors: DataFrame, cases: DataFrame, seen: DataFrame, case_block: int = 512, item_block: int = 4096) -> DataFrame:
+    """cases(trial, case_id, user, item) -> the target's rank among all items of the trial that seen(user, item) has not, score descending, then id.
+
+    Blocks count the items ahead of each target; seen items ahead of it are counted by a join and taken off. A
+    target without factors has no rank and no row.
+    """
+    users, _ = _sides(factors)
+    own = cut(score(factors, cases.select("trial", "case_id", "user", "item")).join(users, ["trial", "user"]).select("trial", "case_id", "user", "item", "score", "p"))
+
+    def ahead(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"trial": [], "case_id": [], "ahead": []})
+        ids, scores = _block_scores(a, b)
+        mine, target = a.score.to_numpy()[:, None], a["item"].to_numpy()[:, None]
+        over = (scores > mine) | ((scores == mine) & (ids < target))
+        return pd.DataFrame({"trial": a.trial, "case_id": a.case_id, "ahead": (over & (ids != target)).sum(axis=1)})
+
+    counted = _against_items(factors, own, ahead, "trial int, case_id long, ahead long", case_block, item_block).groupBy("trial", "case_id").agg(F.sum("ahead").alias("ahead"))
+    held = own.select("trial", "case_id", "user", F.col("item").alias("target"), F.col("score").alias("own")).join(seen.select("user", "item").distinct(), "user").where("item <> target")
+    before = score(factors, held).where("score > own or score = own and item < target").groupBy("trial", "case_id").agg(F.count("*").alias("hidden"))
+    joined = own.select("trial", "case_id", "user", "item").join(counted, ["trial", "case_id"]).join(before, ["trial", "case_id"], "left")
+    return joined.select("trial", "case_id", "user", "item", (F.col("ahead") - F.coalesce("hidden", F.lit(0)) + 1).alias("rank"))

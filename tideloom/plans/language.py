@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideloom.functions.cuts import cut, shared_folder
-from tideloom.operators import asof, evidence, graph, models, prompts, rank, sequences
+from tideloom.operators import asof, evidence, graph, metrics, models, prompts, rank, sequences
 from tideloom.plans import sql
 from tideloom.plans.base import catalogue, rounded, split_events, test_cases, train_events
 from tideloom.plans.registry import register
@@ -230,17 +230,26 @@ def _(spark, folder):
     return prompts.uncached(rows, rows.where("conv_id % 2 = 0")).select("conv_id", "turn", "cache_key")
 
 
+def _factors(spark, folder):
+    pairs = models.positive_pairs(train_events(spark, folder)).select(F.col("user_id").alias("user"), F.col("item_id").alias("item"))
+    trials = [{"factors": f, "epochs": 1, "rate": 0.05, "decay": 0.002, "seed": 0} for f in (8, 16)]
+    return pairs, models.sweep(pairs, trials)
+
+
 @register("bpr_sweep")
 def _(spark, folder):
-    from tideloom.operators.prep import dense_ids
+    pairs, factors = _factors(spark, folder)
+    cases = factors.where("kind = 'user'").select("trial", F.col("id").alias("user"))
+    return models.top_unseen(factors, cases, pairs, 5).withColumnRenamed("item", "item_id")
 
-    pairs = models.positive_pairs(train_events(spark, folder))
-    dense = pairs.join(dense_ids(pairs, "user_id", "user"), "user_id").join(dense_ids(pairs, "item_id", "item"), "item_id").select("user", "item")
-    trials = [{"factors": f, "epochs": 1, "rate": 0.05, "decay": 0.002, "seed": 0} for f in (8, 16)]
-    factors = models.sweep(dense, trials)
-    cases = dense.select("user").distinct().crossJoin(factors.select("trial").distinct())
-    scored = models.score(factors, cases, dense).withColumnRenamed("item", "item_id")
-    return rank.top_k(scored, ["trial", "user"], 5)
+
+@register("bpr_full_ranking")
+def _(spark, folder):
+    _, factors = _factors(spark, folder)
+    tested = test_cases(spark, folder).select(F.col("event_id").alias("case_id"), F.col("user_id").alias("user"), F.col("item_id").alias("item"))
+    seen = split_events(spark, folder).where("split <> 'test'").select(F.col("user_id").alias("user"), F.col("item_id").alias("item"))
+    ranks = models.target_ranks(factors, tested.crossJoin(F.broadcast(factors.select("trial").distinct())), seen)
+    return rounded(metrics.ranking(ranks, (5, 10), ["trial"]).where("trial is not null"))
 
 
 def _drained(spark, name, frame):
