@@ -6,8 +6,9 @@ two or more members are compared, and a bucket that holds different forms gets a
 of each, in byte order.
 
 The bytes of a text are only moved where its digest is shared. Shared digests are found from the digests
-alone; a bitmap of fixed size over their hashes then tells each task, with no join, which texts may be
-shared. The bitmap has false positives and no false negatives, so a full one costs traffic, not results.
+alone; a bitmap over their hashes, of eight cells for each up to 8 MB, then tells each task, with no join,
+which texts may be shared. The bitmap has false positives and no false negatives: beyond its bound, at some
+ten million shared digests and more, it costs traffic and not results.
 Copies collapse in each task before the exchange.
 
 Null text counts as empty. A repeated doc_id is ordered by its text; a null doc_id comes first.
@@ -16,6 +17,7 @@ Null text counts as empty. A repeated doc_id is ordered by its text; a null doc_
 from __future__ import annotations
 
 import hashlib
+import math
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -26,10 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideloom.functions.cuts import cut
 from tideloom.llm.common import map_batches
 
 Digest = Callable[[bytes], str]
 MOST_BUCKETS = 10_000
+MOST_BITS = 26  # 8 MB
 
 
 def canonical(text: str | None) -> bytes:
@@ -51,26 +55,27 @@ def _pack(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 
 
-def shared_bitmap(digests: DataFrame, bits: int = 22) -> np.ndarray:
-    """One bit for each hash cell of a digest that two or more rows have: 2**bits bits, whatever the input."""
-    shared = digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    cell = F.pmod(F.xxhash64("digest"), F.lit(1 << bits))
-    words = shared.select(cell.alias("c")).groupBy(F.expr("c div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("set")).collect()
-    found = np.zeros(max(1, (1 << bits) // 64), dtype=np.int64)
-    for r in words:
+def shared_bitmap(digests: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """One bit for each hash cell of a digest that two or more rows have: eight cells a shared digest, 2 ** most_bits in all at most."""
+    shared = cut(digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("digest").alias("h")))
+    bits = max(6, min(most_bits, math.ceil(math.log2(8 * max(1, shared.count())))))
+    cell = F.pmod("h", F.lit(1 << bits))
+    words = shared.select(cell.alias("c")).groupBy(F.expr("c div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("set"))
+    found = np.zeros((1 << bits) // 64, dtype=np.int64)
+    for r in words.collect():
         found[r["word"]] = r["set"]
     return found
 
 
-def colliding_forms(docs: DataFrame, digest: Digest = wide_digest, bits: int = 22) -> DataFrame:
+def colliding_forms(docs: DataFrame, digest: Digest = wide_digest, most_bits: int = MOST_BITS) -> DataFrame:
     """Digests whose documents differ in canonical bytes: (digest, form, ordinal). Byte-compares every shared bucket."""
 
     def narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([pa.array([digest(canonical(t)) for t in batch.column(0).to_pylist()], pa.string())], names=["digest"])
 
     texts = docs.select(docs["text"])
-    marked = shared_bitmap(map_batches(texts, narrow, "digest string"), bits)
-    mask = (1 << bits) - 1
+    marked = shared_bitmap(map_batches(texts, narrow, "digest string"), most_bits)
+    mask = 64 * len(marked) - 1
 
     def forms(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, packed = [], []
@@ -87,7 +92,7 @@ def colliding_forms(docs: DataFrame, digest: Digest = wide_digest, bits: int = 2
     return kinds.join(several, "digest").select("digest", "form", (F.row_number().over(Window.partitionBy("digest").orderBy("form")) - 1).alias("ordinal"))
 
 
-def fingerprint_edits(docs: DataFrame, digest: Digest = wide_digest, bits: int = 22, bucket_rows: int = 8192) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, digest: Digest = wide_digest, most_bits: int = MOST_BITS, bucket_rows: int = 8192) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text is the document with its last floor(n / 2) code points replaced by as many from the start
@@ -98,7 +103,7 @@ def fingerprint_edits(docs: DataFrame, digest: Digest = wide_digest, bits: int =
     bucket before it too. Bucket bounds are quantiles and the first ids are one row a bucket; there are at most
     MOST_BUCKETS, and a bucket is streamed, so neither the driver nor a task holds what grows with the input.
     """
-    colliding = colliding_forms(docs, digest, bits)
+    colliding = colliding_forms(docs, digest, most_bits)
     if not colliding.isEmpty():
         return _with_ordinals(_edits(docs, digest, bucket_rows, keep_forms=True), colliding)
     return _edits(docs, digest, bucket_rows, keep_forms=False)
@@ -141,8 +146,8 @@ def _edits(docs: DataFrame, digest: Digest, bucket_rows: int, keep_forms: bool)
         return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "guest", "doc_id", "tie", "packed"])
 
     placed = map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), dealt, "bucket int, guest boolean, doc_id long, tie long, packed binary")
-    tasks = max(1, len(order))
-    rows = placed.repartition(tasks, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "tie")
+    tasks = len(bounds) + 1
+    rows = placed.repartitionById(tasks, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_first(), "tie")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if keep_forms:
         schema += ", form binary, edited_form binary"
