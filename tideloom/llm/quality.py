@@ -5,16 +5,18 @@ scores the line and its neighbour, and Viterbi decoding labels the lines of a wh
 where the base rules pass and at least `least_content` of its words lie in content lines.
 
 The chain is fitted by maximum likelihood on a bounded sample of labelled documents: at most
-`rows_per_class` of each quality, those of least hash, at most `fit_lines` lines and `fit_chars` characters of
-each (limits of the fit; decoding takes every line). Lines of good documents are content. Lines of bad documents start as boilerplate; after
-the first fit the lines that the chain itself reads as content are relabelled and it is fitted again. With no
-label of either quality there is no evidence against a line, and all lines are content.
+`rows_per_class` of each quality, those of least hash, with the whole of their texts. Lines of good documents
+are content. Lines of bad documents start as boilerplate; after the first fit the lines that the chain itself
+reads as content are relabelled and it is fitted again. With no label of either quality there is no evidence
+against a line, and all lines are content.
 
 Null text: no words, so the base rules fail. Repeated rows get the same verdict.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -200,8 +202,12 @@ def train(documents: list[list[list[int]]], labels: list[list[int]], rounds: int
     return Chain(*theta)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 400, fit_lines: int = 40, fit_chars: int = 65_536) -> Chain:
-    """docs(doc_id, text), labels(doc_id, quality) -> the chain, from a bounded sample."""
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 400, chain_lines: int = 40, most_chains: int = 4000) -> Chain:
+    """docs(doc_id, text), labels(doc_id, quality) -> the chain, from a bounded sample of labelled rows.
+
+    The whole text of a chosen row is learned from, in chains of at most `chain_lines` lines; of more than
+    `most_chains` of them, those that come first in the order of a hash of doc_id and place.
+    """
     chosen = (
         labels.select(labels["doc_id"], labels["quality"])
         .where("quality in (0, 1) and doc_id is not null")
@@ -212,13 +218,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = 400, fit_lines
     quality = {r["doc_id"]: r["quality"] for r in chosen}
     if len(set(quality.values())) < 2:
         return Chain()
-    texts = docs.select(docs["doc_id"], F.substring(docs["text"], 1, fit_chars).alias("text")).where(F.col("doc_id").isin(list(quality)) & F.col("text").isNotNull()).dropDuplicates(["doc_id"]).toLocalIterator()
-    sample = sorted(((r["doc_id"], line_features(r["text"].encode())[0][:fit_lines]) for r in texts), key=lambda r: r[0])
-    sample = [(i, lines) for i, lines in sample if lines]
-    if len({quality[i] for i, _ in sample}) < 2:
+    texts = docs.select(docs["doc_id"], docs["text"]).where(F.col("doc_id").isin(list(quality)) & F.col("text").isNotNull()).dropDuplicates(["doc_id"]).toLocalIterator()
+    sample: list[tuple[int, object, int, list[list[int]]]] = []
+    for r in texts:
+        lines = line_features(r["text"].encode())[0]
+        sample += [(zlib.crc32(f"{r['doc_id']}:{at}".encode()), r["doc_id"], at, lines[at : at + chain_lines]) for at in range(0, len(lines), chain_lines)]
+        if len(sample) > 2 * most_chains:
+            sample = sorted(sample, key=lambda c: c[:3])[:most_chains]
+    sample = sorted(sorted(sample, key=lambda c: c[:3])[:most_chains], key=lambda c: c[1:3])
+    if len({quality[i] for _, i, _, _ in sample}) < 2:
         return Chain()
-    documents = [lines for _, lines in sample]
-    own = [[1 - quality[i]] * len(lines) for i, lines in sample]
+    documents = [lines for *_, lines in sample]
+    own = [[1 - quality[i]] * len(lines) for _, i, _, lines in sample]
     first = train(documents, own)
     again = [row if not row[0] else first.viterbi(first.scores(lines)) for row, lines in zip(own, documents, strict=True)]
     return train(documents, again) if any(map(any, again)) else first
