@@ -32,12 +32,20 @@ def fold(text: str) -> bytes:
     return b" " + b" ".join(text.lower().encode().translate(_FOLD).split()) + b" "
 
 
+def spread(text: bytes, most: int, cuts: int = 8) -> bytes:
+    """The text, or `most` bytes of it in pieces evenly spread from its start to its end."""
+    if len(text) <= most:
+        return text
+    size = max(1, most // cuts)
+    return b"".join(text[at : at + size] for at in ((len(text) - size) * i // (cuts - 1) for i in range(cuts)))
+
+
 def fit(labelled: DataFrame, rows_per_language: int = 400, dictionary_bytes: int = 98_304) -> dict[str, bytes]:
     """labelled(doc_id, text, lang) -> each language's dictionary content.
 
     The first pass ranks doc_ids by hash within a language (a partial top-k on every task); the second reads
-    the chosen rows alone. Each chosen row adds an equal share of bytes, from its start, and an eighth of the
-    dictionary (4096 characters at least) at most.
+    the chosen rows alone. Each chosen row adds an equal share of bytes, in pieces from all over its text, and an
+    eighth of the dictionary at most.
     """
     usable = labelled.where("lang is not null and text is not null and doc_id is not null")
     taken = (
@@ -47,10 +55,17 @@ def fit(labelled: DataFrame, rows_per_language: int = 400, dictionary_bytes: int
         .collect()
     )
     ids = [r["doc_id"] for r in taken]
-    rows = usable.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, max(4096, dictionary_bytes // 8)).alias("text")).distinct().orderBy("lang", "doc_id", "text").toLocalIterator() if ids else []
+
+    def parts(batches):
+        for batch in batches:
+            folded = [spread(fold(t), dictionary_bytes // 8) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(folded, pa.binary())], names=["id", "lang", "part"])
+
     texts: dict[str, list[bytes]] = {}
-    for r in rows:
-        texts.setdefault(r["lang"], []).append(fold(r["text"]))
+    if ids:
+        chosen = usable.where(F.col("doc_id").isin(ids)).select(F.col("doc_id").cast("string"), "lang", "text")
+        for r in chosen.mapInArrow(parts, "id string, lang string, part binary").distinct().orderBy("lang", "id", "part").toLocalIterator():
+            texts.setdefault(r["lang"], []).append(bytes(r["part"]))
     return {lang: _content(found, dictionary_bytes) for lang, found in texts.items()}
 
 
@@ -62,7 +77,7 @@ def _content(texts: list[bytes], most: int) -> bytes:
         if n >= share:
             break
         left -= n
-    return b"".join(t[:share] for t in texts)[:most]
+    return b"".join(spread(t, share) for t in texts)[:most]
 
 
 def sizes(text: bytes, coders: list[zstandard.ZstdCompressor]) -> list[int]:
