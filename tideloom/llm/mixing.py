@@ -15,7 +15,8 @@ Ranks within a source are not taken in one task: documents fall in hash buckets,
 give offsets, and only rows of one source and bucket are ordered together.
 
 A null source is a source of its own. Sources without a given weight get weight 1 of the grain. Repeated
-rows take places of their own. No rows give no rows.
+rows take places of their own. No rows give no rows. More than `most_sources` sources are an error, since the
+driver holds a row for each and schedules as many phases.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ from pyspark.sql import types as T
 
 _PLAN = T.StructType(
     [
-        T.StructField("__name", T.StringType()),
-        T.StructField("__from", T.ArrayType(T.LongType())),
-        T.StructField("__base", T.ArrayType(T.LongType())),
-        T.StructField("__period", T.ArrayType(T.LongType())),
-        T.StructField("__slots", T.ArrayType(T.ArrayType(T.LongType()))),
+        T.StructField("name", T.StringType()),
+        T.StructField("starts", T.ArrayType(T.LongType())),
+        T.StructField("base", T.ArrayType(T.LongType())),
+        T.StructField("period", T.ArrayType(T.LongType())),
+        T.StructField("slots", T.ArrayType(T.ArrayType(T.LongType()))),
     ]
 )
 
@@ -90,39 +91,47 @@ def tempered(blocks: dict[str | None, int], power: float, grain: int) -> dict[st
     return {s: max(1, round(grain * n**power / total)) for s, n in blocks.items()}
 
 
-def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = 16, power: float = 0.5, grain: int = 1000, bucket_rows: int = 4096) -> DataFrame:
+def _source_blocks(sized: DataFrame, block_docs: int, most_sources: int) -> dict[str | None, int]:
+    rows = sized.groupBy("source").agg(F.sum("n").alias("n")).limit(most_sources + 1).collect()
+    if len(rows) > most_sources:
+        raise ValueError(f"more than {most_sources} sources; the plan holds a row and a phase for each, so give it groups of them")
+    return {r["source"]: -(-r["n"] // block_docs) for r in rows}
+
+
+def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_docs: int = 16, power: float = 0.5, grain: int = 1000, bucket_rows: int = 4096, most_sources: int = 2000) -> DataFrame:
     """docs(doc_id, source, ...) -> docs and (mix_block, mix_phase, mix_slot, mix_position), positions unique and in training order.
 
-    weights: whole parts by source; where None, in proportion to the blocks to the given power.
+    weights: whole parts by source; where None, in proportion to the blocks to the given power. The columns of docs
+    travel as one, so names of theirs clash with none in here; those called as the four results are replaced.
     """
+    kept = [c for c in docs.columns if c not in ("mix_block", "mix_phase", "mix_slot", "mix_position")]
     count = docs.count()
     bits = max(0, math.ceil(math.log2(max(1, count / bucket_rows))))
-    h = F.xxhash64(docs["doc_id"])
-    placed = docs.select("*", docs["source"].cast("string").alias("__source"), h.alias("__h"), (F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")).alias("__bucket"))
-    sized = placed.groupBy("__source", "__bucket").agg(F.count("*").alias("__n"))
-    offsets = sized.withColumn("__offset", F.coalesce(F.sum("__n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    blocks = {r["__source"]: -(-r["n"] // block_docs) for r in sized.groupBy("__source").agg(F.sum("__n").alias("n")).collect()}
+    plain = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"), docs["source"].cast("string").alias("source"), docs["doc_id"].alias("id"), F.xxhash64(docs["doc_id"]).alias("h"))
+    placed = plain.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
+    sized = placed.groupBy("source", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sized.select(F.col("source").alias("of"), F.col("bucket").alias("at"), F.coalesce(before, F.lit(0)).alias("offset"))
+    blocks = _source_blocks(sized, block_docs, most_sources)
     plan = docs.sparkSession.createDataFrame(schedule(blocks, weights or tempered(blocks, power, grain)), _PLAN)
-    within = Window.partitionBy("__source", "__bucket").orderBy("__h", docs["doc_id"])
-    ranked = placed.withColumn("__rank", F.row_number().over(within) - 1)
-    key = (ranked["__source"].eqNullSafe(offsets["__source"])) & (ranked["__bucket"] == offsets["__bucket"])
-    known = ranked.join(offsets.drop("__n"), key).select(*[ranked[c] for c in docs.columns], ranked["__source"], (F.col("__rank") + F.col("__offset")).alias("__place"))
-    planned = known.join(plan, known["__source"].eqNullSafe(plan["__name"]))
-    block = F.expr(f"__place div {block_docs}")
-    phase = F.expr(f"size(filter(__from, f -> f <= __place div {block_docs})) - 1")
-    more = planned.withColumn("mix_block", block).withColumn("mix_phase", phase)
-    turn = "(mix_block - __from[mix_phase])"
-    slot = F.expr(f"__base[mix_phase] + {turn} div size(__slots[mix_phase]) * __period[mix_phase] + __slots[mix_phase][cast({turn} % size(__slots[mix_phase]) as int)]")
-    out = more.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("__place") % block_docs)
-    return out.select(*[known[c] for c in docs.columns], "mix_block", "mix_phase", "mix_slot", "mix_position")
+    within = Window.partitionBy("source", "bucket").orderBy("h", "id")
+    ranked = placed.withColumn("rank", F.row_number().over(within) - 1)
+    known = ranked.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at"))).select("row", "source", (F.col("rank") + F.col("offset")).alias("place"))
+    more = known.join(plan, F.col("source").eqNullSafe(F.col("name"))).withColumn("block", F.expr(f"place div {block_docs}")).withColumn("phase", F.expr(f"size(filter(starts, f -> f <= place div {block_docs})) - 1"))
+    turn = "(block - starts[phase])"
+    slot = F.expr(f"base[phase] + {turn} div size(slots[phase]) * period[phase] + slots[phase][cast({turn} % size(slots[phase]) as int)]")
+    found = more.withColumn("slot", slot)
+    return found.select("row.*", F.col("block").alias("mix_block"), F.col("phase").alias("mix_phase"), F.col("slot").alias("mix_slot"), (F.col("slot") * block_docs + F.col("place") % block_docs).alias("mix_position"))
 
 
 def in_order(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs sorted into training order.
 
     Places are worked out on ids and sources alone, so whole rows move twice: to meet their place and to be
-    sorted by it. Rows of the same doc_id and source share the first of their places.
+    sorted by it. Rows of the same doc_id and source share the first of their places and stand there in the order
+    of a hash of all their columns.
     """
-    places = mix(docs.select("doc_id", "source"), **options).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__from")).agg(F.min("mix_position").alias("__place"))
-    met = docs.join(places, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__from")))
-    return met.select(*docs.columns, "__place").orderBy("__place").select(*docs.columns)
+    places = mix(docs.select("doc_id", "source"), **options).groupBy(F.col("doc_id").alias("id"), F.col("source").alias("of")).agg(F.min("mix_position").alias("place"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("h"))
+    met = rows.join(places, F.col("row.doc_id").eqNullSafe(F.col("id")) & F.col("row.source").eqNullSafe(F.col("of")))
+    return met.select("row", "place", "h").orderBy("place", "h").select("row.*")

@@ -113,11 +113,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataF
 
 
 def keep_documents(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is kept, one for each; rows without a doc_id cannot be told apart and stay."""
-    some = docs.where("doc_id is not null")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[some[c] for c in some.columns]))
-    first = some.join(kept, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(order)).where("__rank = 1")
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of docs whose doc_id is kept(doc_id), one for each; rows without a doc_id cannot be told apart and stay.
+
+    The columns of docs travel as one, so names of theirs clash with none in here.
+    """
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("h"))
+    order = Window.partitionBy("doc_id").orderBy("h")
+    first = rows.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    return first.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def keep_first(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
