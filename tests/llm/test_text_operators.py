@@ -8,6 +8,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -260,6 +261,40 @@ def test_languages_are_told_apart(spark):
     assert all(0 <= r.score <= 1 for r in held)
 
 
+def test_dictionaries_take_from_whole_texts():
+    assert langid.spread(b"abc", 10) == b"abc"
+    text = bytes(range(200)) * 10
+    found = langid.spread(text, 160)
+    assert len(found) == 160 and found[:20] == text[:20] and found[-20:] == text[-20:]
+    assert langid.spread(text, 3) and len(langid.spread(text, 3)) <= 8
+
+
+def test_language_equals_brute_force(spark):
+    """Every document's verdict from compressing its whole folded text anew with each dictionary."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    fitted = langid.fit(docs.where(~langid.held_out(docs)))
+    found = {r.doc_id: r for r in langid.predict(docs, fitted).collect()}
+    held = {r.doc_id: r.h for r in docs.select("doc_id", langid.held_out(docs).alias("h")).collect()}
+    right = wrong = 0
+    for r in docs.collect():
+        assert held[r.doc_id] == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert found[r.doc_id].lang_pred == "und" and found[r.doc_id].score == 0
+            continue
+        folded = b" " + b" ".join(re.sub("[\x00-\x60\x7b-\x7f]+", " ", r.text.lower()).encode().split()) + b" "
+        sizes = {}
+        for lang, content in fitted.items():
+            coder = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(coder.compress(folded[at : at + langid.PIECE])) for at in range(0, len(folded), langid.PIECE))
+        best, second = sorted(sizes, key=lambda lang: (sizes[lang], lang))[:2]
+        assert found[r.doc_id].lang_pred == best and found[r.doc_id].score == pytest.approx(min(1.0, 4 * (1 - sizes[best] / sizes[second])))
+        if held[r.doc_id] and r.lang and not found[r.doc_id].rejected:
+            right, wrong = right + (best == r.lang), wrong + (best != r.lang)
+    assert right >= 0.97 * (right + wrong) > 20
+
+
 def test_language_of_odd_and_no_rows(docs, empty):
     fitted = langid.fit(docs)
     found = {r.doc_id: r for r in langid.predict(docs, fitted).collect()}
@@ -293,10 +328,10 @@ def test_edits_equal_brute_force(docs, bucket_rows):
         assert (same[a] == same[b]) == (digests.canonical(text[a]) == digests.canonical(text[b]))
 
 
-@pytest.mark.parametrize("bits", [22, 1])
+@pytest.mark.parametrize("bits", [26, 6])
 def test_colliding_digests_are_split_by_bytes(docs, bits):
     weak = lambda form: str(len(form) % 2)
-    found = digests.fingerprint_edits(docs, digest=weak, bits=bits).collect()
+    found = digests.fingerprint_edits(docs, digest=weak, most_bits=bits).collect()
     text = {r.doc_id: r.text for r in docs.collect()}
     same = {r.doc_id: r.fingerprint for r in found}
     for a, b in itertools.combinations(same, 2):
@@ -624,6 +659,18 @@ def test_mixture_keeps_all_rows_and_follows_weights(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mixture_of_clashing_names_and_many_sources(spark):
+    names = ["row", "h", "bucket", "id", "of", "at", "offset", "place", "rank", "name", "starts", "base", "period", "slots", "block", "phase", "slot", "n", "mix_slot"]
+    docs = spark.createDataFrame([(i, f"s{i % 3}", *[f"{n}{i}" for n in names]) for i in range(40)], "doc_id long, source string, " + ", ".join(f"{n} string" for n in names))
+    found = mixing.mix(docs).collect()
+    assert len({r.mix_position for r in found}) == 40 and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names if n != "mix_slot")
+    assert sorted(map(tuple, mixing.in_order(docs).collect())) == sorted(map(tuple, docs.collect()))
+    kept = simhash.keep_documents(docs, docs.where("doc_id < 5").select("doc_id")).collect()
+    assert sorted(map(tuple, kept)) == sorted(tuple(r) for r in docs.collect() if r.doc_id < 5)
+    with pytest.raises(ValueError, match="more than 2 sources"):
+        mixing.mix(docs, most_sources=2)
+
+
 def test_one_source_and_order(spark):
     docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("x").alias("source"))
     assert mixing.in_order(docs).count() == 100

@@ -20,7 +20,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts of every document and the line labeller's verdict."""
+    """Base counts of every document and the line labeller's verdict. Null and blank texts have no words and fail the base; repeated rows are judged alike."""
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
@@ -63,13 +63,13 @@ def op8_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's place in a mixture that weighs sources by the square root of their blocks."""
+    """Every document's place in a mixture that weighs sources by the square root of their blocks. A null source is one of its own; repeated rows and null doc_ids take places of their own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs)
 
 
 def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its shard; shards hold SHARD_BYTES of text at most."""
+    """Every document with its shard; shards hold SHARD_BYTES of text at most. Null text has no bytes; repeated rows share a hash and so a shard."""
     found = sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
     return found.select("doc_id", "n_bytes", F.lower(F.lpad(F.hex("hash"), 16, "0")).alias("hash"), "shard_id", "depth", "shard_bytes", "shard_docs")
 
