@@ -47,20 +47,23 @@ def catalogue_coverage(predictions: DataFrame, items: DataFrame, k: int) -> Data
     return hit.crossJoin(catalogue.agg(F.count("*").alias("items"))).select("predicted", "items", (F.col("predicted") / F.col("items")).alias("coverage"))
 
 
-def novelty(predictions: DataFrame, train: DataFrame, items: DataFrame) -> DataFrame:
-    """Mean -log2 of the smoothed share of training events."""
+def novelty(predictions: DataFrame, train: DataFrame) -> DataFrame:
+    """Mean -log2 of the smoothed share of training events: (count + 1) / (events + items with events + 1)."""
     counts = train.groupBy("item_id").agg(F.count("*").alias("c"))
-    base = train.agg(F.count("*").alias("n")).crossJoin(items.select("item_id").distinct().agg(F.count("*").alias("m")))
+    base = counts.agg((F.sum("c") + F.count("*") + 1).alias("all"))
     joined = predictions.join(counts, "item_id", "left").crossJoin(F.broadcast(base))
-    return joined.agg(F.avg(-F.log2((F.coalesce("c", F.lit(0)) + 1) / (F.col("n") + F.col("m")))).alias("novelty"), F.count("*").alias("predictions"))
+    return joined.agg(F.avg(-F.log2((F.coalesce("c", F.lit(0)) + 1) / F.col("all"))).alias("novelty"), F.count("*").alias("predictions"))
 
 
-def long_tail(predictions: DataFrame, train: DataFrame, items: DataFrame, share: float = 0.2) -> DataFrame:
-    """Share of predictions in the least popular share of the catalogue (rounded half to even, one item at least)."""
-    counted = items.select("item_id").distinct().join(train.groupBy("item_id").agg(F.count("*").alias("c")), "item_id", "left").select("item_id", F.coalesce("c", F.lit(0)).alias("c"))
-    most = max(1, round(share * counted.count()))
-    tail = counted.orderBy("c", "item_id").limit(most).select("item_id", F.lit(1).alias("t"))
-    joined = predictions.join(tail, "item_id", "left")
+def rarest(train: DataFrame, share: float = 0.2) -> DataFrame:
+    """(item_id): the least popular share of the items with training events (rounded half to even, one at least), ties by id as text."""
+    counted = train.groupBy("item_id").agg(F.count("*").alias("c"))
+    return counted.orderBy("c", F.col("item_id").cast("string")).limit(max(1, round(share * counted.count()))).select("item_id")
+
+
+def long_tail(predictions: DataFrame, train: DataFrame, share: float = 0.2) -> DataFrame:
+    """Share of predictions among the rarest() items."""
+    joined = predictions.join(rarest(train, share).withColumn("t", F.lit(1)), "item_id", "left")
     return joined.agg(F.count("*").alias("predictions"), F.coalesce(F.sum("t"), F.lit(0)).alias("in_tail"), F.coalesce(F.avg(F.coalesce("t", F.lit(0)).cast("double")), F.lit(0.0)).alias("long_tail_ratio"))
 
 

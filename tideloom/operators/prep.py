@@ -22,15 +22,15 @@ def to_seconds(ts: Column) -> Column:
     return F.when(ts > 9_999_999_999, (ts / 1000).cast("long")).otherwise(ts.cast("long"))
 
 
-def normalize_interactions(raw: DataFrame, user: Sequence[str], item: Sequence[str], ts: Sequence[str], rating: Sequence[str] = (), min_rating: float | None = None) -> DataFrame:
-    """Alias-tolerant rows to (user_id, item_id, ts, rating, drop_reason); the reason is null for good rows."""
+def normalize_interactions(raw: DataFrame, user: Sequence[str], item: Sequence[str], ts: Sequence[str], rating: Sequence[str] = (), min_rating: float | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Alias-tolerant rows to (keep, user_id, item_id, ts, rating, drop_reason); the reason is null for good rows."""
     u, i = first_present(user, raw.columns), first_present(item, raw.columns)
     when = first_present(ts, raw.columns).try_cast("double")
     value = F.coalesce(first_present(rating, raw.columns).try_cast("double"), F.lit(1.0))
     reason = F.when(u.isNull(), "missing_user").when(i.isNull(), "missing_item").when(when.isNull(), "missing_timestamp")
     if min_rating is not None:
         reason = reason.when(value < min_rating, "low_rating")
-    return raw.select(u.alias("user_id"), i.alias("item_id"), to_seconds(when).alias("ts"), value.alias("rating"), reason.alias("drop_reason"))
+    return raw.select(*keep, u.alias("user_id"), i.alias("item_id"), to_seconds(when).alias("ts"), value.alias("rating"), reason.alias("drop_reason"))
 
 
 def item_text(columns: Sequence[str]) -> Column:
@@ -164,3 +164,53 @@ def readiness(interactions: DataFrame, items: DataFrame) -> DataFrame:
     sparsity = F.when(F.col("users") * F.col("items") > 0, 1 - F.col("rows") / (F.col("users") * F.col("items"))).otherwise(0.0)
     verdict = F.when(F.col("rows") == 0, "MISSING").when((F.col("missing_ts") > 0) | (F.col("orphans") > 0), "PARTIAL").otherwise("READY")
     return both.select("*", sparsity.alias("sparsity"), verdict.alias("verdict"))
+
+
+def item_key(domain: str = "domain", item: str = "item_id") -> Column:
+    """An item's key across domains."""
+    return F.struct(F.coalesce(F.col(domain), F.lit("")).alias("domain"), F.col(item).cast("string").alias("item_id"))
+
+
+def natural_key(value: Column) -> Column:
+    """A sort key that puts whole numbers first, by value, and other texts behind them."""
+    text = value.cast("string")
+    return F.when(text.rlike("^-?[0-9]+$"), F.struct(F.lit(0).alias("kind"), F.lpad(text, 20, "0").alias("text"))).otherwise(F.struct(F.lit(1).alias("kind"), text.alias("text")))
+
+
+def timestamp_column(columns: Sequence[str], given: str | None = None) -> str:
+    """The named column, or the first known one; an error where none is there."""
+    for name in (given,) if given else ("timestamp", "unixReviewTime"):
+        if name in columns:
+            return name
+    raise ValueError(f"no timestamp column among {', '.join(columns)}")
+
+
+def category_text(columns: dict[str, str]) -> Column:
+    """columns: name -> type. The categories, joined by a space where they are a list, else the main category."""
+    found = []
+    if "categories" in columns:
+        text = F.array_join(F.filter(F.transform("categories", F.trim), lambda x: x != ""), " ") if columns["categories"].startswith("array") else F.trim("categories")
+        found.append(F.when(text != "", text))
+    if "main_category" in columns:
+        found.append(F.when(F.trim("main_category") != "", F.trim("main_category")))
+    return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+
+def convert_domains(normalized: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """normalized(domain, user_id, item_id, ts, rating, drop_reason) of all domains, items(domain, item_id, title) -> (interactions, items, report).
+
+    Rows without a reason are kept, the first of each (domain, user, item, time); items are those of the domain's
+    kept interactions, one a domain and item. The report has a row a domain: raw, dropped, duplicate and kept rows,
+    interacted items, items with metadata, their coverage, and whether the domain is READY or PARTIAL.
+    """
+    good = normalized.where("drop_reason is null").drop("drop_reason")
+    once = good.dropDuplicates(["domain", "user_id", "item_id", "ts"])
+    wanted = once.select("domain", "item_id").distinct()
+    described = items.dropDuplicates(["domain", "item_id"]).join(wanted, ["domain", "item_id"], "left_semi")
+    counts = normalized.groupBy("domain").agg(F.count("*").alias("raw"), F.count("drop_reason").alias("dropped"))
+    kept = once.groupBy("domain").agg(F.count("*").alias("kept"))
+    sizes = wanted.groupBy("domain").agg(F.count("*").alias("interacted"))
+    known = described.groupBy("domain").agg(F.count("*").alias("described"), F.count_if(F.coalesce(F.trim("title"), F.lit("")) == "").alias("missing_text"))
+    joined = counts.join(kept, "domain", "left").join(sizes, "domain", "left").join(known, "domain", "left").na.fill(0)
+    report = joined.select("domain", "raw", "dropped", (F.col("raw") - F.col("dropped") - F.col("kept")).alias("duplicates"), "kept", "interacted", "described", "missing_text", F.when(F.col("interacted") > 0, F.col("described") / F.col("interacted")).otherwise(0.0).alias("coverage"), F.when(F.col("described") == F.col("interacted"), "READY").otherwise("PARTIAL").alias("status"))
+    return once, described, report

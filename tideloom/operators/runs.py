@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideloom.operators.prompts import token_estimate
+
 # Bytes of a score.
 _BYTES = {"float16": 2, "float32": 4, "float64": 8}
 
@@ -55,3 +57,28 @@ def mean_metrics(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
     """The mean of every numeric column by group."""
     numbers = [n for n, kind in rows.dtypes if n not in groups and kind in ("double", "float", "int", "bigint")]
     return rows.groupBy(*groups).agg(*[F.avg(n).alias(n) for n in numbers])
+
+
+def preflight(prompts: DataFrame, max_tokens: int, max_calls: int, groups: Sequence[str] = ()) -> DataFrame:
+    """prompts(groups, text) -> planned requests, estimated tokens each way, and whether they stay within the cap."""
+    return prompts.groupBy(*groups).agg(F.count("*").alias("calls"), F.sum(token_estimate(F.col("text"))).alias("prompt_tokens"), (F.count("*") * max_tokens).alias("completion_tokens"), (F.count("*") <= max_calls).alias("within_cap"))
+
+
+def assert_within_cap(prompts: DataFrame, max_calls: int) -> int:
+    """The number of planned requests; an error if it is over the cap."""
+    if max_calls <= 0:
+        raise ValueError("max_calls must be positive")
+    calls = prompts.count()
+    if calls > max_calls:
+        raise ValueError(f"{calls} planned requests are over the cap of {max_calls}")
+    return calls
+
+
+def main_table(aggregates: DataFrame, keys: Sequence[str], metrics: Sequence[str], marks: DataFrame | None = None) -> DataFrame:
+    """aggregates(keys, metric, mean, std) -> one row a key with `mean +/- std` of each metric, and a * where marks(keys) has it."""
+    shown = F.format_string("%.4f +/- %.4f", F.col("mean"), F.col("std"))
+    wide = aggregates.groupBy(*keys).pivot("metric", list(metrics)).agg(F.first(shown))
+    wide = wide.select(*keys, *[F.coalesce(m, F.lit("0.0000 +/- 0.0000")).alias(m) for m in metrics])
+    if marks is None:
+        return wide.withColumn("significant", F.lit(""))
+    return wide.join(marks.select(*keys).distinct().withColumn("significant", F.lit("*")), list(keys), "left").withColumn("significant", F.coalesce("significant", F.lit("")))

@@ -276,17 +276,17 @@ def _(spark, folder):
     return rounded(metrics.catalogue_coverage(_predictions(spark, folder), part_items(spark, folder), 10))
 
 
-@register("novelty", _pred_sql(_POP, select="SELECT round(avg(-log2((coalesce(n, 0) + 1) / ((SELECT sum(n) FROM pop) + (SELECT count(*) FROM part)))), 6) AS novelty, count(*) AS predictions FROM pred LEFT JOIN pop USING (item_id)"))
+@register("novelty", _pred_sql(_POP, select="SELECT round(avg(-log2((coalesce(n, 0) + 1) / ((SELECT sum(n) FROM pop) + (SELECT count(*) FROM pop) + 1))), 6) AS novelty, count(*) AS predictions FROM pred LEFT JOIN pop USING (item_id)"))
 def _(spark, folder):
-    return rounded(metrics.novelty(_predictions(spark, folder), train_events(spark, folder), part_items(spark, folder)))
+    return rounded(metrics.novelty(_predictions(spark, folder), train_events(spark, folder)))
 
 
 @register(
     "long_tail",
-    _pred_sql(_POP, "k AS (SELECT DISTINCT item_id FROM ia)", "tail AS (SELECT item_id FROM (SELECT k.item_id, row_number() OVER (ORDER BY coalesce(n, 0), k.item_id) AS r, count(*) OVER () AS m FROM k LEFT JOIN pop USING (item_id)) WHERE r <= greatest(1, round_even(0.2 * m, 0)))", select="SELECT count(*) AS predictions, count(*) FILTER (item_id IN (SELECT item_id FROM tail)) AS in_tail, round(count(*) FILTER (item_id IN (SELECT item_id FROM tail)) / count(*), 6) AS long_tail_ratio FROM pred"),
+    _pred_sql(_POP, sql.TAIL, select="SELECT count(*) AS predictions, count(*) FILTER (item_id IN (SELECT item_id FROM tail)) AS in_tail, round(count(*) FILTER (item_id IN (SELECT item_id FROM tail)) / count(*), 6) AS long_tail_ratio FROM pred"),
 )
 def _(spark, folder):
-    return rounded(metrics.long_tail(_predictions(spark, folder), train_events(spark, folder), event_interactions(spark, folder)))
+    return rounded(metrics.long_tail(_predictions(spark, folder), train_events(spark, folder)))
 
 
 @register("popularity_buckets", _pred_sql(_POP, "b AS (SELECT CASE WHEN n IS NULL THEN 'unseen' WHEN n <= 1 THEN 'tail' WHEN n <= 5 THEN 'mid' ELSE 'head' END AS bucket FROM pred LEFT JOIN pop USING (item_id))", select="SELECT bucket, count(*) AS n, round(count(*) / (SELECT count(*) FROM b), 6) AS share FROM b GROUP BY bucket"))

@@ -37,6 +37,9 @@ ALL_TRANSITIONS = """moves AS (
         FROM loo WHERE split = 'train' WINDOW w AS (PARTITION BY user_id ORDER BY ts, item_id))
   WHERE r > 1 GROUP BY source_id, target_id)"""
 
+#: The rarest fifth of the items of pop(item_id, n).
+TAIL = "tail AS (SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY n, item_id::VARCHAR) AS r, count(*) OVER () AS m FROM pop) WHERE r <= greatest(1, round_even(0.2 * m, 0)))"
+
 CASES = "cases AS (SELECT * FROM loo WHERE split = 'test')"
 
 #: Sources, strict transitions, per-source shares, the merged candidates and the target's rank of each test case.
