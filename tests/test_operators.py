@@ -381,6 +381,112 @@ def test_late_rows_are_left_out_of_a_stream(spark, tmp_path):
     assert sorted(map(tuple, found)) == [(0, 2), (3 * day, 2)]  # the row of second 30 came after its day had closed
 
 
+REF = "struct<artifact_id:string,artifact_path:string,artifact_sha256:string,candidate_row_id:string,candidate_size:string>"
+PREDICTION = f"user_id string, target_item string, predicted_items array<string>, candidate_items array<string>, candidate_ref {REF}, scores array<double>"
+
+
+def test_checks_of_predictions(spark):
+    from tideloom.operators import checks
+
+    ref = ("a", "p", "s", "r", "20")
+    cases = [
+        (("u", "t", ["a"], ["a", "t"], None, [0.5]), None),
+        (("u", "t", [], None, ref, None), None),
+        (("", "t", ["a"], ["a"], None, None), "missing required field: user_id"),
+        (("u", None, ["a"], ["a"], None, None), "missing required field: target_item"),
+        (("u", "t", ["a", None], ["a"], None, None), "predicted_items must be a list of strings"),
+        (("u", "t", ["a"], [None], None, None), "candidate_items must be a list of strings"),
+        (("u", "t", ["a"], None, None, None), "candidate_items or candidate_ref must be present"),
+        (("u", "t", ["a"], ["a"], None, [0.1, 0.2]), "scores must be empty or as many as predicted_items"),
+        (("u", "t", ["a"], ["a"], None, [None]), "scores must be numbers"),
+        (("u", "t", ["a"], None, ("a", "p", None, "r", "20"), None), "candidate_ref has empty field: artifact_sha256"),
+        (("u", "t", ["a"], None, ("a", "p", "s", "r", "x"), None), "candidate_ref.candidate_size must be int"),
+        (("u", "t", ["a"], None, ("a", "p", "s", "r", "-1"), None), "candidate_ref.candidate_size must be positive"),
+    ]
+    for row, problem in cases:
+        found = checks.checked_predictions(spark.createDataFrame([row], PREDICTION), "sampled").first()
+        assert found.problem == problem and found.method == "unknown" and found.scores is not None
+    bare = spark.createDataFrame([("u", "t", ["a"], None, None, None)], PREDICTION)
+    assert checks.checked_predictions(bare, "no_candidates").first().problem is None
+    assert checks.valid_predictions(bare, "no_candidates").count() == 1
+    with pytest.raises(PySparkException):
+        checks.valid_predictions(bare, "sampled").collect()
+    with pytest.raises(ValueError, match="rows lacks scores"):
+        checks.require_fields(bare.drop("scores"), ["scores", "user_id"], "rows")
+
+
+def test_accumulated_metrics_by_hand(spark):
+    from tideloom.operators import evaluate
+
+    rows = [("m", "1", ["3", "3", "1"], ["1", "3"]), ("m", "9", ["1", "77"], []), ("n", "2", [], [])]
+    train = spark.createDataFrame([(1,), (1,), (1,), (2,), (3,)], "item_id long")
+    items = spark.createDataFrame([(i,) for i in range(1, 11)], "item_id long")
+    found = {r.method: r for r in evaluate.accumulated(spark.createDataFrame(rows, "method string, target_item string, predicted_items array<string>, candidate_items array<string>"), items, train, [["method"]]).collect()}
+    m = found["m"]
+    assert (m.num_predictions, m.recall_1, m.recall_5, m.mrr_5) == (2, 0.0, 0.5, 0.25) and m.ndcg_5 == pytest.approx(0.5 / math.log2(3))
+    assert m.item_coverage == 2 and m.coverage == 0.2 and m.hallucination_rate == 0.2 and m.long_tail_ratio == 0.0
+    assert m.novelty == pytest.approx(-np.mean([math.log2(x / 9) for x in (2, 2, 4, 4, 1)]))
+    assert (found["n"].recall_10, found["n"].item_coverage, found["n"].validity_rate) == (0.0, 0, 1.0)
+
+
+def test_runs_are_written_locked_and_resumed(spark, tmp_path, capsys):
+    from tideloom.__main__ import main
+    from tideloom.operators import protocol
+    from tideloom.plans import matrix
+
+    config = {"methods": ["popularity", "nonsense", "random"], "seeds": [0, 1], "top": 5}
+    found = matrix.run(spark, config, "/root/testdata/sf0.001", f"{tmp_path}/run")
+    assert {(r.method, r.seed) for r in found.collect() if r.seed is not None} == {(m, s) for m in ("popularity", "random") for s in (0, 1)}
+    status = spark.read.parquet(f"{tmp_path}/run/status")
+    assert {(r.category, r.failures) for r in protocol.failure_counts(status).collect()} == {("runtime_error", 2)}
+    assert protocol.exists(spark, f"{tmp_path}/run/lock")
+    with pytest.raises(ValueError, match="lacks config"):
+        protocol.lock(spark, f"{tmp_path}/none")
+    (tmp_path / "config.json").write_text(json.dumps({"methods": ["markov"]}))
+    spark.sparkContext.setLogLevel("OFF")
+    assert main(["experiment", str(tmp_path / "config.json"), "--input", "/root/testdata/sf0.001", "--output", f"{tmp_path}/run"]) == 0
+    assert "markov" in capsys.readouterr().out
+
+
+def test_manifests_and_ablations(spark, tmp_path):
+    from tideloom.operators import protocol
+
+    frame = spark.createDataFrame([(1, "a"), (2, "b")], "x long, y string")
+    first = protocol.freeze(spark, str(tmp_path), "v1", {"c": {"methods": ["b", "a"], "seeds": [1]}}, {"t": frame})
+    assert first["methods"] == ["a", "b"] and first["tables"]["t"] == protocol.table_digest(frame.orderBy("y", ascending=False))
+    with pytest.raises(FileExistsError):
+        protocol.freeze(spark, str(tmp_path), "v2", {}, {})
+    assert protocol.freeze(spark, str(tmp_path), "v2", {}, {}, force=True)["version"] == "v2"
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.bin").write_bytes(b"abc")
+    print_ = protocol.file_fingerprints(spark, f"{tmp_path}/f").first()
+    assert print_.bytes == 3 and print_.sha256 == hashlib.sha256(b"abc").hexdigest()
+    assert not protocol.ablation("full").use_llm and protocol.ablation("encoder_only").use_dynamic_encoder and not protocol.ablation("w_o_temporal_graph").use_time_gap_tags
+    with pytest.raises(ValueError, match="no such ablation"):
+        protocol.ablation("w_o_everything")
+
+
+def test_archives_and_domains(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as packed:
+        packed.writestr("ml/ratings.dat", "1::10::4.0::100\n")
+    assert tables.read_ratings(spark, tables.unzip_ratings(str(tmp_path / "a.zip"), str(tmp_path / "out")) + "/ratings.dat").count() == 1
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as packed:
+        packed.writestr("readme", "")
+    with pytest.raises(FileNotFoundError):
+        tables.unzip_ratings(str(tmp_path / "b.zip"), str(tmp_path / "out"))
+    (tmp_path / "Books.jsonl").write_text('{"user_id": "u", "asin": "i", "timestamp": 1}\n' * 40)
+    (tmp_path / "meta_Books.jsonl").write_text('{"asin": "i", "title": "t"}\n')
+    found = tables.inspect_domains(spark, {"Books": [str(tmp_path / "Books.jsonl"), str(tmp_path / "meta_Books.jsonl")], "Toys": []}, {"user": ("user_id",), "item": ("parent_asin", "asin")})
+    assert found["domains"]["Books"]["rows"] == 40 and found["domains"]["Books"]["convertible"] == {"user": True, "item": True} and found["status"] == "partial"
+    assert prep.timestamp_column(["a", "unixReviewTime"]) == "unixReviewTime"
+    with pytest.raises(ValueError, match="no timestamp"):
+        prep.timestamp_column(["a"])
+    rows = spark.createDataFrame([([" a ", "", "b"], "m"), ([], "m"), (None, " ")], "categories array<string>, main_category string")
+    assert [r[0] for r in rows.select(prep.category_text(dict(rows.dtypes))).collect()] == ["a b", "m", None]
+
+
 def test_command_line_lists_queries(capsys):
     from tideloom.__main__ import main
 

@@ -189,7 +189,7 @@ def category_text(columns: dict[str, str]) -> Column:
     """columns: name -> type. The categories, joined by a space where they are a list, else the main category."""
     found = []
     if "categories" in columns:
-        text = F.array_join(F.filter(F.transform("categories", F.trim), lambda x: x != ""), " ") if columns["categories"].startswith("array") else F.trim("categories")
+        text = F.array_join(F.filter(F.transform("categories", lambda x: F.trim(x)), lambda x: x != ""), " ") if columns["categories"].startswith("array") else F.trim("categories")
         found.append(F.when(text != "", text))
     if "main_category" in columns:
         found.append(F.when(F.trim("main_category") != "", F.trim("main_category")))

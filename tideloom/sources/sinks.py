@@ -76,3 +76,9 @@ def latex_table(rows: list[dict], columns: list[str]) -> str:
 
     body = "".join(" & ".join(cell(r.get(c, "")) for c in columns) + " \\\\\n" for r in rows)
     return f"\\begin{{tabular}}{{{'l' * len(columns)}}}\n" + " & ".join(c.replace("_", "\\_") for c in columns) + f" \\\\\n\\hline\n{body}\\end{{tabular}}\n"
+
+
+def write_evaluation(metrics: DataFrame, path: str, keys: list[str]) -> None:
+    """Metrics as JSON lines and, one row a metric, as CSV, below a folder."""
+    write_jsonl(metrics, f"{path}/metrics_json", "overwrite")
+    write_csv(metric_rows(metrics, keys), f"{path}/metrics_csv", [*keys, "metric", "value"], "overwrite")

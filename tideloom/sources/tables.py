@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,3 +94,34 @@ def inspect(frame: DataFrame, fields_needed: dict[str, tuple[str, ...]], sample_
     sample = frame.limit(sample_rows)
     columns = sorted(sample.columns)
     return {"columns": columns, "sampled": sample.count(), "convertible": {role: any(a in columns for a in aliases) for role, aliases in fields_needed.items()}}
+
+
+def unzip_ratings(archive: str, folder: str) -> str:
+    """Unpack a downloaded archive on this machine and return the folder that holds its ratings.dat; an error if it has none."""
+    with zipfile.ZipFile(archive) as packed:
+        inside = [n for n in packed.namelist() if n.rsplit("/", 1)[-1] == "ratings.dat"]
+        if not inside:
+            raise FileNotFoundError(f"{archive} holds no ratings.dat")
+        packed.extractall(folder)
+    return f"{folder}/{inside[0].rpartition('/')[0]}".rstrip("/")
+
+
+def estimated_rows(spark: SparkSession, path: str, sample_rows: int = 1000) -> int | None:
+    """Rows of a plain text table by its bytes and the mean length of some lines; None where lines are not what is stored."""
+    if path.lower().endswith((".gz", ".csv", ".parquet")):
+        return None
+    row = spark.read.text(path).limit(sample_rows).agg(F.avg(F.octet_length("value") + 1).alias("mean")).first()
+    context = spark.sparkContext
+    location = context._jvm.org.apache.hadoop.fs.Path(path)
+    size = location.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(location).getLength()
+    return round(size / row["mean"]) if row["mean"] else 0
+
+
+def inspect_domains(spark: SparkSession, files: dict[str, list[str]], fields_needed: dict[str, tuple[str, ...]], sample_rows: int = 1000) -> dict:
+    """files: the paths of each domain -> which review and metadata file it has, their estimated rows, and whether the reviews can be converted."""
+    report = {}
+    for domain, names in sorted(files.items()):
+        reviews, metadata = choose_file(names, metadata=False), choose_file(names, metadata=True)
+        found = inspect(read_records(spark, reviews), fields_needed, sample_rows) if reviews else {"columns": [], "sampled": 0, "convertible": dict.fromkeys(fields_needed, False)}
+        report[domain] = {"reviews": reviews, "metadata": metadata, "rows": estimated_rows(spark, reviews, sample_rows) if reviews else 0, "metadata_rows": estimated_rows(spark, metadata, sample_rows) if metadata else 0, **found}
+    return {"domains": report, "status": "convertible" if report and all(all(d["convertible"].values()) for d in report.values()) else "partial"}
