@@ -440,6 +440,9 @@ def test_runs_are_written_locked_and_resumed(spark, tmp_path, capsys):
     status = spark.read.parquet(f"{tmp_path}/run/status")
     assert {(r.category, r.failures) for r in protocol.failure_counts(status).collect()} == {("runtime_error", 2)}
     assert protocol.exists(spark, f"{tmp_path}/run/lock")
+    for wrong in ({}, {"methods": []}, {"methods": ["markov"], "seeds": ["x"]}, {"methods": ["markov"], "top": 0}):
+        with pytest.raises(ValueError, match="must be"):
+            matrix.check_config(wrong)
     with pytest.raises(ValueError, match="lacks config"):
         protocol.lock(spark, f"{tmp_path}/none")
     (tmp_path / "config.json").write_text(json.dumps({"methods": ["markov"]}))
@@ -466,6 +469,12 @@ def test_manifests_and_ablations(spark, tmp_path):
         protocol.ablation("w_o_everything")
 
 
+def test_stored_answers_are_not_asked_again(spark, tmp_path):
+    asked = spark.createDataFrame([("k1", "a"), ("k2", "b")], "cache_key string, text string")
+    prompts.store(asked.where("cache_key = 'k1'"), f"{tmp_path}/answers")
+    assert [r.text for r in prompts.uncached(asked, spark.read.parquet(f"{tmp_path}/answers")).collect()] == ["b"]
+
+
 def test_archives_and_domains(spark, tmp_path):
     import zipfile
 

@@ -94,6 +94,23 @@ def parse(answers: DataFrame) -> DataFrame:
     return answers.withColumn("answer", parsed("response", "candidates")).select("*", "answer.*").drop("answer")
 
 
+def audit(answers: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """answers(keys, response, candidates) -> predictions, answers that could not be read, and answers that name items that are no candidates.
+
+    A prediction lists the ranked candidates and then the made-up ids, with scores that fall from their number to 1.
+    """
+    rows = parse(answers)
+    predicted = F.concat("ranked", "invalid")
+    scores = F.transform(predicted, lambda x, i: (F.size(predicted) - i).cast("double"))
+    predictions = rows.select(*keys, "candidates", predicted.alias("predicted_items"), scores.alias("scores"), "parse_success", "duplicates", "invalid", "evidence_ids")
+    return predictions, rows.where("not parse_success").select(*keys, "response"), rows.where(F.size("invalid") > 0).select(*keys, "invalid", "response")
+
+
+def store(answers: DataFrame, folder: str) -> None:
+    """Add answers(cache_key, ...) to a store of answers, which uncached() reads back."""
+    answers.write.mode("append").parquet(folder)
+
+
 def complete(ranked: Column, candidates: Column) -> Column:
     """What was ranked, then the candidates that were not."""
     return F.array_distinct(F.concat(ranked, F.array_except(candidates, ranked)))

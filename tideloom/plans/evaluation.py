@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideloom.functions.cuts import cut
-from tideloom.operators import checks, evaluate, evidence, prep, protocol, rank, runs, stats
+from tideloom.operators import checks, evaluate, evidence, prep, prompts, protocol, rank, runs, stats
 from tideloom.plans import matrix, sql
 from tideloom.plans.base import rounded, split_events, train_events
 from tideloom.plans.experiments import _PERTURBED, _ranked, _variants
@@ -249,3 +249,17 @@ def _(spark, folder):
         one = left.agg(F.count("*").alias("rows")).crossJoin(scored).select(F.lit(name).alias("ablation"), "rows", F.round("score", 4).alias("score"))
         part = one if part is None else part.unionByName(one)
     return part
+
+
+@register(
+    "answer_audit",
+    sql.query(sql.EVENTS, "u AS (SELECT user_id, count(DISTINCT item_id) AS n FROM ia GROUP BY 1)", select="SELECT 'predictions' AS kind, count(*) AS rows, sum(CASE user_id % 3 WHEN 0 THEN n WHEN 1 THEN n + 1 ELSE 0 END)::BIGINT AS items FROM u UNION ALL SELECT 'unread', count(*), 0 FROM u WHERE user_id % 3 = 2 UNION ALL SELECT 'made_up', count(*), count(*) FROM u WHERE user_id % 3 = 1"),
+)
+def _(spark, folder):
+    """Answers in order, answers with a made-up item, and answers that are no JSON."""
+    items = event_interactions(spark, folder).groupBy("user_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("candidates"))
+    kind, given = F.col("user_id") % 3, F.col("candidates")
+    answers = items.withColumn("response", F.when(kind == 0, prompts.mock_answer("identity", given)).when(kind == 1, prompts.mock_answer("hallucinating", given)).otherwise("I cannot say."))
+    predictions, unread, made_up = prompts.audit(answers, ["user_id"])
+    count = lambda frame, name, size: frame.agg(F.lit(name).alias("kind"), F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("items"))
+    return count(predictions, "predictions", F.size("predicted_items")).unionByName(count(unread, "unread", F.lit(0))).unionByName(count(made_up, "made_up", F.size("invalid")))

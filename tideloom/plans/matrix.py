@@ -60,12 +60,24 @@ def method_metrics(spark: SparkSession, folder: str, rows: DataFrame) -> DataFra
     return evaluate.accumulated(rows, part_items(spark, folder), train_events(spark, folder), [[], ["method"], ["method", "domain"], ["method", "seed"]])
 
 
+def check_config(config: dict) -> dict:
+    """The configuration, or an error that names what is wrong with it. Unknown methods are left to run(), which records them."""
+    for name, kind in (("methods", str), ("seeds", int)):
+        value = config.get(name, [0] if name == "seeds" else None)
+        if not isinstance(value, list) or not value or not all(isinstance(x, kind) for x in value):
+            raise ValueError(f"{name} must be a list of {kind.__name__}")
+    if not isinstance(config.get("top", 10), int) or config.get("top", 10) < 1:
+        raise ValueError("top must be a positive number")
+    return config
+
+
 def run(spark: SparkSession, config: dict, folder: str, output: str) -> DataFrame:
     """config(methods, seeds, top) over the tables of a folder -> the metrics.
 
     Below output: config, predictions (a part a method and seed), status, metrics and the lock. A method that
     fails is recorded with its message and the others go on; parts that are there already are not made again.
     """
+    check_config(config)
     spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{output}/config")
     status = []
     for method in config["methods"]:
