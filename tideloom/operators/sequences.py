@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideloom.operators.prep import numbered
+
 HOUR, DAY = 3600, 86_400
 
 
@@ -88,3 +90,35 @@ def prefixes(labelled: DataFrame, max_history: int = 50, order: Sequence[str] =
     w = Window.partitionBy("user_id").orderBy(*order)
     frame = w.rowsBetween(-max_history if max_history else Window.unboundedPreceding, -1)
     return labelled.where("split = 'train'").select("event_id", "user_id", "item_id", "ts", F.collect_list("item_id").over(frame).alias("history")).where(F.size("history") > 0)
+
+
+def training_examples(train: DataFrame, items: DataFrame, max_history: int = 50, negatives: int = 1, seed: int = 0, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:
+    """Next-item examples: (event_id, input, positive, negatives), items as 1 and up in the order of their ids, 0 for padding.
+
+    A row's input is the user's rows before it. Negatives are drawn, with replacement, from the items that the user
+    never has: draw r among these is item number r plus the user's own items up to there, so no user meets the
+    catalogue. A user who has every item gets none.
+    """
+    placed = numbered(items.select("item_id").distinct(), ["item_id"], "place").select("item_id", "place")
+    count = placed.count()
+    rows = train.select("event_id", "user_id", "item_id", *[c for c in order if c not in ("event_id", "user_id", "item_id")]).join(placed, "item_id")
+    own = rows.groupBy("user_id").agg(F.array_sort(F.collect_set("place")).alias("own"))
+    past = F.collect_list(F.col("place") + 1).over(Window.partitionBy("user_id").orderBy(*order).rowsBetween(-max_history, -1))
+    made = rows.withColumn("past", past).where(F.size("past") > 0).join(own, "user_id").withColumn("free", F.lit(count) - F.size("own"))
+    draw = lambda j: F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), "event_id", j), 256), 1, 12), 16, 10).cast("long"), F.col("free"))
+    number = lambda r: r + F.size(F.filter("own", lambda x, i: x - i <= r)) + 1
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(negatives - 1)), lambda j: number(draw(j)))
+    return made.select("event_id", left_pad(F.col("past"), max_history).alias("input"), (F.col("place") + 1).alias("positive"), F.when(F.col("free") > 0, drawn).otherwise(F.array().cast("array<bigint>")).alias("negatives"))
+
+
+def text_vector(columns: Sequence[str]) -> Column:
+    """A fixed vector of an item's texts: how many different words they have, and those words' characters."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", *columns)), "\\s+"), lambda w: w != ""))
+    return F.array(F.size(words).cast("double"), F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w)).cast("double"))
+
+
+def memory_vector(count: Column, ts: Column, dimension: int = 4) -> Column:
+    """A fixed vector of how often a user or item was seen and the time asked about."""
+    values = [count.cast("double"), F.coalesce(ts.cast("double"), F.lit(0.0))]
+    values += [(count + n) / float(max(1, dimension)) for n in range(2, dimension)]
+    return F.array(*values[:dimension])

@@ -308,3 +308,39 @@ def _(spark, folder):
 def _(spark, folder):
     wide = event_interactions(spark, folder).groupBy("domain").agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"))
     return sinks.metric_rows(wide, ["domain"])
+
+
+@register(
+    "training_examples",
+    sql.query(
+        sql.EVENTS,
+        sql.SPLIT,
+        "pl AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place FROM (SELECT DISTINCT item_id FROM ia))",
+        "r AS (SELECT event_id, user_id, ts, place FROM loo JOIN pl USING (item_id) WHERE split = 'train')",
+        "o AS (SELECT user_id, list(DISTINCT place ORDER BY place) AS own FROM r GROUP BY 1)",
+        "h AS (SELECT event_id, user_id, place, list(place + 1) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS past FROM r)",
+        "d AS (SELECT event_id, j, ('0x' || substr(sha256('0|' || event_id || '|' || j), 1, 12))::BIGINT % ((SELECT count(*) FROM pl) - len(own)) AS x, own FROM h JOIN o USING (user_id) CROSS JOIN range(3) t(j) WHERE past IS NOT NULL)",
+        "n AS (SELECT event_id, list(x + len(list_filter(own, lambda y, i: y - (i - 1) <= x)) + 1 ORDER BY j) AS negatives FROM d GROUP BY event_id)",
+        select="SELECT event_id, array_to_string(list_resize([]::BIGINT[], 5 - len(past), 0) || past, ',') AS input, place + 1 AS positive, array_to_string(negatives, ',') AS negatives FROM h JOIN n USING (event_id)",
+    ),
+)
+def _(spark, folder):
+    found = sequences.training_examples(train_events(spark, folder), event_interactions(spark, folder), 5, 3)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return found.select("event_id", text("input"), "positive", text("negatives"))
+
+
+@register(
+    "item_vectors",
+    sql.query(
+        sql.EVENTS,
+        sql.SPLIT,
+        "c AS (SELECT item_id, count(*) AS n, max(ts) AS ts FROM loo WHERE split = 'train' GROUP BY 1)",
+        "w AS (SELECT p_partkey AS item_id, list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', p_name, p_type)), '\\s+'), lambda x: x <> '')) AS l FROM part)",
+        select="SELECT item_id, len(l)::DOUBLE AS words, list_sum(list_transform(l, lambda x: len(x)))::DOUBLE AS characters, n::DOUBLE AS seen, ts::DOUBLE AS at, (n + 2) / 4 AS third, (n + 3) / 4 AS fourth FROM w JOIN c USING (item_id)",
+    ),
+)
+def _(spark, folder):
+    seen = train_events(spark, folder).groupBy("item_id").agg(F.count("*").alias("n"), F.max("ts").alias("ts"))
+    rows = part_items(spark, folder).join(seen, "item_id").select("item_id", sequences.text_vector(["title", "category"]).alias("t"), sequences.memory_vector(F.col("n"), F.col("ts")).alias("m"))
+    return rows.select("item_id", F.col("t")[0].alias("words"), F.col("t")[1].alias("characters"), *[F.col("m")[i].alias(n) for i, n in enumerate(("seen", "at", "third", "fourth"))])
