@@ -227,6 +227,31 @@ def test_viterbi_finds_the_best_path():
         assert chain.viterbi(scores) == list(best)
 
 
+def test_chain_maximises_the_exact_likelihood():
+    """The objective, with the partition function summed over every labelling, falls whichever way a fitted weight is moved."""
+    documents, labels = [[[0, 3], [1], [0, 2]], [[1, 2], [0]], [[3], [3, 1], [0], [2]]], [[0, 1, 1], [1, 0], [0, 0, 1, 0]]
+    decay, lines = 1e-2, 9
+
+    def objective(emit, step):
+        total = 0.0
+        for rows, own in zip(documents, labels, strict=True):
+            def value(path, rows=rows):
+                return sum(emit[p, y] for places, y in zip(rows, path, strict=True) for p in places) + sum(step[a, b] for a, b in itertools.pairwise(path))
+
+            every = [value(path) for path in itertools.product((0, 1), repeat=len(rows))]
+            total += value(own) - max(every) - math.log(sum(math.exp(v - max(every)) for v in every))
+        return total / lines - decay / 2 * ((emit**2).sum() + (step**2).sum())
+
+    chain = quality.train(documents, labels, rounds=4000, rate=0.02, decay=decay)
+    best = objective(chain.emit, chain.step)
+    for table, spots in ((0, [(p, y) for p in range(4) for y in (0, 1)]), (1, list(itertools.product((0, 1), repeat=2)))):
+        for spot in spots:
+            for move in (-0.05, 0.05):
+                moved = [chain.emit.copy(), chain.step.copy()]
+                moved[table][spot] += move
+                assert objective(*moved) < best
+
+
 def test_chain_learns_to_tell_lines(spark):
     rng = random.Random(3)
     good = [(i, "\n".join(words(rng, 14).capitalize() + "." for _ in range(8))) for i in range(60)]
@@ -545,6 +570,44 @@ def test_long_runs_take_linear_time():
     assert time.perf_counter() - began < 5
 
 
+def test_reliabilities_and_classifier_equal_brute_force():
+    rng = random.Random(12)
+    counts = {(rng.random() < 0.3, (rng.randrange(5), rng.randrange(3), rng.randrange(3), rng.randrange(3), rng.randrange(5), rng.randrange(3))): rng.randrange(1, 9) for _ in range(40)}
+    model = pii.estimate(counts)
+    spans = [row for row, n in sorted(counts.items()) for _ in range(n)]  # one at a time, as if no counts were kept
+    real = [1.0 if base else min(0.95, max(0.05, 0.4 + 0.3 * (sum(v == 1 for v in f[1:4]) - sum(v == 0 for v in f[1:4])))) for base, f in spans]
+    for _ in range(50):
+        free = [r for r, (base, _) in zip(real, spans, strict=True) if not base]
+        prior = min(0.98, max(0.02, sum(free) / len(free)))
+        table = [[[1.0] * 3 for _ in (0, 1)] for _ in range(3)]
+        for i in range(3):
+            table[i][1][1] += 1
+            table[i][0][0] += 1
+            for r, (_, f) in zip(real, spans, strict=True):
+                table[i][1][f[1 + i]] += r
+                table[i][0][f[1 + i]] += 1 - r
+            table[i] = [[x / sum(row) for x in row] for row in table[i]]
+        real = [1.0 if base else 1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + sum(math.log(table[i][1][f[1 + i]] / table[i][0][f[1 + i]]) for i in range(3))))) for base, f in spans]
+    assert model.prior == pytest.approx(prior) and np.allclose(model.reliability, table)
+
+    truth = {row: r for row, r in zip(spans, real, strict=True)}
+    weight = {row: math.sqrt(n) for row, n in counts.items()}
+
+    def objective(w):
+        found = 0.0
+        for (base, f), n in weight.items():
+            z = float(pii._encode(f) @ w)
+            found += n / sum(weight.values()) * (truth[base, f] * z - math.log1p(math.exp(z)))
+        return found - 1e-3 / 2 * float(w @ w)
+
+    best = objective(model.weights)
+    for at in range(len(model.weights)):
+        for move in (-0.05, 0.05):
+            moved = model.weights.copy()
+            moved[at] += move
+            assert objective(moved) < best
+
+
 def test_model_adds_spans_and_keeps_the_base(spark):
     rng = random.Random(2)
     rows = []
