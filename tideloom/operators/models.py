@@ -140,7 +140,7 @@ def top_unseen(factors: DataFrame, cases: DataFrame, seen: DataFrame, k: int, ca
     """
     users, _ = _sides(factors)
     known = seen.select("user", "item").distinct().groupBy("user").agg(F.count("*").alias("held"))
-    asked = cases.select("trial", "user").distinct().join(users, ["trial", "user"]).join(known, "user", "left").select("trial", "user", "p", F.coalesce("held", F.lit(0)).alias("held"))
+    asked = cut(cases.select("trial", "user").distinct().join(users, ["trial", "user"]).join(known, "user", "left").select("trial", "user", "p", F.coalesce("held", F.lit(0)).alias("held")))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

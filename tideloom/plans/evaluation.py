@@ -36,7 +36,7 @@ shown AS (SELECT preds.method, c.domain, preds.item_id, pop.n FROM preds JOIN (S
 
 def _methods(spark, folder):
     parts = [matrix.predictions(spark, folder, name) for name in ("popularity", "markov", "transition")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return cut(parts[0].unionByName(parts[1]).unionByName(parts[2]))  # read by both halves of the metrics
 
 
 @register(
@@ -58,7 +58,7 @@ def _variant_rows(spark, folder):
     best = _ranked(spark, folder).where("rank <= 10").groupBy("user_id", "variant").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("item_id").cast("string").alias("item")))).alias("r"))
     cases = _variants(spark, folder).select("user_id", "variant").join(target, "user_id")
     none = F.array().cast("array<string>")
-    return cases.join(best, ["user_id", "variant"], "left").select("user_id", "variant", "target_item", F.coalesce("r.item", none).alias("predicted_items"), none.alias("candidate_items"))
+    return cut(cases.join(best, ["user_id", "variant"], "left").select("user_id", "variant", "target_item", F.coalesce("r.item", none).alias("predicted_items"), none.alias("candidate_items")))
 
 
 _VARIANT_SQL = (sql.EVENTS, sql.SPLIT, sql.ALL_TRANSITIONS, _PERTURBED, _POP, sql.TAIL,
