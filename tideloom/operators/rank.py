@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideloom.functions.cuts import cut
 from tideloom.functions.text import tokens
 from tideloom.operators.prep import numbered
 
@@ -73,14 +74,14 @@ def transition_retriever(histories: DataFrame, edges: DataFrame, max_history: in
 def bm25(queries: DataFrame, documents: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """queries(query_id, text) against documents(doc_id, text) -> (query_id, doc_id, score) of all pairs that share a token.
 
-    Documents are tokenised into postings once, of the tokens that queries ask for alone, and a posting carries its
-    document's length. Document frequencies and the mean length come from all documents.
+    Documents are tokenised once, into postings that carry their document's length and are cut; frequencies, the
+    mean length and the matches read these. Document frequencies and the mean length come from all documents.
     """
-    asked = queries.select("query_id", F.explode(tokens("text")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    read = documents.select("doc_id", tokens("text").alias("t")).select("doc_id", "t", F.size("t").alias("length"))
-    corpus = read.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    terms = read.select("doc_id", "length", F.explode("t").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "length", "token").agg(F.count("*").alias("tf"))
+    length = F.sum("tf").over(Window.partitionBy("doc_id"))
+    terms = cut(documents.select("doc_id", F.explode(tokens("text")).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf")).withColumn("length", length))
+    corpus = documents.agg(F.count("*").alias("n")).crossJoin(terms.agg(F.sum("tf").alias("all"))).select("n", (F.col("all") / F.col("n")).alias("mean"))
     df = terms.groupBy("token").agg(F.count("*").alias("df"))
+    asked = queries.select("query_id", F.explode(tokens("text")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     wanted = asked.join(df, "token").crossJoin(F.broadcast(corpus)).withColumn("idf", idf)
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
