@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tideloom.functions.cuts import cut
 from tideloom.operators import graph, metrics, perturb, rank, runs, semantic, sequences, stats
 from tideloom.plans import sql
-from tideloom.plans.base import rounded, split_events, train_edges, train_events
-from tideloom.plans.ranking import _INDEX, _NEG_SQL, _OVERLAP, _POP, _index, _negatives
+from tideloom.plans.base import rounded, split_events, train_events
+from tideloom.plans.ranking import _INDEX, _NEG_SQL, _OVERLAP, _POP, _negatives, _stress_inputs
 from tideloom.plans.registry import register
 from tideloom.sources.tables import event_interactions, order_interactions
 
@@ -138,14 +138,9 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    from tideloom.operators import asof
-    from tideloom.plans.base import test_cases
-
-    cases = test_cases(spark, folder)
-    negatives = _negatives(spark, folder)
-    previous = cut(asof.sources_of(cases, split_events(spark, folder).where("split <> 'test'"), 1).select("event_id", "source_id"))
-    close = semantic.overlap_pairs(_index(spark, folder), previous.select(F.col("source_id").alias("item_id"))).select(F.col("item_id").alias("source_id"), F.col("other_id").alias("item_id"), "shared")
-    moves = train_edges(spark, folder).select("source_id", F.col("target_id").alias("item_id"), "transition_probability")
+    inputs = _stress_inputs(spark, folder)
+    cases, _, _, previous, edges, close = inputs
+    negatives, moves = cut(_negatives(spark, folder, inputs)), edges.drop("support")
 
     def measured(items, name):
         found = previous.join(items, "event_id").join(close, ["source_id", "item_id"], "left").join(moves, ["source_id", "item_id"], "left")

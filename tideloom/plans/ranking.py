@@ -209,17 +209,24 @@ rows AS (SELECT el.event_id, el.item_id, coalesce(ov.shared, 0) AS overlap, coal
   LEFT JOIN pop ON pop.item_id = el.item_id)"""
 
 
-def _negatives(spark, folder):
-    cases, events, train = test_cases(spark, folder), split_events(spark, folder), train_events(spark, folder)
-    mine = events.where("split <> 'test'")
+def _stress_inputs(spark, folder):
+    """(cases, events before them, training events, each case's last item, edges, overlaps of the last items), cut, since negatives and their measures read each several times."""
+    events = cut(split_events(spark, folder))
+    cases, mine, train = events.where("split = 'test'"), events.where("split <> 'test'"), events.where("split = 'train'")
     previous = cut(asof.sources_of(cases, mine, 1).select("event_id", "source_id"))
-    seen = asof.seen_before(cases, mine)
+    edges = cut(graph.tdig_edges(graph.transitions(train)).select("source_id", F.col("target_id").alias("item_id"), "transition_probability", "support"))
+    close = semantic.overlap_pairs(_index(spark, folder), previous.select(F.col("source_id").alias("item_id")))
+    return cases, mine, train, previous, edges, cut(close.select(F.col("item_id").alias("source_id"), F.col("other_id").alias("item_id"), "shared"))
+
+
+def _negatives(spark, folder, inputs):
+    cases, mine, train, previous, edges, close = inputs
     asked = cases.join(previous.select("event_id"), "event_id", "left_semi")
-    close = semantic.overlap_pairs(_index(spark, folder), previous.select(F.col("source_id").alias("item_id"))).select(F.col("item_id").alias("source_id"), F.col("other_id").alias("item_id"), "shared")
     near = previous.join(close, "source_id").select("event_id", "item_id", F.col("shared").alias("overlap"))
-    moves = previous.join(train_edges(spark, folder), "source_id").select("event_id", F.col("target_id").alias("item_id"), F.col("transition_probability").alias("score"), "support")
+    moves = previous.join(edges, "source_id").select("event_id", "item_id", F.col("transition_probability").alias("score"), "support")
     counts = rank.popularity(train).select("item_id", F.col("score").cast("long").alias("popularity"))
-    return semantic.hard_negatives(asked, event_interactions(spark, folder), seen.join(asked, "event_id", "left_semi"), near, moves, counts)
+    seen = asof.seen_before(cases, mine).join(asked, "event_id", "left_semi")
+    return semantic.hard_negatives(asked, event_interactions(spark, folder), seen, near, moves, counts)
 
 
 @register(
@@ -240,7 +247,7 @@ def _negatives(spark, folder):
     ),
 )
 def _(spark, folder):
-    return _negatives(spark, folder)
+    return _negatives(spark, folder, _stress_inputs(spark, folder))
 
 
 _SEG_SQL = """seg AS (SELECT r.*, CASE WHEN h.n < 5 THEN '1-4' WHEN h.n < 20 THEN '5-19' WHEN h.n < 100 THEN '20-99' ELSE '100+' END AS history,
