@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideloom.llm import digests, extraction, langid, lm, mixing, packing, pii, quality, sharding, simhash
+from tideloom.llm import digests, divergence, extraction, interaction, langid, lm, mixing, packing, pii, quality, sharding, simhash
 from tideloom.llm.common import table
 
 SHARD_BYTES = 64 * 1024 * 1024
@@ -74,8 +74,18 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", F.lower(F.lpad(F.hex("hash"), 16, "0")).alias("hash"), "shard_id", "depth", "shard_bytes", "shard_docs")
 
 
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all 120 orders, by part. Null text is empty and a null source the part ''; repeated rows count a row each."""
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sources of a language and the terms that set a source apart. Null text, lang and source are ''."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_crf_quality, op3_langid, op4_exact_digest, op5_lstm_extraction, op6_kk_packing, op7_weak_pii, op8_stupid_backoff, op9_pfair_mix, op10_extendible_shards)}
+    return {f.__name__: f for f in (op1_simhash, op2_crf_quality, op3_langid, op4_exact_digest, op5_lstm_extraction, op6_kk_packing, op7_weak_pii, op8_stupid_backoff, op9_pfair_mix, op10_extendible_shards, op12_filter_interaction, op13_source_divergence)}
 
 
 _BACKOFF_SQL = r"""WITH l AS (
@@ -98,4 +108,4 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(lp, 0), 6) AS log
 
 def oracle_sql() -> dict[str, str]:
     """Other queries hold steps that SQL has no function for; tests hold them against brute force."""
-    return {"op8_stupid_backoff": _BACKOFF_SQL}
+    return {"op8_stupid_backoff": _BACKOFF_SQL, "op12_filter_interaction": interaction.AUDIT_SQL, "op13_source_divergence": divergence.DIVERGENCE_SQL}
