@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideloom.llm import digests, divergence, extraction, interaction, langid, lm, mixing, packing, pii, quality, sharding, simhash
+from tideloom.llm import digests, divergence, extraction, interaction, langid, lm, mixing, packing, parity, pii, quality, sharding, simhash
 from tideloom.llm.common import table
 
 SHARD_BYTES = 64 * 1024 * 1024
@@ -74,6 +74,11 @@ def op10_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", F.lower(F.lpad(F.hex("hash"), 16, "0")).alias("hash"), "shard_id", "depth", "shard_bytes", "shard_docs")
 
 
+def op11_parity_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of links at a five-word similarity of 0.8 or more. Texts without words are linked with nothing; repeated rows are copies."""
+    return parity.join(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all 120 orders, by part. Null text is empty and a null source the part ''; repeated rows count a row each."""
     return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -85,7 +90,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_crf_quality, op3_langid, op4_exact_digest, op5_lstm_extraction, op6_kk_packing, op7_weak_pii, op8_stupid_backoff, op9_pfair_mix, op10_extendible_shards, op12_filter_interaction, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_simhash, op2_crf_quality, op3_langid, op4_exact_digest, op5_lstm_extraction, op6_kk_packing, op7_weak_pii, op8_stupid_backoff, op9_pfair_mix, op10_extendible_shards, op11_parity_jaccard, op12_filter_interaction, op13_source_divergence)}
 
 
 _BACKOFF_SQL = r"""WITH l AS (

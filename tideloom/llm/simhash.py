@@ -17,6 +17,7 @@ fingerprint. A null doc_id never becomes a component id unless its group has no
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideloom.functions.cuts import cut
-from tideloom.llm.common import binary, map_batches, only, word_chunks
+from tideloom.llm.common import binary, map_batches, only, spread_join, word_chunks
 from tideloom.llm.components import component_stars
 
 SEGMENTS = 7
@@ -103,31 +104,40 @@ def linked_pairs(distinct: DataFrame, distance: int = 2, bucket_pairs: int = 64)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp, component_id): the smallest doc_id reachable over links."""
+    """docs(doc_id, text) -> (doc_id, fp, component_id, root): the smallest doc_id reachable over links, and the group's own id."""
     prints = cut(fingerprints(docs, width))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
     stars = component_stars(linked_pairs(distinct.select("fp"), distance))
     rooted = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return prints.join(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp")
+    return spread_join(prints, rooted.select("fp", "root").join(ids, "root").select("fp", "component_id", "root"), "fp")
 
 
-def keep_documents(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is kept(doc_id), one for each; rows without a doc_id cannot be told apart and stay.
+def keep_documents(docs: DataFrame, kept: DataFrame, mark_of: Callable[[bytes], int] | None = None) -> DataFrame:
+    """The rows of docs whose doc_id and text's mark are kept(doc_id, mark), one for each; rows without a doc_id cannot be told apart and stay.
 
-    The columns of docs travel as one, so names of theirs clash with none in here.
+    The mark tells texts of one doc_id apart; without mark_of the rows of a doc_id are one document. The columns of docs travel as one, so names of theirs clash with
+    none in here.
     """
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("doc_id"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("h"))
-    order = Window.partitionBy("doc_id").orderBy("h")
-    first = rows.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    return first.select("row.*").unionByName(docs.where("doc_id is null"))
+
+    @F.arrow_udf("long")
+    def mark(text: pa.Array) -> pa.Array:
+        return pa.array([mark_of(t or b"") for t in binary(text)], pa.int64())
+
+    marks = mark(docs["text"]) if mark_of else F.lit(0).cast("long")
+    kept = kept if mark_of else kept.select("doc_id", marks.alias("mark"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), marks.alias("mark"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("h"))
+    order = Window.partitionBy("doc_id", "mark").orderBy("h")
+    first = rows.where("doc_id is not null").join(kept, ["doc_id", "mark"], "left_semi").withColumn("rank", F.row_number().over(order)).where("rank = 1")
+    return first.select("row.*").unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def keep_first(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
-    """One document of each group of linked fingerprints, with its columns: the one of smallest doc_id."""
+    """One document of each group of linked fingerprints, with its columns: the one of smallest doc_id. Of one doc_id with
+    several texts, those of different groups all stay where each is its group's first."""
     some = docs.where("doc_id is not null")
-    kept = near_duplicates(some, width, distance).where("doc_id = component_id").select("doc_id").distinct()
-    return keep_documents(docs, kept)
+    kept = near_duplicates(some, width, distance).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("first")).select("first.doc_id", F.col("first.fp").alias("mark"))
+    return keep_documents(docs, kept, lambda text: np.array([fingerprint(text, width)], dtype=np.uint64).view(np.int64)[0])
 
 
 def hex16(column: str):

@@ -31,6 +31,7 @@ doc_ids are as in simhash.py.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideloom.functions.cuts import cut
-from tideloom.llm.common import binary, map_batches, only, word_chunks
+from tideloom.llm.common import binary, bitmap, map_batches, only, spread_join, word_chunks
 from tideloom.llm.components import component_stars
 from tideloom.llm.simhash import keep_documents, ring_masks
 
@@ -223,31 +224,65 @@ def _unmet(members: DataFrame, links: DataFrame, block_bytes: int) -> DataFrame
     return cut(asking.union(met).distinct())
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, block_bytes: int = 2_000_000) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, component_id): the smallest doc_id reachable over links of `similarity` or more. Rows without a doc_id are left out."""
-    named = docs.where("doc_id is not null")
-    drawn = cut(sketches(named, width))
-    texts = cut(drawn.groupBy("same").agg(F.min(F.struct("doc_id", "size", "fp", "near")).alias("s")).select("same", F.col("s.doc_id").alias("id"), "s.size", "s.fp", "s.near"))
-    edges = cut(candidate_links(texts))
+def link_clusters(texts: DataFrame, edges: DataFrame, whole: DataFrame, similarity: float = 0.8, width: int = 5, block_bytes: int = 2_000_000) -> DataFrame:
+    """texts(id, size), edges(u, v), whole(id, text) -> (node, root): the components of the pairs of `similarity` or more
+    within the components of `edges`. whole has each id of edges once; other ids do no harm."""
     ends = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     clustered = cut(_clusters(edges).join(texts.select("id", "size"), "id").join(ends, "id"))
     sizes = clustered.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block_bytes)).alias("blocks"), F.max_by("id", F.struct("links", "id")).alias("most_linked"))
     members = cut(clustered.join(sizes, "root").select("id", "root", "size", "most_linked", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block")))
     leaders = sizes.where("blocks > 1").select(F.explode(F.array("root", "most_linked")).alias("id"), "root", _to_each("blocks").alias("block"))
     placed = cut(members.select("id", "root", "block").union(leaders).distinct())
-    whole = only(named, "doc_id", "text").withColumnRenamed("doc_id", "id").join(members.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    whole = whole.join(members.select("id"), "id", "left_semi")
     exact = cut(_linked(placed, whole, ["root", "block"], similarity, width))
     linked = component_stars(exact)
     unmet = _unmet(members, linked, block_bytes)
     if unmet is not None:
         linked = component_stars(exact.union(_linked(unmet, whole, ["root", "asked", "block"], similarity, width)))
-    roots = linked.select(F.col("node").alias("id"), "root")
-    found = texts.select("same", "id").join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component_id"))
-    return drawn.select("doc_id", "same").join(found, "same").select("doc_id", "component_id")
+    return linked
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, text_id: Callable[[bytes], int]) -> DataFrame:
+    """docs(doc_id, text), ids(doc_id, id) -> (id, text), one row an id. A bitmap of the doc_ids spares the other texts the exchange."""
+    marked = bitmap(ids.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h")))
+    mask = 64 * len(marked) - 1
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cells = [None if i is None else xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42) & mask for i in batch.column(0).to_pylist()]
+        some = batch.column(1).filter(pa.array([c is None or bool(marked[c >> 6] >> (c & 63) & 1) for c in cells], pa.bool_()))
+        return pa.record_batch([pa.array([text_id(t or b"") for t in binary(some)], pa.int64()), some], names=["id", "text"])
+
+    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    return map_batches(named, make, "id long, text string").join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"])
+
+
+def _text_id(text: bytes) -> int:
+    """The word key's first 64 bits."""
+    return int.from_bytes(_word_key(text.lower())[:8], "big", signed=True)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, block_bytes: int = 2_000_000) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, id, component_id, root): the text's id, the smallest doc_id reachable over links of
+    `similarity` or more, and the group's own id. Rows without a doc_id are left out.
+
+    Texts are told apart by 64 bits of their words' digest and never by doc_id, which may stand for several.
+    """
+    named = docs.where("doc_id is not null")
+    drawn = cut(sketches(named, width).withColumn("id", F.conv(F.substring(F.hex("same"), 1, 16), 16, -10).cast("long")))
+    texts = cut(drawn.groupBy("id").agg(F.min(F.struct("doc_id", "size", "fp", "near")).alias("s")).select("id", F.col("s.doc_id").alias("doc_id"), "s.size", "s.fp", "s.near"))
+    edges = cut(candidate_links(texts))
+    asked = texts.select("doc_id", "id").join(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
+    linked = link_clusters(texts, edges, texts_of(named, cut(asked), _text_id), similarity, width, block_bytes)
+    rooted = texts.select("id", "doc_id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return spread_join(drawn.select("doc_id", "id"), rooted.select("id", "root").join(least, "root"), "id").select("doc_id", "id", "component_id", "root")
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """One document of each group, with its columns: the one of smallest doc_id. Rows without a doc_id stay."""
+    """One document of each group, with its columns: the one of smallest doc_id. Rows without a doc_id stay.
+
+    Of one doc_id with several texts, those of different groups all stay where each is its group's first.
+    """
     some = docs.where("doc_id is not null")
-    kept = near_copies(some, similarity, width).where("doc_id = component_id").select("doc_id").distinct()
-    return keep_documents(docs, kept)
+    kept = near_copies(some, similarity, width).groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("first")).select("first.doc_id", F.col("first.id").alias("mark"))
+    return keep_documents(docs, kept, _text_id)
