@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from tideloom.functions.cuts import cut
 from tideloom.llm.common import binary, word_chunks
 
-HELD = 400_000  # counted (group, term) pairs of a task in memory
+HELD = 1_000_000  # counted (group, term) pairs of a task in memory
+_DOCS = 40  # a task's count of a term stands in the low 40 bits, its documents above
+_ONE_DOC, _COUNT = 1 << _DOCS, (1 << _DOCS) - 1
 BUCKET_TERMS = 65_536  # terms numbered in one window, on average
 _FOLD = bytes(32 if c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if c <= 90 else c for c in range(256))
 
@@ -40,22 +43,23 @@ def term_counts(docs: DataFrame, held: int = HELD) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("docs", pa.int64())])
 
     def rows(groups: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (counts, docs) in groups.items():
-            n = len(counts)
-            yield pa.record_batch([pa.repeat(pa.scalar(lang), n), pa.repeat(pa.scalar(source), n), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([docs[t] for t in counts], pa.int64())], schema=schema)
+        for (lang, source), both in groups.items():
+            n = len(both)
+            values = np.fromiter(both.values(), dtype=np.int64, count=n)
+            yield pa.record_batch([pa.repeat(pa.scalar(lang), n), pa.repeat(pa.scalar(source), n), pa.array(list(both), pa.binary()).cast(pa.string()), pa.array(values & _COUNT), pa.array(values >> _DOCS)], schema=schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        groups: dict[tuple[str, str], dict[bytes, int]] = {}
         size = 0
         for batch in batches:
             for text, lang, source in zip(binary(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                counts, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-                before, mine = len(counts), Counter()
+                both = groups.setdefault((lang, source), {})
+                before, mine = len(both), Counter()
                 for words in word_chunks(text.translate(_FOLD)):
                     mine.update(words)
-                counts.update(mine)
-                docs.update(mine.keys())
-                size += len(counts) - before
+                for term, n in mine.items():
+                    both[term] = both.get(term, 0) + _ONE_DOC + n
+                size += len(both) - before
                 if size > held:
                     yield from rows(groups)
                     groups, size = {}, 0
