@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideloom.functions.cuts import cut
-from tideloom.operators.graph import strict_transitions
+from tideloom.operators.graph import GAP_BUCKETS, strict_transitions
 from tideloom.operators.prep import numbered
+from tideloom.operators.sequences import gap_bucket
 
 
 def counts_before(asked: DataFrame, rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -96,6 +97,76 @@ def retrieve(cases: DataFrame, labelled: DataFrame, source_items: int = 20, per_
     return left.withColumn("rank", F.row_number().over(order))
 
 
+def all_before(asked: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """asked(event_id, ts) with the number of all rows(ts) at earlier times.
+
+    A count without a key has no partition to sort in, so it is a prefix sum of two levels: rows are dealt by
+    ranges of time, each range has one total, and a row adds the totals of the ranges before it to the count
+    within its own.
+    """
+    steps = rows.groupBy("ts").agg(F.count("*").alias("n")).select("ts", "n", F.lit(None).cast("long").alias("event_id"))
+    both = cut(steps.union(asked.select("ts", F.lit(0).cast("long").alias("n"), "event_id")).repartitionByRange("ts").withColumn("range", F.spark_partition_id()))
+    totals = both.groupBy("range").agg(F.sum("n").alias("total"))
+    before = totals.select("range", F.coalesce(F.sum("total").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a partition
+    w = Window.partitionBy("range").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    placed = both.select("event_id", "range", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("within")).where("event_id is not null")
+    return placed.join(F.broadcast(before), "range").select("event_id", (F.col("within") + F.col("before")).alias(name))
+
+
+SCORES = ("support", "transition_probability", "lift", "pmi")
+
+
+def _edges_before(met: DataFrame, moves: DataFrame) -> DataFrame:
+    """met(event_id, source_id, target_id, ts) with the edge's support, last time and gaps by bucket before ts. One sorted pass."""
+    keys = ["source_id", "target_id"]
+    gaps = [F.count_if(F.col("bucket") == b).alias(f"gap_{b}") for b in GAP_BUCKETS]
+    steps = moves.groupBy(*keys, "ts").agg(F.count("*").alias("support"), *gaps).withColumn("event_id", F.lit(None).cast("long"))
+    asked = met.select(*keys, "ts", F.lit(0).cast("long").alias("support"), *[F.lit(0).cast("long").alias(f"gap_{b}") for b in GAP_BUCKETS], "event_id")
+    w = Window.partitionBy(*keys).orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
+    summed = ["support", *[f"gap_{b}" for b in GAP_BUCKETS]]
+    last = F.max(F.when(F.col("event_id").isNull(), F.col("ts"))).over(w)
+    both = steps.unionByName(asked)
+    return both.select("event_id", *keys, last.alias("last_ts"), *[F.sum(c).over(w).alias(c) for c in summed]).where("event_id is not null and support > 0")
+
+
+def scored_edges(cases: DataFrame, labelled: DataFrame, source_items: int = 20) -> DataFrame:
+    """What was known of each edge of a case's sources strictly before the case.
+
+    (event_id, source_id, target_id, support, transition_probability, lift, pmi, last_ts, gap_*). lift is the edge's
+    probability over the target's share of all transitions so far; pmi is its logarithm.
+    """
+    labelled = cut(labelled.select("event_id", "user_id", "item_id", "ts", "split"))
+    strict = strict_transitions(labelled.where("split = 'train'"))
+    moves = cut(strict.select("source_id", "target_id", F.col("target_ts").alias("ts"), gap_bucket(F.col("target_ts") - F.col("source_ts")).alias("bucket")))
+    timed = cut(sources_of(cases, labelled.where("split <> 'test'"), source_items).join(cases.select("event_id", "ts"), "event_id"))
+    first = moves.groupBy("source_id", "target_id").agg(F.min("ts").alias("__first"))
+    met = cut(timed.join(first, "source_id").where("__first < ts").select("event_id", "source_id", "target_id", "ts"))
+    known = _edges_before(met, moves)
+    sources = counts_before(timed.select("event_id", "source_id", "ts"), moves, ["source_id"], "source_count")
+    targets = counts_before(met.select("event_id", "target_id", "ts").distinct(), moves, ["target_id"], "target_count")
+    total = all_before(cases.select("event_id", "ts"), moves, "total")
+    joined = known.join(sources, ["event_id", "source_id"]).join(targets, ["event_id", "target_id"]).join(total, "event_id")
+    share = F.col("support") / F.col("source_count")
+    lift = share / (F.col("target_count") / F.col("total"))
+    return joined.select("event_id", "source_id", "target_id", "support", share.alias("transition_probability"), lift.alias("lift"), F.log(lift).alias("pmi"), "last_ts", *[f"gap_{b}" for b in GAP_BUCKETS])
+
+
+def merged_candidates(edges: DataFrame, score: str = "transition_probability", merge: str = "max", per_source: int = 50) -> DataFrame:
+    """scored_edges(...) -> (event_id, candidate_id, score, support, last_ts, sources): the best edges of each source, put together.
+
+    score is one of SCORES, or a gap bucket, which then scores by its count. Only scores above zero count; ties go by
+    support, the later last time, then id. merge: max or sum.
+    """
+    if merge not in ("max", "sum"):
+        raise ValueError("merge must be max or sum")
+    column = f"gap_{score}" if score in GAP_BUCKETS else score
+    if column not in edges.columns or score not in (*SCORES, *GAP_BUCKETS):
+        raise ValueError(f"no such score: {score}")
+    w = Window.partitionBy("event_id", "source_id").orderBy(F.desc("__s"), F.desc("support"), F.desc("last_ts"), "target_id")
+    best = edges.withColumn("__s", F.col(column).cast("double")).where("__s > 0").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_source)
+    return best.groupBy("event_id", F.col("target_id").alias("candidate_id")).agg(getattr(F, merge)("__s").alias("score"), F.sum("support").alias("support"), F.max("last_ts").alias("last_ts"), F.count("*").alias("sources"))
+
+
 def target_ranks(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Each case's rank of its target, null where it was not retrieved."""
     hits = retrieved.select("event_id", F.col("candidate_id").alias("item_id"), "rank")
