@@ -130,7 +130,7 @@ def test_join_of_odd_and_no_rows(spark):
     assert found == slow_join(rows)
     assert [found[i] for i in (5, 6, 7)] == [(0, 5), (0, 6), (0, 7)] and found[10] == (1, 9)
     assert joined(frame(spark, rows).where("false")) == {}
-    nameless = parity.join(frame(spark, [(None, rows[0][1]), (3, rows[0][1]), (None, "alone here")])).collect()
+    nameless = parity.join(spark.createDataFrame([(None, rows[0][1]), (3, rows[0][1]), (None, "alone here")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in nameless) == [(0, 0), (0, 3), (3, 3)]
 
 
