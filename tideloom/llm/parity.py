@@ -16,8 +16,9 @@ Common keys. A key of more than CROWD texts is not paired off. A set all of whos
 that is not crowded (X - D less its crowded keys is 1 or more) needs none of its crowded keys. Two sets that both
 lack that proof are linked to the first text of each crowded key, which puts them into one cluster. Pairs of
 keys that are not crowded are pruned by size and by a second, dense sketch of 512 bits, whose Hamming distance
-is a lower bound too. So every pair at the threshold lies within a cluster, and clusters are compared by their
-shingle sets, block by block, whatever their size (similar.link_clusters). Nothing is capped.
+is a lower bound too. So every pair at the threshold lies within a cluster. A cluster's texts are dealt into blocks
+and compared by their shingle sets within each; what lies in two blocks meets by wider parity sketches (2 to 4 bits a
+shingle), and only pairs whose distance allows the threshold are compared by their sets. Nothing is capped.
 
 Crowded keys are put together in each batch before the exchange: a key that more than CROWD texts of a batch
 have leaves it as one row, and its texts keep the name of the batch's first text. Exact copies collapse by the
@@ -251,6 +252,70 @@ def candidate_links(sketched: DataFrame, texts: DataFrame, percent: int, crowd:
     return near.union(links.where("u <> v")).distinct()
 
 
+def wide_sketch(tokens: np.ndarray) -> bytes:
+    """2 to 4 parities for each value of the set, a power of two in all; folding the halves gives the sketch of half the width."""
+    bits = max(DENSE_BITS, 2 << len(tokens).bit_length())
+    flips = np.bincount((tokens * _C[3]) & np.uint64(bits - 1), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def _near_sketches(group: pa.Table, percent: int) -> pa.Table:
+    """Pairs of an asking and another row that lie in two blocks and two parts and whose sizes and sketches allow the similarity."""
+    cols = {name: group.column(name).to_numpy(zero_copy_only=False) for name in ("id", "block", "part", "n", "asks")}
+    bits = [np.frombuffer(b, dtype=np.uint64) for b in group.column("bits").to_pylist()]
+    found: list[tuple[int, int, float]] = []
+    widths = np.array([len(b) for b in bits])
+    for width in np.unique(widths).tolist():
+        there = np.flatnonzero((widths == width) & ~cols["asks"])
+        if not len(there):
+            continue
+        sketches = np.stack([bits[i] for i in there])
+        for u in np.flatnonzero(cols["asks"]).tolist():
+            n, m = int(cols["n"][u]), cols["n"][there]
+            fits = np.flatnonzero((100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (cols["part"][there] != cols["part"][u]) & (cols["block"][there] != cols["block"][u]))
+            for at in range(0, len(fits), 4096):
+                some = fits[at : at + 4096]
+                common = min(width, len(bits[u]))
+                apart = np.bitwise_count(_folded(sketches[some], common) ^ _folded(bits[u], common)).sum(axis=1, dtype=np.int64)
+                size = n + m[some]
+                for k in np.flatnonzero(apart * (100 + percent) <= size * (100 - percent)).tolist():
+                    v = int(cols["id"][there[some[k]]])
+                    found.append((min(int(cols["id"][u]), v), max(int(cols["id"][u]), v), float(apart[k] / size[k])))
+    return pa.table([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["u", "v", "apart"])
+
+
+def meet_by_sketches(members: DataFrame, whole: DataFrame, percent: int, width: int, block_bytes: int) -> DataFrame:
+    """members(id, root, block, part), whole(id, text) -> (u, v, apart): pairs across blocks and parts of a cluster by their wide sketches.
+
+    Only rows outside a cluster's largest part ask. Sketches, a tenth of the texts' bytes, are dealt into blocks, and
+    every block of asking rows meets every block.
+    """
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set((t or b"").lower(), width) for t in binary(batch.column(1))]
+        return pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide_sketch(s) for s in sets], pa.binary())], names=["id", "n", "bits"])
+
+    drawn = cut(map_batches(only(whole, "id", "text"), make, "id long, n long, bits binary").join(members, "id"))
+    largest = drawn.groupBy("root", "part").agg(F.count("*").alias("rows")).groupBy("root").agg(F.max_by("part", F.struct("rows", "part")).alias("largest"))
+    size = F.sum(F.octet_length("bits") + 40) / block_bytes
+    blocks = drawn.groupBy("root").agg(F.ceil(size).alias("blocks"))
+    asks = drawn.join(largest, "root").where("part <> largest").drop("largest")
+    asked = asks.groupBy("root").agg(F.ceil(size).alias("asked_blocks"))
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    columns = ["id", "root", "block", "part", "n", "bits"]
+    asking = asks.join(blocks, "root").join(asked, "root").select(*columns, F.lit(True).alias("asks"), F.pmod(F.xxhash64("id", F.lit(1)), "asked_blocks").alias("x"), each("blocks").alias("y"))
+    there = drawn.join(blocks, "root").join(asked, "root").select(*columns, F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), "blocks").alias("y"), each("asked_blocks").alias("x"))
+    met = asking.unionByName(there).groupBy("root", "x", "y").applyInArrow(lambda g: _near_sketches(g, percent), "u long, v long, apart double")
+    return met.groupBy("u", "v").agg(F.min("apart").alias("apart"))
+
+
 def join(docs: DataFrame, percent: int = 80, width: int = 5, crowd: int = CROWD, block_bytes: int = 2_000_000) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_shingles, component_id): links at a similarity of `percent` / 100 or more, which is 70 at least.
 
@@ -262,7 +327,8 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, crowd: int = CROWD,
     texts = cut(drawn.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("size").alias("size"), F.max("dense").alias("dense")))
     edges = cut(candidate_links(drawn.where("slacks is not null"), texts, percent, crowd))
     asked = texts.select("doc_id", "id").join(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
-    linked = link_clusters(texts, edges, texts_of(docs, cut(asked), text_id), percent / 100, width, block_bytes)
+    whole = cut(texts_of(docs, cut(asked), text_id))
+    linked = link_clusters(texts, edges, whole, percent / 100, width, block_bytes, lambda members, some: meet_by_sketches(members, some, percent, width, block_bytes))
     rooted = texts.select("id", "doc_id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     some = spread_join(drawn.where("n > 0").select("doc_id", "id", "n"), rooted.select("id", "root").join(least, "root").select("id", "component_id"), "id")

@@ -224,9 +224,14 @@ def _unmet(members: DataFrame, links: DataFrame, block_bytes: int) -> DataFrame
     return cut(asking.union(met).distinct())
 
 
-def link_clusters(texts: DataFrame, edges: DataFrame, whole: DataFrame, similarity: float = 0.8, width: int = 5, block_bytes: int = 2_000_000) -> DataFrame:
+def link_clusters(texts: DataFrame, edges: DataFrame, whole: DataFrame, similarity: float = 0.8, width: int = 5, block_bytes: int = 2_000_000, meet: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """texts(id, size), edges(u, v), whole(id, text) -> (node, root): the components of the pairs of `similarity` or more
-    within the components of `edges`. whole has each id of edges once; other ids do no harm."""
+    within the components of `edges`. whole has each id of edges once; other ids do no harm.
+
+    In clusters of several blocks, texts that one component does not hold meet the other blocks: with their texts, or
+    where `meet` is given, by the pairs that meet(members(id, root, block, part), whole) -> (u, v, apart) finds, which
+    must hold every pair of two blocks and two parts at the similarity, the likeliest with the least `apart`.
+    """
     ends = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     clustered = cut(_clusters(edges).join(texts.select("id", "size"), "id").join(ends, "id"))
     sizes = clustered.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block_bytes)).alias("blocks"), F.max_by("id", F.struct("links", "id")).alias("most_linked"))
@@ -236,12 +241,38 @@ def link_clusters(texts: DataFrame, edges: DataFrame, whole: DataFrame, similari
     whole = whole.join(members.select("id"), "id", "left_semi")
     exact = cut(_linked(placed, whole, ["root", "block"], similarity, width))
     linked = component_stars(exact)
+    if meet is not None:
+        return _linked_pairs(members, exact, linked, whole, meet, similarity, width)
     unmet = _unmet(members, linked, block_bytes)
     if unmet is not None:
         linked = component_stars(exact.union(_linked(unmet, whole, ["root", "asked", "block"], similarity, width)))
     return linked
 
 
+def _linked_pairs(members: DataFrame, exact: DataFrame, linked: DataFrame, whole: DataFrame, meet: Callable[[DataFrame, DataFrame], DataFrame], similarity: float, width: int) -> DataFrame:
+    """linked, with the links across blocks. Of two parts the likeliest pair is compared first; only where it fails are the others."""
+    several = members.where("blocks > 1").join(linked.select(F.col("node").alias("id"), F.col("root").alias("part")), "id", "left")
+    several = cut(several.select("id", "root", "block", F.coalesce("part", "id").alias("part")))
+    if several.isEmpty():
+        return linked
+    whole = whole.join(several.select("id"), "id", "left_semi")
+    parts = several.select("id", "part")
+    found = meet(several, whole).join(parts.select(F.col("id").alias("u"), F.col("part").alias("pu")), "u").join(parts.select(F.col("id").alias("v"), F.col("part").alias("pv")), "v")
+    left = cut(found.select("u", "v", F.least("pu", "pv").alias("a"), F.greatest("pu", "pv").alias("b"), "apart"))
+    best = left.groupBy("a", "b").agg(F.min(F.struct("apart", "u", "v")).alias("m")).select("a", "b", "m.u", "m.v")
+    for again in (False, True):
+        placed = (left if again else best).select(F.explode(F.array("u", "v")).alias("id"), F.concat_ws("-", "u", "v").alias("pair"))
+        exact = cut(exact.union(_linked(placed, whole, ["pair"], similarity, width)))
+        linked = component_stars(exact)
+        roots = linked.select(F.col("node").alias("id"), "root")
+        of = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"r{side}"))
+        rest = left.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select(*left.columns)
+        left = cut(rest.join(best.select("u", "v"), ["u", "v"], "left_anti"))
+        if left.isEmpty():
+            break
+    return linked
+
+
 def texts_of(docs: DataFrame, ids: DataFrame, text_id: Callable[[bytes], int]) -> DataFrame:
     """docs(doc_id, text), ids(doc_id, id) -> (id, text), one row an id. A bitmap of the doc_ids spares the other texts the exchange."""
     marked = bitmap(ids.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h")))
