@@ -7,6 +7,7 @@ import hashlib
 import json
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -439,7 +440,16 @@ def test_runs_are_written_locked_and_resumed(spark, tmp_path, capsys):
     assert {(r.method, r.seed) for r in found.collect() if r.seed is not None} == {(m, s) for m in ("popularity", "random") for s in (0, 1)}
     status = spark.read.parquet(f"{tmp_path}/run/status")
     assert {(r.category, r.failures) for r in protocol.failure_counts(status).collect()} == {("runtime_error", 2)}
-    assert protocol.exists(spark, f"{tmp_path}/run/lock")
+    assert not protocol.exists(spark, f"{tmp_path}/run/lock")  # a method failed
+    assert {len(r.predicted_items) for p in (tmp_path / "run" / "predictions").iterdir() for r in spark.read.parquet(str(p)).collect()} == {5}
+    longer = matrix.run(spark, {"methods": ["popularity", "markov"], "top": 10}, "/root/testdata/sf0.001", f"{tmp_path}/run")
+    assert {r.method for r in longer.collect() if r.method is not None} == {"popularity", "markov"} and protocol.exists(spark, f"{tmp_path}/run/lock")
+    again = sorted(p.name for p in (tmp_path / "run" / "predictions").iterdir())
+    matrix.run(spark, {"methods": ["popularity", "markov"], "top": 10}, "/root/testdata/sf0.001", f"{tmp_path}/run")
+    assert again == sorted(p.name for p in (tmp_path / "run" / "predictions").iterdir()) and len(again) == 6
+    assert sorted({len(r.predicted_items) for p in again for r in spark.read.parquet(f"{tmp_path}/run/predictions/{p}").collect()}) == [5, 10]
+    with pytest.raises(ValueError, match="no method of the run succeeded"):
+        matrix.run(spark, {"methods": ["nonsense"]}, "/root/testdata/sf0.001", f"{tmp_path}/other")
     for wrong in ({}, {"methods": []}, {"methods": ["markov"], "seeds": ["x"]}, {"methods": ["markov"], "top": 0}):
         with pytest.raises(ValueError, match="must be"):
             matrix.check_config(wrong)
@@ -469,6 +479,29 @@ def test_manifests_and_ablations(spark, tmp_path):
         protocol.ablation("w_o_everything")
 
 
+def test_numbers_of_any_length_sort_by_value(spark):
+    labels = ["-1", "-2", "-10", "0", "00", "-0", "5", "05", "40", "9" * 30, "1" + "0" * 30, "-" + "9" * 30, "x", "10a", ""]
+    rng = random.Random(1)
+    rng.shuffle(labels)
+    found = [r.l for r in spark.createDataFrame([(x,) for x in labels], "l string").orderBy(prep.natural_key(F.col("l"))).collect()]
+    assert found == sorted(labels, key=lambda x: (0, int(x), x) if re.fullmatch("-?[0-9]+", x) else (1, 0, x))
+
+
+def test_of_repeated_rows_the_first_stays(spark, tmp_path):
+    rows = [("d", "u", "i", 5, float(k), None) for k in range(6, 0, -1)]
+    items = spark.createDataFrame([("d", "i", t) for t in ("z", None, "b", "c", "")], "domain string, item_id string, title string")
+    schema = "domain string, user_id string, item_id string, ts long, rating double, drop_reason string"
+    for parts in (1, 4):
+        kept, described, report = prep.convert_domains(spark.createDataFrame(rows, schema).repartition(parts), items.repartition(parts))
+        assert [r.rating for r in kept.collect()] == [1.0] and [r.title for r in described.collect()] == ["b"] and report.first().duplicates == 5
+    equal = [spark.createDataFrame([(x,), (x,)], "x string") for x in "ab"]
+    assert sinks.write_manifest(equal[0], str(tmp_path / "a"))["digest"] != sinks.write_manifest(equal[1], str(tmp_path / "b"))["digest"]
+    answers = spark.createDataFrame([("k", "b"), ("k", "a"), ("l", "c")], "cache_key string, text string")
+    prompts.store(answers, f"{tmp_path}/store")
+    prompts.store(answers, f"{tmp_path}/store")
+    assert sorted(map(tuple, prompts.stored(spark, f"{tmp_path}/store").collect())) == [("k", "a"), ("l", "c")]
+
+
 def test_stored_answers_are_not_asked_again(spark, tmp_path):
     asked = spark.createDataFrame([("k1", "a"), ("k2", "b")], "cache_key string, text string")
     prompts.store(asked.where("cache_key = 'k1'"), f"{tmp_path}/answers")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideloom.functions.cuts import cut
 from tideloom.functions.text import item_tokens, jaccard
+from tideloom.operators.prep import first_per_key
 
 COLUMNS = ("case_id", "evidence_type", "source_id", "target_id", "transition_count", "window_score", "similarity", "recent_signal", "mean_gap", "gap_bucket", "drift_from", "drift_to")
 _KINDS = {"transition_count": "long", "window_score": "double", "similarity": "double", "recent_signal": "double", "mean_gap": "double", "gap_bucket": "string", "drift_from": "string", "drift_to": "string"}
@@ -81,10 +82,10 @@ def drift_evidence(histories: DataFrame, candidates: DataFrame, items: DataFrame
 
 
 def first_of_each(evidence: DataFrame, top_k: int) -> DataFrame:
-    """One row an id, and top_k rows a candidate at most: transitions and windows before the rest, strongest first."""
-    once = evidence.dropDuplicates(["case_id", "evidence_id"])
+    """One row an id, the strongest and then the first as text, and top_k rows a candidate at most: transitions and windows before the rest, strongest first."""
     kind = F.array_position(F.array(*[F.lit(x) for x in ("transition", "time_window", "contrastive", "semantic", "history", "user_drift")]), F.col("evidence_type"))
     strength = F.coalesce(F.col("transition_count").cast("double"), F.col("window_score"), F.col("similarity"), F.col("recent_signal"), F.lit(0.0))
+    once = first_per_key(evidence, ["case_id", "evidence_id"], [F.desc(strength), F.to_json(F.struct(*sorted(evidence.columns)))])
     w = Window.partitionBy("case_id", "target_id").orderBy(kind, F.desc(strength), "evidence_id")
     return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 

@@ -172,9 +172,16 @@ def item_key(domain: str = "domain", item: str = "item_id") -> Column:
 
 
 def natural_key(value: Column) -> Column:
-    """A sort key that puts whole numbers first, by value, and other texts behind them."""
+    """A sort key that puts whole numbers of any length first, by value, and other texts behind them.
+
+    A number sorts by its digits' count, negative below zero, then by its digits, which are mirrored (9 for 0) below zero.
+    """
     text = value.cast("string")
-    return F.when(text.rlike("^-?[0-9]+$"), F.struct(F.lit(0).alias("kind"), F.lpad(text, 20, "0").alias("text"))).otherwise(F.struct(F.lit(1).alias("kind"), text.alias("text")))
+    digits = F.regexp_replace(text, "^-?0*", "")
+    below = text.startswith("-") & (digits != "")
+    number = F.struct(F.lit(0).alias("kind"), F.when(below, -F.length(digits)).otherwise(F.length(digits)).alias("length"), F.when(below, F.translate(digits, "0123456789", "9876543210")).otherwise(digits).alias("digits"), text.alias("text"))
+    other = F.struct(F.lit(1).alias("kind"), F.lit(0).alias("length"), F.lit("").alias("digits"), text.alias("text"))
+    return F.when(text.rlike("^-?[0-9]+$"), number).otherwise(other)
 
 
 def timestamp_column(columns: Sequence[str], given: str | None = None) -> str:
@@ -199,14 +206,16 @@ def category_text(columns: dict[str, str]) -> Column:
 def convert_domains(normalized: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """normalized(domain, user_id, item_id, ts, rating, drop_reason) of all domains, items(domain, item_id, title) -> (interactions, items, report).
 
-    Rows without a reason are kept, the first of each (domain, user, item, time); items are those of the domain's
-    kept interactions, one a domain and item. The report has a row a domain: raw, dropped, duplicate and kept rows,
+    Rows without a reason are kept, of each (domain, user, item, time) the one whose other columns come first; items
+    are those of the domain's kept interactions, one a domain and item, a title before none and the first title. The report has a row a domain: raw, dropped, duplicate and kept rows,
     interacted items, items with metadata, their coverage, and whether the domain is READY or PARTIAL.
     """
     good = normalized.where("drop_reason is null").drop("drop_reason")
-    once = good.dropDuplicates(["domain", "user_id", "item_id", "ts"])
+    keys = ["domain", "user_id", "item_id", "ts"]
+    once = first_per_key(good, keys, [F.col(c).asc_nulls_last() for c in good.columns if c not in keys] or ["ts"])
     wanted = once.select("domain", "item_id").distinct()
-    described = items.dropDuplicates(["domain", "item_id"]).join(wanted, ["domain", "item_id"], "left_semi")
+    titled = [F.coalesce(F.trim("title"), F.lit("")) == "", *[F.col(c).asc_nulls_last() for c in ["title", *[c for c in items.columns if c not in ("domain", "item_id", "title")]]]]
+    described = first_per_key(items, ["domain", "item_id"], titled).join(wanted, ["domain", "item_id"], "left_semi")
     counts = normalized.groupBy("domain").agg(F.count("*").alias("raw"), F.count("drop_reason").alias("dropped"))
     kept = once.groupBy("domain").agg(F.count("*").alias("kept"))
     sizes = wanted.groupBy("domain").agg(F.count("*").alias("interacted"))

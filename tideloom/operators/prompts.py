@@ -7,10 +7,12 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideloom.operators.prep import first_per_key
+
 # Features that a prompt variant shows.
 VARIANTS = {
     "history_only": (),
@@ -107,10 +109,16 @@ def audit(answers: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame
 
 
 def store(answers: DataFrame, folder: str) -> None:
-    """Add answers(cache_key, ...) to a store of answers, which uncached() reads back."""
+    """Add answers(cache_key, ...) to a store of answers, which uncached() and stored() read back."""
     answers.write.mode("append").parquet(folder)
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The answers of a store, one a key: of several writers' answers the first as text, so that a join doubles none."""
+    answers = spark.read.parquet(folder)
+    return first_per_key(answers, ["cache_key"], [F.to_json(F.struct(*sorted(answers.columns)))])
+
+
 def complete(ranked: Column, candidates: Column) -> Column:
     """What was ranked, then the candidates that were not."""
     return F.array_distinct(F.concat(ranked, F.array_except(candidates, ranked)))

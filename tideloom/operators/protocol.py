@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, replace
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(found)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A file or folder goes, if it is there."""
+    found, system = _path(spark, path)
+    system.delete(found, True)
+
+
+def file_listing(spark: SparkSession, folder: str) -> list[list]:
+    """[path below the folder, bytes, time of change] of its files, in order: what tells one input from another without reading it."""
+    found, system = _path(spark, folder)
+    root, files, each = system.getFileStatus(found).getPath().toString(), [], system.listFiles(found, True)
+    while each.hasNext():
+        file = each.next()
+        files.append([file.getPath().toString().removeprefix(root), file.getLen(), file.getModificationTime()])
+    return [[root, 0, 0], *sorted(files)]
+
+
 def _write_json(spark: SparkSession, path: str, value: dict) -> None:
     spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
@@ -57,9 +77,22 @@ def lock(spark: SparkSession, folder: str, required: tuple[str, ...] = ("config"
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of the files below a path, read by the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """(path, bytes, sha256) of the files below a path. Executors read each file in pieces of 1 MiB, so its size is no bound."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = []
+            for name in batch.column(0).to_pylist():
+                system, inside = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name)
+                seen = hashlib.sha256()
+                with system.open_input_stream(unquote(inside)) as stream:
+                    while piece := stream.read(1 << 20):
+                        seen.update(piece)
+                sums.append(seen.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.string())], names=["path", "bytes", "sha256"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"))
+    return files.mapInArrow(hashed, "path string, bytes long, sha256 string")
 
 
 def integrity(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,6 +113,7 @@ def failure_counts(status: DataFrame) -> DataFrame:
     return failures(status).groupBy("category").agg(F.count("*").alias("failures"))
 
 
+# The switches and their defaults.
 @dataclass(frozen=True)
 class Switches:
     """What a method uses; these are the defaults that an ablation turns off."""
@@ -116,7 +150,10 @@ ABLATIONS = {
     "w_o_grounding_constraint": ("use_grounding_constraint",),
     "w_o_explanation": ("use_explanation",),
     "w_o_dynamic_encoder": ("use_dynamic_encoder",),
-    "encoder_only": tuple(n for n in asdict(Switches()) if n not in ("use_dynamic_encoder", "use_explanation")),
+    "encoder_only": (
+        "use_llm", "use_retrieval", "use_temporal_graph", "use_transition_edges", "use_time_window_edges", "use_time_gap_tags",
+        "use_semantic_similarity", "use_user_profile", "use_recent_block", "use_long_term_block", "use_grounding_constraint",
+    ),
     "text_only": (*_GRAPH, "use_dynamic_encoder"),
     "graph_only": ("use_llm", "use_semantic_similarity", "use_explanation", "use_dynamic_encoder"),
 }

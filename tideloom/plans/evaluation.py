@@ -204,10 +204,14 @@ def _(spark, folder):
     return rounded(prep.convert_domains(normal, domains.crossJoin(items))[2])
 
 
-@register("natural_order", "SELECT l AS label, row_number() OVER (ORDER BY (NOT regexp_matches(l, '^-?[0-9]+$'))::INT, CASE WHEN regexp_matches(l, '^-?[0-9]+$') THEN lpad(l, 20, '0') ELSE l END) AS place FROM (SELECT DISTINCT l FROM (SELECT p_brand AS l FROM part UNION SELECT p_size::VARCHAR FROM part))")
+_LABELS = "SELECT p_brand AS l FROM part UNION SELECT CASE p_partkey % 3 WHEN 0 THEN '-' WHEN 1 THEN '00' ELSE '' END || p_size FROM part"
+
+
+@register("natural_order", f"SELECT l AS label, row_number() OVER (ORDER BY (NOT regexp_matches(l, '^-?[0-9]+$'))::INT, TRY_CAST(l AS HUGEINT), l) AS place FROM (SELECT DISTINCT l FROM ({_LABELS}))")
 def _(spark, folder):
     part = table(spark, folder, "part")
-    labels = part.select(F.col("p_brand").alias("label")).union(part.select(F.col("p_size").cast("string"))).distinct()
+    sign = F.when(F.col("p_partkey") % 3 == 0, "-").when(F.col("p_partkey") % 3 == 1, "00").otherwise("")
+    labels = part.select(F.col("p_brand").alias("label")).union(part.select(F.concat(sign, F.col("p_size").cast("string")))).distinct()
     return prep.numbered(labels, [prep.natural_key(F.col("label"))], "place").select("label", (F.col("place") + 1).alias("place"))
 
 

@@ -74,24 +74,31 @@ def check_config(config: dict) -> dict:
 def run(spark: SparkSession, config: dict, folder: str, output: str) -> DataFrame:
     """config(methods, seeds, top) over the tables of a folder -> the metrics.
 
-    Below output: config, predictions (a part a method and seed), status, metrics and the lock. A method that
-    fails is recorded with its message and the others go on; parts that are there already are not made again.
+    Below output: config, predictions, status, metrics and the lock. A part of the predictions is named by a digest
+    of its method, seed, top and input files, so one that is there already is the same and is not made again, and one
+    of another configuration or input is neither taken nor measured. A method that fails is recorded with its message
+    and the others go on; a run with a failure is not locked, and a lock of an earlier run goes.
     """
     check_config(config)
+    protocol.remove(spark, f"{output}/lock")
+    source = protocol.file_listing(spark, folder)
     spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{output}/config")
-    status = []
+    status, made = [], []
     for method in config["methods"]:
         for seed in config.get("seeds", [0]):
-            place, message = f"{output}/predictions/run={method}-{seed}", ""
+            part = protocol.digest({"method": method, "seed": seed, "top": config.get("top", 10), "input": source})[:16]
+            place, message = f"{output}/predictions/{part}", ""
             try:
                 if not protocol.exists(spark, f"{place}/_SUCCESS"):
                     predictions(spark, folder, method, seed, config.get("top", 10)).write.mode("overwrite").parquet(place)
+                made.append(place)
             except (ValueError, PySparkException) as failure:
                 message = str(failure).splitlines()[0][:500]
             status.append((folder, method, seed, "failed" if message else "succeeded", message))
     spark.createDataFrame(status, "dataset string, method string, seed int, status string, message string").write.mode("overwrite").parquet(f"{output}/status")
-    if any(state == "succeeded" for *_, state, _ in status):
-        found = method_metrics(spark, folder, spark.read.parquet(f"{output}/predictions").drop("run"))
-        found.write.mode("overwrite").parquet(f"{output}/metrics")
-    protocol.lock(spark, output, ("config", "predictions", "metrics", "status"))
+    if not made:
+        raise ValueError("no method of the run succeeded: " + "; ".join(sorted({message for *_, message in status})))
+    method_metrics(spark, folder, spark.read.parquet(*made)).write.mode("overwrite").parquet(f"{output}/metrics")
+    if len(made) == len(status):
+        protocol.lock(spark, output, ("config", "predictions", "metrics", "status"))
     return spark.read.parquet(f"{output}/metrics")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideloom.operators.protocol import table_digest
+
 
 def write_jsonl(frame: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One object a row, keys sorted, nulls kept."""
@@ -63,8 +64,8 @@ def write_top_k(scored: DataFrame, path: str, keys: list[str], top_n: int, mode:
 
 def write_manifest(frame: DataFrame, path: str, **facts) -> dict:
     """Rows, columns and an order-free digest of a table, with further facts, as one JSON document."""
-    row = frame.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*frame.columns)).alias("x")).first()
-    found = {"rows": row["n"], "columns": frame.columns, "digest": hashlib.sha256(f"{row['n']}:{row['x']}".encode()).hexdigest(), **facts}
+    told = table_digest(frame)
+    found = {"rows": told["rows"], "columns": frame.columns, "digest": told["sha256"], **facts}
     frame.sparkSession.createDataFrame([(json.dumps(found, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return found
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,12 +96,33 @@ def inspect(frame: DataFrame, fields_needed: dict[str, tuple[str, ...]], sample_
 
 
 def unzip_ratings(archive: str, folder: str) -> str:
-    """Unpack a downloaded archive on this machine and return the folder that holds its ratings.dat; an error if it has none."""
-    with zipfile.ZipFile(archive) as packed:
-        inside = [n for n in packed.namelist() if n.rsplit("/", 1)[-1] == "ratings.dat"]
-        if not inside:
-            raise FileNotFoundError(f"{archive} holds no ratings.dat")
-        packed.extractall(folder)
+    """Unpack an archive into a folder, both of any store that Spark reads, and return the folder that holds its ratings.dat; an error if it has none.
+
+    Entries are copied as streams, so that executors find them where they read.
+    """
+    context = SparkSession.active().sparkContext
+    jvm, settings = context._jvm, context._jsc.hadoopConfiguration()
+    place = lambda path: (lambda p: (p, p.getFileSystem(settings)))(jvm.org.apache.hadoop.fs.Path(path))
+    source, store = place(archive)
+    packed = jvm.java.util.zip.ZipInputStream(store.open(source))
+    inside = []
+    try:
+        while (entry := packed.getNextEntry()) is not None:
+            name = entry.getName()
+            if entry.isDirectory() or name.startswith("/") or ".." in name.split("/"):
+                continue
+            target, there = place(f"{folder}/{name}")
+            out = there.create(target, True)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(packed, out, 1 << 16, False)
+            finally:
+                out.close()
+            if name.rsplit("/", 1)[-1] == "ratings.dat":
+                inside.append(name)
+    finally:
+        packed.close()
+    if not inside:
+        raise FileNotFoundError(f"{archive} holds no ratings.dat")
     return f"{folder}/{inside[0].rpartition('/')[0]}".rstrip("/")
 
 
