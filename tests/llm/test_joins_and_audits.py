@@ -293,3 +293,10 @@ def test_different_texts_of_one_doc_id_stay(spark, module):
     rows = [(1, one), (1, two), (1, two), (2, two), (3, three), (3, three), (4, one), (None, one)]
     kept = module.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, one), (1, one), (1, two), (3, three)])
+
+
+def test_the_key_of_a_text_is_one_in_python_and_in_sql(spark):
+    texts = [*odd_texts(), " a\tb ", "a b", "A  B\n", "\x0ba\x0cb\r", "a\xa0b", "a b ", "İ ǅ"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = rows.select("text", similar.word_id(rows["text"]).alias("id")).collect()
+    assert [r.id for r in found] == [similar._text_id((r.text or "").encode()) for r in found]

@@ -17,13 +17,12 @@ fingerprint. A null doc_id never becomes a component id unless its group has no
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideloom.functions.cuts import cut
@@ -113,19 +112,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 2) -> DataF
     return spread_join(prints, rooted.select("fp", "root").join(ids, "root").select("fp", "component_id", "root"), "fp")
 
 
-def keep_documents(docs: DataFrame, kept: DataFrame, mark_of: Callable[[bytes], int] | None = None) -> DataFrame:
+def keep_documents(docs: DataFrame, kept: DataFrame, mark: Column | None = None) -> DataFrame:
     """The rows of docs whose doc_id and text's mark are kept(doc_id, mark), one for each; rows without a doc_id cannot be told apart and stay.
 
-    The mark tells texts of one doc_id apart; without mark_of the rows of a doc_id are one document. The columns of docs travel as one, so names of theirs clash with
+    The mark tells texts of one doc_id apart; without it the rows of a doc_id are one document. The columns of docs travel as one, so names of theirs clash with
     none in here.
     """
-
-    @F.arrow_udf("long")
-    def mark(text: pa.Array) -> pa.Array:
-        return pa.array([mark_of(t or b"") for t in binary(text)], pa.int64())
-
-    marks = mark(docs["text"]) if mark_of else F.lit(0).cast("long")
-    kept = kept if mark_of else kept.select("doc_id", marks.alias("mark"))
+    marks = F.lit(0).cast("long") if mark is None else mark
+    kept = kept.select("doc_id", marks.alias("mark")) if mark is None else kept
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), marks.alias("mark"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("h"))
     order = Window.partitionBy("doc_id", "mark").orderBy("h")
     first = rows.where("doc_id is not null").join(kept, ["doc_id", "mark"], "left_semi").withColumn("rank", F.row_number().over(order)).where("rank = 1")
@@ -137,7 +131,12 @@ def keep_first(docs: DataFrame, width: int = 3, distance: int = 2) -> DataFrame:
     several texts, those of different groups all stay where each is its group's first."""
     some = docs.where("doc_id is not null")
     kept = near_duplicates(some, width, distance).groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("first")).select("first.doc_id", F.col("first.fp").alias("mark"))
-    return keep_documents(docs, kept, lambda text: np.array([fingerprint(text, width)], dtype=np.uint64).view(np.int64)[0])
+
+    @F.arrow_udf("long")
+    def mark(text: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t, width) for t in binary(text)], dtype=np.uint64).view(np.int64))
+
+    return keep_documents(docs, kept, mark(docs["text"]))
 
 
 def hex16(column: str):

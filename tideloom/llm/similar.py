@@ -30,13 +30,12 @@ doc_ids are as in simhash.py.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideloom.functions.cuts import cut
@@ -88,7 +87,7 @@ def _signed(x: int) -> int:
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, same, size, fp, near): a key of the word sequence, the text's bytes, one bit a box, and the segments' keys."""
+    """docs(doc_id, text) -> (doc_id, id, size, fp, near): a key of the word sequence, the text's bytes, one bit a box, and the segments' keys."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -96,20 +95,27 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
             data = (text or b"").lower()
             least = boxes(shingles(data, width))
             bits = np.packbits(np.append((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63), 0).astype(np.uint8), bitorder="little").view("<i8")[0]
-            rows.append((_word_key(data), len(data), int(bits), _segment_keys(least).tolist()))
+            rows.append((_text_id(data), len(data), int(bits), _segment_keys(least).tolist()))
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        return pa.record_batch([batch.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "same", "size", "fp", "near"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        return pa.record_batch([batch.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "id", "size", "fp", "near"])
 
-    return map_batches(only(docs, "doc_id", "text"), make, "doc_id long, same binary, size long, fp long, near array<long>")
+    return map_batches(only(docs, "doc_id", "text"), make, "doc_id long, id long, size long, fp long, near array<long>")
 
 
-def _word_key(data: bytes) -> bytes:
-    """128 bits of a digest of the words, one space between them."""
-    digest = hashlib.sha256()
-    for words in word_chunks(data):
-        digest.update(b" ".join(words) + b" ")
-    return digest.digest()[:16]
+def _text_id(text: bytes) -> int:
+    """XXH64 (seed 42) of the lower-cased words, one space between them."""
+    digest, gap = xxhash.xxh64(seed=42), b""
+    for words in word_chunks(text.lower()):
+        digest.update(gap + b" ".join(words))
+        gap = b" "
+    return _signed(digest.intdigest())
+
+
+def word_id(text: Column) -> Column:
+    """The same number as an expression, which needs no Python."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.xxhash64(F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), upper, lower), "[ \\t\\n\\x0B\\f\\r]+", " ")))
 
 
 def _within(fp: str, hub_fp: str, most: int):
@@ -287,11 +293,6 @@ def texts_of(docs: DataFrame, ids: DataFrame, text_id: Callable[[bytes], int]) -
     return map_batches(named, make, "id long, text string").join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
-def _text_id(text: bytes) -> int:
-    """The word key's first 64 bits."""
-    return int.from_bytes(_word_key(text.lower())[:8], "big", signed=True)
-
-
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, block_bytes: int = 2_000_000) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, id, component_id, root): the text's id, the smallest doc_id reachable over links of
     `similarity` or more, and the group's own id. Rows without a doc_id are left out.
@@ -299,7 +300,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, block_
     Texts are told apart by 64 bits of their words' digest and never by doc_id, which may stand for several.
     """
     named = docs.where("doc_id is not null")
-    drawn = cut(sketches(named, width).withColumn("id", F.conv(F.substring(F.hex("same"), 1, 16), 16, -10).cast("long")))
+    drawn = cut(sketches(named, width))
     texts = cut(drawn.groupBy("id").agg(F.min(F.struct("doc_id", "size", "fp", "near")).alias("s")).select("id", F.col("s.doc_id").alias("doc_id"), "s.size", "s.fp", "s.near"))
     edges = cut(candidate_links(texts))
     asked = texts.select("doc_id", "id").join(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
@@ -316,4 +317,4 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Data
     """
     some = docs.where("doc_id is not null")
     kept = near_copies(some, similarity, width).groupBy("root").agg(F.min(F.struct("doc_id", "id")).alias("first")).select("first.doc_id", F.col("first.id").alias("mark"))
-    return keep_documents(docs, kept, _text_id)
+    return keep_documents(docs, kept, word_id(docs["text"]))
