@@ -69,6 +69,42 @@ def k_core(interactions: DataFrame, user_k: int, item_k: int, simultaneous: bool
     return rows
 
 
+def core_by_deltas(interactions: DataFrame, user_k: int, item_k: int, domain: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, report): the k-core where users count over all domains and items within theirs, by what each round removes.
+
+    Two degree tables are kept. A round takes the users and items below their bound, finds the rows these still had,
+    and subtracts those rows from the degrees at their other ends. The interactions are read but never counted or
+    written again, so what a round exchanges is in proportion to what it removes and to the number of nodes. The
+    fixpoint is that of k_core(); it does not depend on the order of removal. Rows without a user or an item go.
+
+    report(round, users, items, rows): users and items removed in each round, and rows that went with them.
+    """
+    spark = interactions.sparkSession
+    named = interactions.where("user_id is not null and item_id is not null").select(F.struct(*[interactions[c] for c in interactions.columns]).alias("__row"), F.col("user_id").alias("__u"), (item_key(domain) if domain else F.struct(F.col("item_id"))).alias("__i"))
+    rows = cut(named)
+    ends, bounds = ("__u", "__i"), {"__u": user_k, "__i": item_k}
+    degrees = {e: cut(rows.groupBy(e).agg(F.count("*").alias("n")).withColumn("gone", F.lit(None).cast("int"))) for e in ends}
+    report = []
+    for number in count(1):
+        low = {e: cut(degrees[e].where((F.col("n") < bounds[e]) & F.col("gone").isNull()).select(e)) for e in ends}
+        removed = {e: low[e].count() for e in ends}
+        if not any(removed.values()):
+            break
+        earlier = {e: degrees[e].where("gone is not null").select(e) for e in ends}
+        by_user = rows.select(*ends).join(low["__u"], "__u", "left_semi").join(earlier["__i"], "__i", "left_anti")
+        by_item = rows.select(*ends).join(low["__i"], "__i", "left_semi").join(earlier["__u"].union(low["__u"]), "__u", "left_anti")
+        hit = cut(by_user.select(*ends).union(by_item.select(*ends)).groupBy(*ends).agg(F.count("*").alias("less")))
+        lost = hit.agg(F.sum("less").alias("rows")).first()["rows"] or 0
+        for e in ends:
+            less, now = hit.groupBy(e).agg(F.sum("less").alias("less")), low[e].withColumn("now", F.lit(number))
+            joined = degrees[e].join(less, e, "left").join(now, e, "left")
+            degrees[e] = cut(joined.select(e, (F.col("n") - F.coalesce("less", F.lit(0))).alias("n"), F.coalesce("gone", "now").alias("gone")))
+        report.append((number, removed["__u"], removed["__i"], lost))
+    alive = {e: degrees[e].where("gone is null").select(e) for e in ends}
+    kept = rows.join(alive["__u"], "__u", "left_semi").join(alive["__i"], "__i", "left_semi").select("__row.*")
+    return kept, spark.createDataFrame(report, "round int, users long, items long, rows long")
+
+
 def min_counts(interactions: DataFrame, user_min: int, item_min: int | None = None) -> DataFrame:
     """A single pass of the count filters."""
     users = interactions.groupBy("user_id").count().where(F.col("count") >= user_min).select("user_id")

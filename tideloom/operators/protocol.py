@@ -41,7 +41,7 @@ def file_listing(spark: SparkSession, folder: str) -> list[list]:
     return [[root, 0, 0], *sorted(files)]
 
 
-def _write_json(spark: SparkSession, path: str, value: dict) -> None:
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
     spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
@@ -62,7 +62,7 @@ def freeze(spark: SparkSession, folder: str, version: str, configs: dict[str, di
         raise FileExistsError(f"{folder}/manifest is frozen already")
     named = lambda key: sorted({str(x) for c in configs.values() for x in c.get(key, [])})
     manifest = {"version": version, "configs": {n: digest(c) for n, c in configs.items()}, "methods": named("methods"), "seeds": named("seeds"), "metrics": named("metrics"), "tables": {n: table_digest(t) for n, t in tables.items()}}
-    _write_json(spark, f"{folder}/manifest", manifest)
+    write_json(spark, f"{folder}/manifest", manifest)
     return manifest
 
 
@@ -72,7 +72,7 @@ def lock(spark: SparkSession, folder: str, required: tuple[str, ...] = ("config"
     if missing:
         raise ValueError(f"{folder} lacks {', '.join(missing)}")
     manifest = {"locked": True, "required": list(required)}
-    _write_json(spark, f"{folder}/lock", manifest)
+    write_json(spark, f"{folder}/lock", manifest)
     return manifest
 
 

@@ -75,6 +75,36 @@ def _(spark, folder):
     return _core(spark, folder, True)
 
 
+def _domain_core_sql(users: int, items: int, rounds: int) -> tuple[list[str], int]:
+    """Rounds that remove users and items by the counts of one table; rows of a round are what it removes."""
+    parts = [sql.ORDERS, "k0 AS MATERIALIZED (SELECT * FROM ib)"]
+    for i in range(rounds):
+        parts.append(
+            f"k{i + 1} AS MATERIALIZED (SELECT * FROM k{i} WHERE user_id IN (SELECT user_id FROM k{i} GROUP BY 1 HAVING count(*) >= {users})"
+            f" AND (domain, item_id) IN (SELECT (domain, item_id) FROM k{i} GROUP BY domain, item_id HAVING count(*) >= {items}))"
+        )
+    return parts, rounds
+
+
+_PARTS, _ROUNDS = _domain_core_sql(10, 4, 14)
+_COUNTS = " UNION ALL ".join(
+    f"SELECT {i + 1} AS round, (SELECT count(DISTINCT user_id) FROM k{i} WHERE user_id IN (SELECT user_id FROM k{i} GROUP BY 1 HAVING count(*) < 10)) AS users,"
+    f" (SELECT count(*) FROM (SELECT domain, item_id FROM k{i} GROUP BY ALL HAVING count(*) < 4)) AS items, (SELECT count(*) FROM k{i}) - (SELECT count(*) FROM k{i + 1}) AS rows"
+    for i in range(_ROUNDS)
+)
+
+
+def _domain_core(spark, folder):
+    """Users with 10 orders lines over all priorities, items with 4 within one."""
+    return prep.core_by_deltas(order_interactions(spark, folder), 10, 4, "domain")
+
+
+@register("kcore_domains", sql.query(*_PARTS, select=f"SELECT user_id, domain, count(*) AS rows, sum(item_id)::BIGINT AS items, sum(ts)::BIGINT AS times FROM k{_ROUNDS} GROUP BY ALL"))
+def _(spark, folder):
+    kept, _ = _domain_core(spark, folder)
+    return kept.groupBy("user_id", "domain").agg(F.count("*").alias("rows"), F.sum("item_id").alias("items"), F.sum("ts").alias("times"))
+
+
 _MIN = """kept AS (SELECT * FROM ib WHERE user_id IN (SELECT user_id FROM ib GROUP BY 1 HAVING count(*) >= 30)
   AND item_id IN (SELECT item_id FROM ib GROUP BY 1 HAVING count(*) >= 28))"""
 
