@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tideloom.llm import digests, extraction, htmlblocks, langid, lm, mixing, packing, pii, quality, sharding, similar, simhash
+from tideloom.llm import digests, extraction, htmlblocks, langid, lm, mixing, packing, pii, quality, queries, sharding, similar, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, cell long, key long, rank int, bucket int"
 
@@ -772,6 +772,14 @@ def test_shards_equal_brute_force(spark, limit):
     assert all(sums[r.shard_id] == r.shard_bytes <= limit for r in found)
 
 
+def test_registered_shards_equal_brute_force(spark):
+    found = queries.op10_extendible_shards(spark, "/root/testdata/sf0.01").collect()
+    signed = lambda h: int(h, 16) - (1 << 64 if int(h, 16) >> 63 else 0)
+    expected = slow_shards([(r.doc_id, r.n_bytes, signed(r.hash)) for r in found], queries.SHARD_BYTES)
+    assert {r.doc_id: r.shard_id for r in found} == expected
+    assert len({r.depth for r in found}) > 1 and all(r.shard_bytes <= queries.SHARD_BYTES for r in found)
+
+
 def test_shards_of_one_hash_overflow(spark):
     docs = spark.createDataFrame([(7, "y" * 10)] * 200 + [(7, "z" * 500), (8, None), (None, "q")], "doc_id long, text string")
     found = sharding.shard(docs, 100).collect()

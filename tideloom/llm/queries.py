@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideloom.llm import digests, divergence, extraction, interaction, langid, lm, mixing, packing, parity, pii, quality, sharding, simhash
 from tideloom.llm.common import table
 
-SHARD_BYTES = 64 * 1024 * 1024
+SHARD_BYTES = 256 * 1024
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
