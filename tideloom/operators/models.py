@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideloom.functions.cuts import cut
+from tideloom.operators import protocol
+from tideloom.operators.prep import numbered
 
 
 def positive_pairs(train: DataFrame) -> DataFrame:
@@ -74,30 +77,97 @@ def _fresh(frame: DataFrame) -> DataFrame:
 _FACTORS = "trial int, kind string, id long, vector array<double>, bias double"
 
 
-def sweep(pairs: DataFrame, trials: list[dict], block_pairs: int = 200_000, batch: int = 64) -> DataFrame:
+def _steps_done(spark: SparkSession, folder: str) -> list[int]:
+    """The steps whose factors are committed below folder. A step without its commit mark does not count."""
+    return sorted(int(name.removeprefix("step=")) for name in protocol.names_below(spark, folder) if name.startswith("step=") and protocol.exists(spark, f"{folder}/{name}/_SUCCESS"))
+
+
+def saved(spark: SparkSession, folder: str) -> DataFrame:
+    """The factors of the last committed step of a sweep with a folder; an error where none is there."""
+    done = _steps_done(spark, folder)
+    if not done:
+        raise FileNotFoundError(f"{folder} holds no trained factors")
+    return spark.read.schema(_FACTORS).parquet(f"{folder}/step={done[-1]}")
+
+
+def sweep(pairs: DataFrame, trials: list[dict], block_pairs: int = 200_000, batch: int = 64, folder: str | None = None, most_steps: int | None = None) -> DataFrame:
     """pairs(user, item), the positive ones -> (trial, kind, id, vector, bias) of each trial's trained factors.
 
     Users and items are hashed into B blocks each, so that a block of both has about `block_pairs` pairs or fewer. A
     stratum is B such blocks that share neither users nor items, trained side by side, one task a block and trial;
     B strata are an epoch. Negatives of a pair come from its item block. With one block this is plain stochastic
     descent. Between strata the factors are cut, so a lost executor costs a stratum at most.
+
+    With a folder each stratum's factors are a version there, committed as Spark commits a write, and a call goes on
+    from the last one; the result is that of a call without a break. A folder of other trials or pairs is an error.
+    most_steps ends a call after so many strata. Versions before the last two go.
     """
+    spark = pairs.sparkSession
     blocks = max(1, math.ceil(math.sqrt(pairs.count() / block_pairs)))
     grid = pairs.sparkSession.createDataFrame([(i, t["factors"], t["epochs"], float(t["rate"]), float(t["decay"]), t["seed"]) for i, t in enumerate(trials)], "trial int, factors int, epochs int, rate double, decay double, seed long")
     of = lambda column, salt: F.pmod(F.xxhash64(F.col(column).cast("long"), F.lit(salt)), F.lit(blocks))
     placed = cut(pairs.select(F.col("user").cast("long").alias("user"), F.col("item").cast("long").alias("item"), of("user", 1).alias("ub"), of("item", 2).alias("ib")))
-    factors = cut(_start(placed.select("user"), "user", grid).union(_start(placed.select("item"), "item", grid)))
+    done: list[int] = []
+    if folder:
+        told = protocol.digest({"trials": trials, "block_pairs": block_pairs, "batch": batch, "pairs": protocol.table_digest(placed)})
+        if not protocol.exists(spark, f"{folder}/config"):
+            protocol.write_json(spark, f"{folder}/config", {"sha256": told})
+        elif json.loads(spark.read.text(f"{folder}/config").first()["value"])["sha256"] != told:
+            raise ValueError(f"{folder} holds factors of other trials or pairs")
+        done = _steps_done(spark, folder)
+    factors = saved(spark, folder) if done else cut(_start(placed.select("user"), "user", grid).union(_start(placed.select("item"), "item", grid)))
+    first, made = (done[-1] + 1 if done else 0), 0
     for epoch in range(max(t["epochs"] for t in trials)):
         for stratum in range(blocks):
+            number = epoch * blocks + stratum
+            if number < first:
+                continue
+            if made == most_steps:
+                return factors
             part = F.when(F.col("kind") == "user", of("id", 1)).otherwise(F.pmod(of("id", 2) - stratum, F.lit(blocks)))
             live = factors.join(F.broadcast(grid), "trial").withColumn("part", part)
             turn = placed.where(F.pmod(F.col("ib") - F.col("ub"), F.lit(blocks)) == stratum).select("user", "item", F.col("ub").alias("part"))
             asked = turn.crossJoin(F.broadcast(grid.where(F.col("epochs") > epoch).select("trial")))
             step = _fresh(asked).groupBy("trial", "part").cogroup(_fresh(live).groupBy("trial", "part"))
-            factors = cut(step.applyInPandas(_train_block(epoch, stratum, batch), _FACTORS))
+            trained = step.applyInPandas(_train_block(epoch, stratum, batch), _FACTORS)
+            made += 1
+            if folder:
+                trained.write.mode("overwrite").parquet(f"{folder}/step={number}")
+                factors = spark.read.schema(_FACTORS).parquet(f"{folder}/step={number}")
+                for old in _steps_done(spark, folder)[:-2]:
+                    protocol.remove(spark, f"{folder}/step={old}")
+            else:
+                factors = cut(trained)
     return factors
 
 
+def best_trial(ranks: DataFrame, measure: str = "ndcg", k: int = 10) -> int:
+    """ranks(trial, rank) of held-out cases, null where the target was not reached -> the trial of the best mean hr, ndcg or mrr at k; the first of equals."""
+    part = {"hr": F.lit(1.0), "ndcg": 1 / F.log2(F.col("rank") + 1), "mrr": 1 / F.col("rank")}
+    if measure not in part:
+        raise ValueError(f"no such measure: {measure}")
+    means = ranks.groupBy("trial").agg(F.avg(F.when(F.col("rank") <= k, part[measure]).otherwise(0.0)).alias("mean"))
+    best = means.orderBy(F.desc(F.round("mean", 12)), "trial").first()
+    if best is None:
+        raise ValueError("no case was ranked")
+    return best["trial"]
+
+
+def with_popularity(ranked: DataFrame, cases: DataFrame, popular: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    """ranked(trial, user, item, score, rank) and, for cases(trial, user) without any row, the k most popular items(item, score) they have not seen.
+
+    Such a user has seen few items, so k and as many popular items as that user has seen are looked at.
+    """
+    cold = cases.select("trial", "user").distinct().join(ranked.select("trial", "user").distinct(), ["trial", "user"], "left_anti")
+    known = seen.select("user", "item").distinct()
+    held = cold.join(known.groupBy("user").agg(F.count("*").alias("held")), "user", "left").withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("held", F.lit(0)) + k - 1)))
+    order = numbered(popular.select("item", F.col("score").cast("double").alias("score")), [F.desc("score"), "item"], "place")
+    met = held.join(order, "place").join(known, ["user", "item"], "left_anti")
+    w = Window.partitionBy("trial", "user").orderBy("place")
+    more = met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("trial", "user", "item", "score", "rank").union(more.select("trial", "user", "item", "score", "rank"))
+
+
 def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -25,6 +25,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(found)
 
 
+def names_below(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder; none where it is not there."""
+    found, system = _path(spark, folder)
+    return sorted(entry.getPath().getName() for entry in system.listStatus(found)) if system.exists(found) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """A file or folder goes, if it is there."""
     found, system = _path(spark, path)
