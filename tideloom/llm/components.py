@@ -7,6 +7,9 @@ sees one count and one checksum a round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +20,35 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def component_stars(edges: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same stars of all edges of one task."""
+    least: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := least.setdefault(x, x)) != x:
+            least[x] = least[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            least[max(a, b)] = min(a, b)
+    stars = [(x, root(x)) for x in list(least)]
+    found = [(x, r) for x, r in stars if x != r]
+    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["node", "root"])
+
+
+def component_stars(edges: DataFrame, one_task: int = 0) -> DataFrame:
     """edges(u, v) -> (node, root): every node but the smallest of its component, with that smallest node.
 
-    Self-loops, repeated rows and either direction are allowed; null ends are dropped. No edges: no rows.
+    Self-loops, repeated rows and either direction are allowed; null ends are dropped. No edges: no rows. Up to
+    `one_task` different edges, 16 bytes each, are joined in one task, which spares a small graph the rounds.
     """
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _signature(edges)
+    if 0 < before[0] <= one_task:
+        return cut(edges.coalesce(1).mapInArrow(_joined, "node long, root long"))
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

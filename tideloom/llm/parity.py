@@ -44,6 +44,7 @@ from tideloom.llm.common import binary, map_batches, only, spread_join, word_chu
 from tideloom.llm.similar import link_clusters, texts_of
 
 CROWD = 8
+SMALL_GRAPH = 250_000  # links that one task joins
 DENSE_BITS = 512
 BAND_MASK = 127  # the low bits of a key name its band
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -328,7 +329,7 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, crowd: int = CROWD,
     edges = cut(candidate_links(drawn.where("slacks is not null"), texts, percent, crowd))
     asked = texts.select("doc_id", "id").join(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
     whole = cut(texts_of(docs, cut(asked), text_id))
-    linked = link_clusters(texts, edges, whole, percent / 100, width, block_bytes, lambda members, some: meet_by_sketches(members, some, percent, width, block_bytes))
+    linked = link_clusters(texts, edges, whole, percent / 100, width, block_bytes, lambda members, some: meet_by_sketches(members, some, percent, width, block_bytes // 4), SMALL_GRAPH)
     rooted = texts.select("id", "doc_id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     some = spread_join(drawn.where("n > 0").select("doc_id", "id", "n"), rooted.select("id", "root").join(least, "root").select("id", "component_id"), "id")

@@ -139,8 +139,11 @@ def candidate_links(texts: DataFrame, most_bits: int = 15) -> DataFrame:
     return found.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
 
 
-def _clusters(edges: DataFrame) -> DataFrame:
+def _clusters(edges: DataFrame, one_task: int = 0) -> DataFrame:
     """edges(u, v) -> (id, root) of every text with a link. Each text's least partner is followed first, which leaves few links to the general method."""
+    if one_task:
+        stars = component_stars(edges, one_task)
+        return stars.select(F.col("node").alias("id"), "root").union(stars.select("root", "root").distinct())
     first = component_stars(edges.groupBy("v").agg(F.min("u").alias("u")))
     a, b = first.select(F.col("node").alias("u"), F.col("root").alias("ru")), first.select(F.col("node").alias("v"), F.col("root").alias("rv"))
     between = edges.select("u", "v").join(a, "u", "left").join(b, "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).where("u <> v").distinct()
@@ -230,7 +233,7 @@ def _unmet(members: DataFrame, links: DataFrame, block_bytes: int) -> DataFrame
     return cut(asking.union(met).distinct())
 
 
-def link_clusters(texts: DataFrame, edges: DataFrame, whole: DataFrame, similarity: float = 0.8, width: int = 5, block_bytes: int = 2_000_000, meet: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def link_clusters(texts: DataFrame, edges: DataFrame, whole: DataFrame, similarity: float = 0.8, width: int = 5, block_bytes: int = 2_000_000, meet: Callable[[DataFrame, DataFrame], DataFrame] | None = None, one_task: int = 0) -> DataFrame:
     """texts(id, size), edges(u, v), whole(id, text) -> (node, root): the components of the pairs of `similarity` or more
     within the components of `edges`. whole has each id of edges once; other ids do no harm.
 
@@ -239,23 +242,23 @@ def link_clusters(texts: DataFrame, edges: DataFrame, whole: DataFrame, similari
     must hold every pair of two blocks and two parts at the similarity, the likeliest with the least `apart`.
     """
     ends = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    clustered = cut(_clusters(edges).join(texts.select("id", "size"), "id").join(ends, "id"))
+    clustered = cut(_clusters(edges, one_task).join(texts.select("id", "size"), "id").join(ends, "id"))
     sizes = clustered.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / block_bytes)).alias("blocks"), F.max_by("id", F.struct("links", "id")).alias("most_linked"))
     members = cut(clustered.join(sizes, "root").select("id", "root", "size", "most_linked", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("block")))
     leaders = sizes.where("blocks > 1").select(F.explode(F.array("root", "most_linked")).alias("id"), "root", _to_each("blocks").alias("block"))
     placed = cut(members.select("id", "root", "block").union(leaders).distinct())
     whole = whole.join(members.select("id"), "id", "left_semi")
     exact = cut(_linked(placed, whole, ["root", "block"], similarity, width))
-    linked = component_stars(exact)
+    linked = component_stars(exact, one_task)
     if meet is not None:
-        return _linked_pairs(members, exact, linked, whole, meet, similarity, width)
+        return _linked_pairs(members, exact, linked, whole, meet, similarity, width, one_task)
     unmet = _unmet(members, linked, block_bytes)
     if unmet is not None:
         linked = component_stars(exact.union(_linked(unmet, whole, ["root", "asked", "block"], similarity, width)))
     return linked
 
 
-def _linked_pairs(members: DataFrame, exact: DataFrame, linked: DataFrame, whole: DataFrame, meet: Callable[[DataFrame, DataFrame], DataFrame], similarity: float, width: int) -> DataFrame:
+def _linked_pairs(members: DataFrame, exact: DataFrame, linked: DataFrame, whole: DataFrame, meet: Callable[[DataFrame, DataFrame], DataFrame], similarity: float, width: int, one_task: int) -> DataFrame:
     """linked, with the links across blocks. Of two parts the likeliest pair is compared first; only where it fails are the others."""
     several = members.where("blocks > 1").join(linked.select(F.col("node").alias("id"), F.col("root").alias("part")), "id", "left")
     several = cut(several.select("id", "root", "block", F.coalesce("part", "id").alias("part")))
@@ -269,7 +272,7 @@ def _linked_pairs(members: DataFrame, exact: DataFrame, linked: DataFrame, whole
     for again in (False, True):
         placed = (left if again else best).select(F.explode(F.array("u", "v")).alias("id"), F.concat_ws("-", "u", "v").alias("pair"))
         exact = cut(exact.union(_linked(placed, whole, ["pair"], similarity, width)))
-        linked = component_stars(exact)
+        linked = component_stars(exact, one_task)
         roots = linked.select(F.col("node").alias("id"), "root")
         of = lambda side: roots.select(F.col("id").alias(side), F.col("root").alias(f"r{side}"))
         rest = left.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select(*left.columns)
