@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules whose import registers queries.
-_MODULES = ("preparation", "graphs", "ranking", "language", "experiments", "evaluation", "temporal", "retrieval", "candidates", "attention")
+_MODULES = ("preparation", "graphs", "ranking", "language", "experiments", "evaluation", "temporal", "retrieval", "candidates", "attention", "sketches")
 
 
 def _load() -> None:
