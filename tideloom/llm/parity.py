@@ -313,7 +313,8 @@ def meet_by_sketches(members: DataFrame, whole: DataFrame, percent: int, width:
     columns = ["id", "root", "block", "part", "n", "bits"]
     asking = asks.join(blocks, "root").join(asked, "root").select(*columns, F.lit(True).alias("asks"), F.pmod(F.xxhash64("id", F.lit(1)), "asked_blocks").alias("x"), each("blocks").alias("y"))
     there = drawn.join(blocks, "root").join(asked, "root").select(*columns, F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), "blocks").alias("y"), each("asked_blocks").alias("x"))
-    met = asking.unionByName(there).groupBy("root", "x", "y").applyInArrow(lambda g: _near_sketches(g, percent), "u long, v long, apart double")
+    dealt = asking.unionByName(there).repartition("root", "x", "y")  # what lies in one partition before would be one task's
+    met = dealt.groupBy("root", "x", "y").applyInArrow(lambda g: _near_sketches(g, percent), "u long, v long, apart double")
     return met.groupBy("u", "v").agg(F.min("apart").alias("apart"))
 
 
