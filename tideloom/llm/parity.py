@@ -58,7 +58,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
-    """The distinct 64-bit values of a lower-cased text's shingles, sorted; none without words."""
+    """The distinct 64-bit values of a lower-cased text's shingles, sorted; none without words.
+
+    A shingle's value is a mixed sum of its words' hashes, each times an odd factor of its place.
+    """
     parts = [np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)) for words in word_chunks(text)]
     if not parts:
         return np.zeros(0, dtype=np.uint64)
@@ -66,8 +69,10 @@ def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
     span = min(width, len(words))
     found = np.full(len(words) - span + 1, span, dtype=np.uint64)
     for i in range(span):
-        found = _mixed(found * _C[0] + words[i : len(words) - span + 1 + i])
-    return np.unique(found)
+        found += words[i : len(words) - span + 1 + i] * (_C[i % len(_C)] + np.uint64(2 * (i // len(_C))))
+    found = _mixed(found)
+    found.sort()
+    return found[np.r_[True, found[1:] != found[:-1]]]
 
 
 def text_id(text: bytes) -> int:
@@ -330,7 +335,7 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5, crowd: int = CROWD,
     edges = cut(candidate_links(drawn.where("slacks is not null"), texts, percent, crowd))
     asked = texts.select("doc_id", "id").join(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
     whole = cut(texts_of(docs, cut(asked), text_id))
-    linked = link_clusters(texts, edges, whole, percent / 100, width, block_bytes, lambda members, some: meet_by_sketches(members, some, percent, width, block_bytes // 4), SMALL_GRAPH)
+    linked = link_clusters(texts, edges, whole, percent / 100, width, block_bytes, lambda members, some: meet_by_sketches(members, some, percent, width, 2 * block_bytes), SMALL_GRAPH)
     rooted = texts.select("id", "doc_id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     some = spread_join(drawn.where("n > 0").select("doc_id", "id", "n"), rooted.select("id", "root").join(least, "root").select("id", "component_id"), "id")
