@@ -283,6 +283,18 @@ def _(spark, folder):
 _CLOSED = "w AS (SELECT max(ts) - 3600 AS mark FROM ia)"
 
 
+@register(
+    "stream_ordered_transitions",
+    sql.query(sql.EVENTS, _STRICT, _CLOSED, select="""SELECT user_id, source_id, target_id, source_ts, target_ts, target_ts - source_ts AS gap FROM (
+      SELECT user_id, lag(item_id) OVER w AS source_id, item_id AS target_id, lag(ts) OVER w AS source_ts, ts AS target_ts, lag(n) OVER w AS b FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+      WHERE source_ts < target_ts AND b = 1 AND target_ts < (SELECT mark FROM w)"""),
+)
+def _(spark, folder):
+    """What the watermark has passed at the end of the input."""
+    return _drained(spark, "ordered", streams.ordered_transitions(_event_stream(spark, folder).select("user_id", "item_id", "ts", "event_id"), "1 hour"))
+
+
+
 @register("stream_popularity", sql.query(sql.EVENTS, _CLOSED, select="SELECT ts // 86400 AS day, item_id, count(*) AS count FROM ia WHERE (ts // 86400 + 1) * 86400 <= (SELECT mark FROM w) GROUP BY ALL"))
 def _(spark, folder):
     """The days that the watermark has closed at the end of the input."""
