@@ -31,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more of five-word shingles: the one of smallest doc_id.
 
-    Null, empty and blank texts are one group. Of repeated rows one stays; rows without a doc_id all stay.
+    Texts meet by SimHash fingerprints through the pigeonring, and by min-wise keys where sign bits reach too short; shingle sets decide. Null, empty and blank texts are one group. Of repeated rows one stays; rows without a doc_id all stay.
     """
     return similar.keep_first(docs)
 

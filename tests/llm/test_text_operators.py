@@ -188,6 +188,24 @@ def test_pairs_behind_a_hot_passage_are_found(spark, share):
     assert sum(found[i] == truth[i] for i in truth) >= 0.99 * len(truth) and all(truth[found[i]] == truth[i] for i in truth)
 
 
+def test_simhash_links_are_candidates_and_sets_decide(spark, monkeypatch):
+    """Without the min-wise ring, what is linked at two or fewer sign bits is still found, and no link of too few shared shingles."""
+    rng, texts = random.Random(12), []
+    for _ in range(25):
+        base = words(rng, 600, 5000).split()
+        texts += [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(["other", *base[1:]])]
+    texts += ["the very same line of words again " * 300 + words(rng, 12, 5000) for _ in range(6)]
+    texts += texts[:3]
+    rows = list(enumerate(texts))
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    truth = slow_copies(rows)
+    near = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (prints[i] ^ prints[j]).bit_count() <= 2}
+    assert any(truth[i] == truth[j] and texts[i] != texts[j] for i, j in near) and any(truth[i] != truth[j] for i, j in near)
+    monkeypatch.setattr(similar, "candidate_links", lambda texts: texts.where("false").select(texts["id"].alias("u"), texts["id"].alias("v")))
+    found = {r.doc_id: r.component_id for r in similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == found[j] for i, j in near if truth[i] == truth[j]) and all(truth[found[i]] == truth[i] for i in truth)
+
+
 def test_near_copies_of_odd_and_no_rows(docs, empty):
     found = {r.doc_id: r.component_id for r in similar.near_copies(docs).collect()}
     assert found == slow_copies([(r.doc_id, r.text) for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()])

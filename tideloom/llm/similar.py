@@ -1,19 +1,21 @@
-"""Min-wise near-dedup for edited copies: similarity of five-word shingles of 0.8 or more.
+"""SimHash near-dedup carried on to edited copies: similarity of five-word shingles of 0.8 or more.
 
-Sums of shingle bits cannot tell a copy of similarity 0.8 from a stranger by an index: such a pair differs
-in about ten of 64 sign bits, and no key that survives ten differing bits is selective. So here the boxes of
-the fingerprint ring are min-wise: box i holds the least value of hash i over the shingles, and the
-fingerprint has one bit of each. Equal boxes give equal bits, and two texts of similarity s agree in a box
+Texts first meet by their SimHash fingerprints, through the pigeonring chains and the Hamming check of simhash.py:
+every link at two or fewer differing bits is a candidate here. Sums of shingle bits cannot index what lies beyond: a
+pair of similarity 0.8 differs in about ten of 64 sign bits, and no key that survives ten differing bits is selective.
+For those pairs a second ring has min-wise boxes: box i holds the least value of hash i over the shingles, and its
+print has one bit of each. Equal boxes give equal bits, and two texts of similarity s agree in a box
 with probability s. The filter is the pigeonring one of simhash.py: 63 boxes form a ring of 21 segments, and
 where at most 20 boxes differ, some segment starts chains of l segments that differ in floor(20 l / 21) boxes
 at most for every l. For l = 1 that is none, so a segment's three boxes are an exact key; the bits prune the
 longer chains before the full Hamming check. A pair of similarity 0.8 shares no segment with probability
 (1 - 0.8 ** 3) ** 21, 3 in ten million.
 
-The texts of a key are not paired off: each is filtered against the least and the greatest id among them, so
-candidates are in proportion to the keys. They only gather clusters; a key of up to three texts is paired
+The texts of a min-wise key are not paired off: each is filtered against the least and the greatest id among them, so
+candidates are in proportion to the keys. A key of up to three texts is paired
 whole by that, and a larger one loses a pair only if one of the two fails the filter against both ends of
-every key they share. Within a cluster every pair is compared by its shingle sets, so links there are exact:
+every key they share. The candidates of both rings gather clusters. Within a cluster every pair is compared by its
+shingle sets, so links there are exact:
 
 1. A cluster is dealt into blocks of about `block_bytes` of text by a hash of the id. Every block also gets the
    cluster's two leaders, its least text and that of most candidates. A task links one block.
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from tideloom.functions.cuts import cut
 from tideloom.llm.common import binary, bitmap, map_batches, only, spread_join, word_chunks
 from tideloom.llm.components import component_stars
-from tideloom.llm.simhash import keep_documents, ring_masks
+from tideloom.llm.simhash import fingerprint, keep_documents, linked_pairs, ring_masks
 
 SEGMENTS, SEGMENT = 21, 3
 BOXES = SEGMENTS * SEGMENT
@@ -87,7 +89,7 @@ def _signed(x: int) -> int:
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, id, size, fp, near): a key of the word sequence, the text's bytes, one bit a box, and the segments' keys."""
+    """docs(doc_id, text) -> (doc_id, id, size, sign, fp, near): a key of the word sequence, the text's bytes, its SimHash fingerprint, one bit a box, and the segments' keys."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -95,12 +97,12 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
             data = (text or b"").lower()
             least = boxes(shingles(data, width))
             bits = np.packbits(np.append((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63), 0).astype(np.uint8), bitorder="little").view("<i8")[0]
-            rows.append((_text_id(data), len(data), int(bits), _segment_keys(least).tolist()))
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        return pa.record_batch([batch.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "id", "size", "fp", "near"])
+            rows.append((_text_id(data), len(data), _signed(fingerprint(data)), int(bits), _segment_keys(least).tolist()))
+        cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+        kinds = (*[pa.int64()] * 4, pa.list_(pa.int64()))
+        return pa.record_batch([batch.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "id", "size", "sign", "fp", "near"])
 
-    return map_batches(only(docs, "doc_id", "text"), make, "doc_id long, id long, size long, fp long, near array<long>")
+    return map_batches(only(docs, "doc_id", "text"), make, "doc_id long, id long, size long, sign long, fp long, near array<long>")
 
 
 def _text_id(text: bytes) -> int:
@@ -139,6 +141,15 @@ def candidate_links(texts: DataFrame, most_bits: int = 15) -> DataFrame:
     return found.select(F.least("id", "hub").alias("u"), F.greatest("id", "hub").alias("v")).distinct()
 
 
+def sign_links(texts: DataFrame) -> DataFrame:
+    """texts(id, sign) -> (u, v), whose components are those of the texts at two or fewer differing bits of their SimHash fingerprints."""
+    hubs = cut(texts.groupBy("sign").agg(F.min("id").alias("hub")))
+    same = spread_join(texts.select("id", "sign"), hubs, "sign").where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v"))
+    ends = [hubs.select(F.col("sign").alias(end), F.col("hub").alias(f"{end}_hub")) for end in ("u", "v")]
+    near = linked_pairs(hubs.select(F.col("sign").alias("fp"))).join(ends[0], "u").join(ends[1], "v")
+    return same.union(near.select(F.least("u_hub", "v_hub").alias("u"), F.greatest("u_hub", "v_hub").alias("v"))).distinct()
+
+
 def _clusters(edges: DataFrame, one_task: int = 0) -> DataFrame:
     """edges(u, v) -> (id, root) of every text with a link. Each text's least partner is followed first, which leaves few links to the general method."""
     if one_task:
@@ -304,8 +315,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, block_
     """
     named = docs.where("doc_id is not null")
     drawn = cut(sketches(named, width))
-    texts = cut(drawn.groupBy("id").agg(F.min(F.struct("doc_id", "size", "fp", "near")).alias("s")).select("id", F.col("s.doc_id").alias("doc_id"), "s.size", "s.fp", "s.near"))
-    edges = cut(candidate_links(texts))
+    texts = cut(drawn.groupBy("id").agg(F.min(F.struct("doc_id", "size", "sign", "fp", "near")).alias("s")).select("id", F.col("s.doc_id").alias("doc_id"), "s.size", "s.sign", "s.fp", "s.near"))
+    edges = cut(sign_links(texts).union(candidate_links(texts)).distinct())
     asked = texts.select("doc_id", "id").join(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
     linked = link_clusters(texts, edges, texts_of(named, cut(asked), _text_id), similarity, width, block_bytes)
     rooted = texts.select("id", "doc_id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
