@@ -214,6 +214,26 @@ def test_near_copies_of_odd_and_no_rows(docs, empty):
     assert similar.near_copies(empty).count() == 0 and similar.keep_first(empty).count() == 0
 
 
+def test_a_worker_gives_its_memory_back():
+    import pathlib
+
+    import pyarrow as pa
+
+    from tideloom.llm.common import giving_back
+
+    def held():
+        return int(re.search(r"VmRSS:\s+(\d+)", pathlib.Path("/proc/self/status").read_text())[1]) // 1024
+
+    def run(batches):
+        for n in batches:
+            large = pa.array([bytes(1000)] * n)
+            yield pa.record_batch([pa.array([len(large)])], names=["n"])
+
+    before = held()
+    assert [b.column(0)[0].as_py() for b in giving_back(run)(iter([300_000, 10]))] == [300_000, 10]
+    assert held() < before + 60
+
+
 # --- op2
 
 

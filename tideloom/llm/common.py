@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -43,6 +44,19 @@ def binary(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker returns the memory that it no longer uses to the system: an idle worker counts with its executor."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def map_batches(frame: DataFrame, make: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
     """mapInArrow for a function of one batch."""
 
@@ -54,7 +68,7 @@ def map_batches(frame: DataFrame, make: Callable[[pa.RecordBatch], Iterable[pa.R
             else:
                 yield from made
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(giving_back(run), schema)
 
 
 def bitmap(hashes: DataFrame, most_bits: int = 26) -> np.ndarray:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideloom.llm.common import giving_back
 
 PIECE = 8192
 LEVEL = 5
@@ -64,7 +65,7 @@ def fit(labelled: DataFrame, rows_per_language: int = 400, dictionary_bytes: int
     texts: dict[str, list[bytes]] = {}
     if ids:
         chosen = usable.where(F.col("doc_id").isin(ids)).select(F.col("doc_id").cast("string"), "lang", "text")
-        for r in chosen.mapInArrow(parts, "id string, lang string, part binary").distinct().orderBy("lang", "id", "part").toLocalIterator():
+        for r in chosen.mapInArrow(giving_back(parts), "id string, lang string, part binary").distinct().orderBy("lang", "id", "part").toLocalIterator():
             texts.setdefault(r["lang"], []).append(bytes(r["part"]))
     return {lang: _content(found, dictionary_bytes) for lang, found in texts.items()}
 
@@ -115,7 +116,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float
     plain = docs.select(docs["text"].alias("__text"), *carried)
     fields = [T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(plain.schema.fields[1:])]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    found = plain.mapInArrow(make, schema)
+    found = plain.mapInArrow(giving_back(make), schema)
     return found.toDF(*plain.columns[1:], "lang_pred", "score", "rejected")
 
 

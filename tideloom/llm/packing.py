@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tideloom.llm.common import binary, word_chunks
+from tideloom.llm.common import binary, giving_back, word_chunks
 
 MARK = b"\x01"
 _TAIL = b".,;:!?&*#$%|)"
@@ -246,4 +246,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
         close()
         yield flush()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, schema)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(giving_back(run), schema)
