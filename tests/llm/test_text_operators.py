@@ -575,6 +575,27 @@ def test_pieces_cover_every_id_once(docs, vocabulary):
     assert packing.pack(docs.where("false"), vocabulary).count() == 0
 
 
+def test_windows_are_counted_before_they_are_filled(monkeypatch):
+    """Window counts that do not fit are found by sums alone; which piece lies where is followed once."""
+    rng, tried, place = random.Random(17), [], packing.difference
+    monkeypatch.setattr(packing, "difference", lambda lengths, windows: tried.append(windows) or place(lengths, windows))
+    for _ in range(30):
+        lengths = [rng.randrange(0, 101) for _ in range(rng.randrange(1, 120))]
+        for windows in (1, 2, 7, len(lengths)):
+            assert packing.fullest(lengths, windows) == max(np.bincount(place(lengths, windows), weights=lengths, minlength=windows))
+        tried.clear()
+        assert max(np.bincount(packing.windows_for(lengths, 100), weights=lengths)) <= 100 and len(tried) == 1
+
+
+def test_an_encoder_keeps_first_words_between_tasks(vocabulary, monkeypatch):
+    monkeypatch.setattr(packing, "_KEPT_WORDS", 3)
+    encoder, text = packing.encoder_of(vocabulary), b"some words, met again: some others."
+    assert packing.encoder_of(vocabulary) is encoder
+    before = encoder.texts([text])
+    encoder.rest()
+    assert len(encoder.known) == 3 and encoder.texts([text]) == before == packing.WordEncoder(vocabulary).texts([text])
+
+
 # --- op7
 
 BASE = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")

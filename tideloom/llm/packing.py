@@ -16,6 +16,7 @@ Null text gives the end id alone. Repeated rows are packed once each. No rows gi
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
 import re
@@ -23,6 +24,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ MARK = b"\x01"
 _TAIL = b".,;:!?&*#$%|)"
 _CACHED_WORD = 64
 _CACHE_WORDS = 1_000_000
+_KEPT_WORDS = 150_000
 _STEP_BYTES = 1_000_000
 
 
@@ -77,6 +80,10 @@ class WordEncoder:
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.known: dict[bytes, bytes] = {}
 
+    def rest(self) -> None:
+        """Between tasks only the words met first are kept, which are the frequent ones, and with them the least memory."""
+        self.known = dict(islice(self.known.items(), _KEPT_WORDS))
+
     def _encode(self, words: list[bytes]) -> list[bytes]:
         """The words' ids. Words of Latin letters only, which normaliser and splitter leave as they are, go
         straight to the merges; the others are encoded as one text with a mark between words, and words
@@ -117,20 +124,34 @@ class WordEncoder:
 
     def _plain_texts(self, texts: list[bytes]) -> list[bytes]:
         parts = [list(word_chunks(t.lower())) for t in texts]
-        every = set().union(*[words for chunks in parts for words in chunks])
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > _CACHE_WORDS:
-            self.known, new = {}, every
-        here = dict(self.known) if any(len(w) > _CACHED_WORD for w in new) else self.known
-        cut = {w: _core(w) for w in new}
-        order = sorted({p for halves in cut.values() for p in halves}.difference(here))
+        look = self.known.get
+        found = [[list(map(look, words)) for words in chunks] for chunks in parts]
+        open_lists = [(i, k) for i, lists in enumerate(found) for k, ids in enumerate(lists) if None in ids]
+        fresh = self._new_words({w for i, k in open_lists for w, ids in zip(parts[i][k], found[i][k], strict=True) if ids is None})
+        for i, k in open_lists:
+            found[i][k] = [fresh[w] if ids is None else ids for w, ids in zip(parts[i][k], found[i][k], strict=True)]
+        return [b"".join([b"".join(ids) for ids in lists]) for lists in found]
+
+    def _new_words(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not known yet, and of their halves. Short ones are known from now on."""
+        cut = {w: halves for w in new if w[-1] in _TAIL and len(halves := _core(w)) == 2}
+        order = sorted(new.difference(cut).union(*cut.values()).difference(self.known))
+        fresh: dict[bytes, bytes] = {}
         for at in range(0, len(order), 4096):
             some = order[at : at + 4096]
-            here.update(zip(some, self._encode(some), strict=True))
-        here.update((w, here[halves[0]] + here[halves[1]]) for w, halves in cut.items() if len(halves) == 2)
-        if here is not self.known:
-            self.known.update((w, here[w]) for w in [*order, *new] if len(w) <= _CACHED_WORD)
-        return [b"".join([b"".join(map(here.__getitem__, words)) for words in chunks]) for chunks in parts]
+            fresh.update(zip(some, self._encode(some), strict=True))
+        for w, (core, tail) in cut.items():
+            fresh[w] = (fresh.get(core) or self.known[core]) + (fresh.get(tail) or self.known[tail])
+        if len(self.known) + len(fresh) > _CACHE_WORDS:
+            self.known = {}
+        self.known.update(item for item in fresh.items() if len(item[0]) <= _CACHED_WORD)
+        return fresh
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder a worker, for all its tasks."""
+    return WordEncoder(path)
 
 
 def difference(lengths: list[int], windows: int) -> list[int]:
@@ -165,6 +186,20 @@ def difference(lengths: list[int], windows: int) -> list[int]:
     return owner[:n].tolist()
 
 
+def fullest(lengths: list[int], windows: int) -> int:
+    """The fullest window that difference() comes to. The same merges, of the filled windows' sums alone, in ascending order."""
+    heap = [(-length if windows > 1 else 0, j, np.array([length], dtype=np.int64)) for j, length in enumerate(lengths)]
+    heapq.heapify(heap)
+    for seq in range(len(lengths), 2 * len(lengths) - 1):
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heap[0]
+        both = max(0, len(a) + len(b) - windows)  # windows filled in either
+        sums = np.concatenate((a[:both] + b[:both][::-1], a[both:], b[both:]))
+        sums.sort()
+        heapq.heapreplace(heap, (int(sums[0] if len(sums) == windows else 0) - int(sums[-1]), seq, sums))
+    return int(heap[0][2][-1]) if heap else 0
+
+
 def windows_for(lengths: list[int], capacity: int) -> list[int]:
     """The window of each length; as few windows as differencing fits into the capacity."""
     if not lengths:
@@ -172,12 +207,9 @@ def windows_for(lengths: list[int], capacity: int) -> list[int]:
     if max(lengths) > capacity:
         raise ValueError("a piece is longer than the capacity")
     count = max(1, -(-sum(lengths) // capacity))
-    while True:
-        found = difference(lengths, count)
-        over = int(np.bincount(found, weights=lengths, minlength=count).max()) - capacity
-        if over <= 0:
-            return found
+    while (over := fullest(lengths, count) - capacity) > 0:
         count = min(len(lengths), count + max(1, count * over // (8 * capacity)))
+    return difference(lengths, count)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group_pieces: int = 1024, keep_ids: bool = False) -> DataFrame:
@@ -193,7 +225,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         next_sequence = TaskContext.get().partitionId() << 40
         waiting: list[tuple] = []
         out: list[tuple] = []
@@ -244,6 +276,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
                         yield flush()
                 at = to
         close()
+        encoder.rest()
         yield flush()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(giving_back(run), schema)
