@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tideloom.llm import digests, extraction, htmlblocks, langid, lm, mixing, packing, pii, quality, queries, sharding, similar, simhash
+from tideloom.llm import components, digests, extraction, htmlblocks, langid, lm, mixing, packing, pii, quality, queries, sharding, similar, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, cell long, key long, rank int, bucket int"
 
@@ -172,6 +172,19 @@ def test_clusters_of_many_blocks_equal_all_pairs(spark, block_bytes):
     assert found == slow_copies(rows)
 
 
+def test_small_link_graphs_take_no_rounds(spark, monkeypatch):
+    """Three graphs of links, of which one count each is taken; by rounds, which larger graphs take, the components are the same."""
+    rng, passage = random.Random(8), words(random.Random(9), 150, 5000)
+    texts = edited_texts(3, 3, 30) + [passage + " " + words(rng, rng.randrange(20, 60), 5000) for _ in range(40)]
+    rows, counted, signature = list(enumerate(texts)), [], components._signature
+    monkeypatch.setattr(components, "_signature", lambda edges: counted.append(1) or signature(edges))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small = {r.doc_id: r.component_id for r in similar.near_copies(docs, block_bytes=3_000).collect()}
+    assert len(counted) == 3
+    rounds = {r.doc_id: r.component_id for r in similar.near_copies(docs, block_bytes=3_000, one_task=10).collect()}
+    assert len(counted) > 9 and small == rounds == slow_copies(rows)
+
+
 @pytest.mark.parametrize("share", [0.3, 0.6, 0.85])
 def test_pairs_behind_a_hot_passage_are_found(spark, share):
     """Every text holds one passage, so its keys are crowded; pairs at a similarity just over 0.8 must still meet."""

@@ -41,10 +41,10 @@ from pyspark.sql import functions as F
 
 from tideloom.functions.cuts import cut
 from tideloom.llm.common import binary, map_batches, only, spread_join, word_chunks
+from tideloom.llm.components import SMALL_GRAPH
 from tideloom.llm.similar import link_clusters, texts_of
 
 CROWD = 8
-SMALL_GRAPH = 250_000  # links that one task joins
 DENSE_BITS = 512
 BAND_MASK = 127  # the low bits of a key name its band
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from tideloom.functions.cuts import cut
 from tideloom.llm.common import binary, bitmap, map_batches, only, spread_join, word_chunks
-from tideloom.llm.components import component_stars
+from tideloom.llm.components import SMALL_GRAPH, component_stars
 from tideloom.llm.simhash import fingerprint, keep_documents, linked_pairs, ring_masks
 
 SEGMENTS, SEGMENT = 21, 3
@@ -265,7 +265,7 @@ def link_clusters(texts: DataFrame, edges: DataFrame, whole: DataFrame, similari
         return _linked_pairs(members, exact, linked, whole, meet, similarity, width, one_task)
     unmet = _unmet(members, linked, block_bytes)
     if unmet is not None:
-        linked = component_stars(exact.union(_linked(unmet, whole, ["root", "asked", "block"], similarity, width)))
+        linked = component_stars(exact.union(_linked(unmet, whole, ["root", "asked", "block"], similarity, width)), one_task)
     return linked
 
 
@@ -307,18 +307,20 @@ def texts_of(docs: DataFrame, ids: DataFrame, text_id: Callable[[bytes], int]) -
     return map_batches(named, make, "id long, text string").join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, block_bytes: int = 2_000_000) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, block_bytes: int = 2_000_000, one_task: int = SMALL_GRAPH) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, id, component_id, root): the text's id, the smallest doc_id reachable over links of
     `similarity` or more, and the group's own id. Rows without a doc_id are left out.
 
-    Texts are told apart by 64 bits of their words' digest and never by doc_id, which may stand for several.
+    Texts are told apart by 64 bits of their words' digest and never by doc_id, which may stand for several. Up to
+    `one_task` candidate links are joined in one task each time; more go by rounds, with the same result.
     """
     named = docs.where("doc_id is not null")
     drawn = cut(sketches(named, width))
     texts = cut(drawn.groupBy("id").agg(F.min(F.struct("doc_id", "size", "sign", "fp", "near")).alias("s")).select("id", F.col("s.doc_id").alias("doc_id"), "s.size", "s.sign", "s.fp", "s.near"))
     edges = cut(sign_links(texts).union(candidate_links(texts)).distinct())
+    small = one_task if edges.count() <= one_task else 0
     asked = texts.select("doc_id", "id").join(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi")
-    linked = link_clusters(texts, edges, texts_of(named, cut(asked), _text_id), similarity, width, block_bytes)
+    linked = link_clusters(texts, edges, texts_of(named, cut(asked), _text_id), similarity, width, block_bytes, one_task=small)
     rooted = texts.select("id", "doc_id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return spread_join(drawn.select("doc_id", "id"), rooted.select("id", "root").join(least, "root"), "id").select("doc_id", "id", "component_id", "root")
