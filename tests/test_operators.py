@@ -363,6 +363,34 @@ def test_last_distinct_items_before_a_case(spark, seed):
     assert {tuple(r) for r in found} == expected
 
 
+def test_last_items_where_both_sides_lie_by_user(spark):
+    """Cases and events come from windows by user, whose partitions Spark coalesces by their sizes."""
+    from tideloom.operators import asof, splits
+
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b"}
+    before = {k: spark.conf.get(k) for k in settings}
+    labelled = splits.leave_one_out(spark.range(6_000).selectExpr("id AS event_id", "id % 200 AS user_id", "crc32(string(id)) % 9 AS item_id", "id div 200 AS ts"))
+    odd = labelled.limit(0).union(spark.createDataFrame([(-1, None, 1, 3, "train"), (-2, 7, 1, None, "train")], labelled.schema))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        cases = labelled.where("split = 'test'").select("event_id", "user_id", "ts")
+        found = {tuple(r) for r in asof.sources_of(cases, labelled.where("split <> 'test'"), 3).collect()}
+        with_odd = {tuple(r) for r in asof.sources_of(cases.union(odd.select("event_id", "user_id", "ts")), labelled.where("split <> 'test'").union(odd), 3).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows, expected = labelled.collect(), set()
+    for case in (r for r in rows if r.split == "test"):
+        latest = {}
+        for r in rows:
+            if r.user_id == case.user_id and r.ts < case.ts:
+                latest[r.item_id] = max(latest.get(r.item_id, -1), r.ts)
+        expected |= {(case.event_id, i, n + 1) for n, i in enumerate(sorted(latest, key=latest.get, reverse=True)[:3])}
+    assert found == expected and len(found) == 600
+    assert with_odd == expected
+
+
 def test_late_rows_are_left_out_of_a_stream(spark, tmp_path):
     from tideloom.streaming import transitions as streams
 

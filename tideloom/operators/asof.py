@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideloom.functions.cuts import cut
+from tideloom.functions.deal import together
 from tideloom.operators.graph import GAP_BUCKETS, strict_transitions
 from tideloom.operators.prep import numbered
 from tideloom.operators.sequences import gap_bucket
@@ -38,11 +39,12 @@ def sources_of(cases: DataFrame, events: DataFrame, most: int) -> DataFrame:
     """The last distinct items of each case's user strictly before it, newest first: (event_id, source_id, recency).
 
     One pass over cases and events in the order of each user's times, which holds the user's last `most`
-    distinct items: no case meets a user's history, however many cases a user has.
+    distinct items: no case meets a user's history, however many cases a user has. Rows without a user or time meet nothing.
     """
     past = events.select("user_id", "ts", F.lit(1).alias("kind"), F.col("event_id").cast("long").alias("event_id"), F.col("item_id").cast("long").alias("item_id"))
     asked = cases.select("user_id", "ts", F.lit(0).alias("kind"), F.col("event_id").cast("long").alias("event_id"), F.lit(None).cast("long").alias("item_id"))
-    ordered = past.union(asked).repartition("user_id").sortWithinPartitions("user_id", "ts", "kind", "event_id")
+    whole = past.union(asked).where("user_id is not null and ts is not null")
+    ordered = together(whole, "user_id").sortWithinPartitions("user_id", "ts", "kind", "event_id")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         user, held = None, {}

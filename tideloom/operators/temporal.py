@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideloom.functions.cuts import cut
+from tideloom.functions.deal import together
 
 USER, ITEM = 0, 1
 
@@ -112,7 +113,7 @@ def _fold(sliced: DataFrame, encoder: Encoder, kind: int) -> DataFrame:
             held = (int(node[-1]), state[-1].copy(), int(before[-1] + counts[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int32)), pa.array(node), batch.column(2), pa.array(seq), pa.array(list(after), pa.list_(pa.float64()))], names=["kind", "id", "ts", "seq", "vec"])
 
-    ordered = sliced.repartition("node").sortWithinPartitions("node", "ts", "other").select("node", "other", "ts", "own", "met")
+    ordered = together(sliced, "node").sortWithinPartitions("node", "ts", "other").select("node", "other", "ts", "own", "met")
     return ordered.mapInArrow(run, "kind int, id long, ts long, seq long, vec array<double>")
 
 
