@@ -43,3 +43,13 @@ def test_rows_under_the_watermark_and_open_rows(spark, tmp_path):
     found = _drain(spark, tmp_path, [first, then, late])
     assert found == [(1, 10, 11, 0, 60, 60)]
     assert _drain(spark, f"{tmp_path}/again", [first, then, late, [(2, 1, 90_000, 7)]]) == [(1, 10, 11, 0, 60, 60), (1, 11, 14, 60, 19_000, 18_940), (1, 14, 12, 19_000, 20_000, 1_000)]
+
+
+def test_an_event_at_the_end_of_a_session_begins_another(spark, tmp_path):
+    times = [(1, 0), (1, 1799), (1, 1799 + 1800), (2, 5), (2, 5 + 1800), (3, 10**6)]  # the last closes what is before it
+    spark.createDataFrame(times, "user_id long, ts long").selectExpr("user_id", "timestamp_seconds(ts) AS event_time").coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    read = spark.readStream.schema("user_id long, event_time timestamp").parquet(f"{tmp_path}/in/*")
+    query = streams.stream_sessions(read).writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out").selectExpr("user_id", "unix_seconds(session_start)", "unix_micros(session_end) / 1e6", "events").collect()
+    assert sorted(map(tuple, found)) == [(1, 0, 3599.0, 2), (1, 3599, 5399.0, 1), (2, 5, 1805.0, 1), (2, 1805, 3605.0, 1)]
