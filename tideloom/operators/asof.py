@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tideloom.functions.cuts import cut
 from tideloom.functions.deal import together
+from tideloom.operators.asof_edges import edges_before
 from tideloom.operators.graph import GAP_BUCKETS, strict_transitions
 from tideloom.operators.prep import numbered
 from tideloom.operators.sequences import gap_bucket
@@ -118,39 +119,19 @@ def all_before(asked: DataFrame, rows: DataFrame, name: str) -> DataFrame:
 SCORES = ("support", "transition_probability", "lift", "pmi")
 
 
-def _edges_before(met: DataFrame, moves: DataFrame) -> DataFrame:
-    """met(event_id, source_id, target_id, ts) with the edge's support, last time and gaps by bucket before ts. One sorted pass."""
-    keys = ["source_id", "target_id"]
-    gaps = [F.count_if(F.col("bucket") == b).alias(f"gap_{b}") for b in GAP_BUCKETS]
-    steps = moves.groupBy(*keys, "ts").agg(F.count("*").alias("support"), *gaps).withColumn("event_id", F.lit(None).cast("long"))
-    asked = met.select(*keys, "ts", F.lit(0).cast("long").alias("support"), *[F.lit(0).cast("long").alias(f"gap_{b}") for b in GAP_BUCKETS], "event_id")
-    w = Window.partitionBy(*keys).orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    summed = ["support", *[f"gap_{b}" for b in GAP_BUCKETS]]
-    last = F.max(F.when(F.col("event_id").isNull(), F.col("ts"))).over(w)
-    both = steps.unionByName(asked)
-    return both.select("event_id", *keys, last.alias("last_ts"), *[F.sum(c).over(w).alias(c) for c in summed]).where("event_id is not null and support > 0")
-
-
-def scored_edges(cases: DataFrame, labelled: DataFrame, source_items: int = 20) -> DataFrame:
+def scored_edges(cases: DataFrame, labelled: DataFrame, source_items: int = 20, best: tuple[str, int] | None = None, asks_a_slice: int = 10_000, edges_a_task: int = 500_000) -> DataFrame:
     """What was known of each edge of a case's sources strictly before the case.
 
     (event_id, source_id, target_id, support, transition_probability, lift, pmi, last_ts, gap_*). lift is the edge's
-    probability over the target's share of all transitions so far; pmi is its logarithm.
+    probability over the target's share of all transitions so far; pmi is its logarithm. With best = (score, number), only
+    the best edges of each source, which are all that merged_candidates() takes. See edges_before() for what a task holds.
     """
-    labelled = cut(labelled.select("event_id", "user_id", "item_id", "ts", "split"))
-    strict = strict_transitions(labelled.where("split = 'train'"))
-    moves = cut(strict.select("source_id", "target_id", F.col("target_ts").alias("ts"), gap_bucket(F.col("target_ts") - F.col("source_ts")).alias("bucket")))
+    strict = strict_transitions(labelled.where("split = 'train'").select("event_id", "user_id", "item_id", "ts"))
+    bucket = F.array_position(F.array(*[F.lit(b) for b in GAP_BUCKETS]), gap_bucket(F.col("target_ts") - F.col("source_ts"))) - 1
+    moves = cut(strict.select("source_id", "target_id", F.col("target_ts").alias("ts"), bucket.cast("long").alias("bucket")))
     timed = cut(sources_of(cases, labelled.where("split <> 'test'"), source_items).join(cases.select("event_id", "ts"), "event_id"))
-    first = moves.groupBy("source_id", "target_id").agg(F.min("ts").alias("__first"))
-    met = cut(timed.join(first, "source_id").where("__first < ts").select("event_id", "source_id", "target_id", "ts"))
-    known = _edges_before(met, moves)
-    sources = counts_before(timed.select("event_id", "source_id", "ts"), moves, ["source_id"], "source_count")
-    targets = counts_before(met.select("event_id", "target_id", "ts").distinct(), moves, ["target_id"], "target_count")
-    total = all_before(cases.select("event_id", "ts"), moves, "total")
-    joined = known.join(sources, ["event_id", "source_id"]).join(targets, ["event_id", "target_id"]).join(total, "event_id")
-    share = F.col("support") / F.col("source_count")
-    lift = share / (F.col("target_count") / F.col("total"))
-    return joined.select("event_id", "source_id", "target_id", "support", share.alias("transition_probability"), lift.alias("lift"), F.log(lift).alias("pmi"), "last_ts", *[f"gap_{b}" for b in GAP_BUCKETS])
+    found = edges_before(timed, moves, best, asks_a_slice, edges_a_task)
+    return found.select("event_id", "source_id", "target_id", "support", "transition_probability", "lift", F.log("lift").alias("pmi"), "last_ts", *[f"gap_{b}" for b in GAP_BUCKETS])
 
 
 def merged_candidates(edges: DataFrame, score: str = "transition_probability", merge: str = "max", per_source: int = 50) -> DataFrame:

@@ -22,8 +22,8 @@ scored AS (
   FROM known JOIN outgoing USING (event_id, source_id) JOIN incoming USING (event_id, target_id) JOIN alltime USING (event_id))"""
 
 
-def _edges(spark, folder):
-    return asof.scored_edges(test_cases(spark, folder), split_events(spark, folder))
+def _edges(spark, folder, best=None):
+    return asof.scored_edges(test_cases(spark, folder), split_events(spark, folder), best=best)
 
 
 @register(
@@ -61,7 +61,7 @@ def _register(score: str, merge: str) -> None:
     @register(f"asof_{score}_{merge}", sql.query(sql.EVENTS, sql.SPLIT, sql.CASES, sql.RETRIEVAL, _BEFORE, select=_merged_sql(column, merge, 5)))
     def _(spark, folder):
         """The five best edges of each source, so that the order of ties shows."""
-        return rounded(asof.merged_candidates(_edges(spark, folder), score, merge, 5))
+        return rounded(asof.merged_candidates(_edges(spark, folder, (score, 5)), score, merge, 5))
 
 
 for _score in (*asof.SCORES, "within_1w"):
