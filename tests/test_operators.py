@@ -561,3 +561,26 @@ def test_command_line_lists_queries(capsys):
     from tideloom.__main__ import main
 
     assert main(["list"]) == 0 and "tdig_edges" in capsys.readouterr().out.split()
+
+
+@pytest.mark.parametrize("block", [16_000_000, 300])
+def test_bm25_equals_its_sql_on_odd_rows(spark, tmp_path, block):
+    """Repeated and null ids, null and empty texts, many equal scores, in one block and in many."""
+    import duckdb
+
+    from tideloom.operators import rank
+    from tideloom.plans import registry
+
+    rng = random.Random(block)
+    docs = [(i // 2 if i < 12 else i, " ".join(rng.choice("Ab b! c d-e f1 g".split()) for _ in range(rng.randrange(1, 9)))) for i in range(90)]
+    docs += [(i, "a same text") for i in range(200, 230)] + [(None, "a b c"), (None, "c"), (300, None), (301, ""), (3, None)]
+    asked = [(1, "a b b"), (2, "same c"), (3, "nothing here"), (4, "e f1"), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    queries, documents = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("benchmark", "documents"))
+    found = rank.bm25_top_k(queries.withColumnRenamed("item_id", "query_id"), documents, 10, query_block=2 if block == 300 else 512, block_bytes=block).select("query_id", "doc_id", "score", "rank")
+    with duckdb.connect() as link:
+        for n in ("benchmark", "documents"):
+            link.execute(f"CREATE VIEW {n} AS SELECT * FROM '{tmp_path}/{n}.parquet/*.parquet'")
+        expected = sorted(link.execute(registry.oracle_sql()["bm25_topk"]).fetchall())
+    assert sorted(map(tuple, found.collect())) == expected and len(expected) >= 30

@@ -24,8 +24,7 @@ s AS (SELECT query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * t
 @register("bm25_topk", sql.query(_BM25, select="SELECT query_id, doc_id AS item_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s QUALIFY rank <= 10"))
 def _(spark, folder):
     queries = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scored = rank.bm25(queries, table(spark, folder, "documents").select("doc_id", "text")).select("query_id", F.col("doc_id").alias("item_id"), F.round("score", 6).alias("score"))
-    return rank.top_k(scored, ["query_id"], 10)
+    return rank.bm25_top_k(queries, table(spark, folder, "documents"), 10).withColumnRenamed("doc_id", "item_id")
 
 
 _POP = "pop AS (SELECT item_id, count(*) AS n FROM loo WHERE split = 'train' GROUP BY 1)"
