@@ -97,3 +97,14 @@ def test_scores_equal_all_pairs(spark):
     pool = cases.select("event_id").crossJoin(items.where("place % 2 = 0").select("place"))
     for r in attention.score_pool(pool, cases, items, w).collect():
         assert r.score == pytest.approx(0.0 if r.event_id == 99 else truth[r.event_id][r.place - 1])
+
+
+def test_a_vector_is_sent_once_a_block(spark):
+    blocks = attention.training_blocks(example_table(spark, 2_000).repartition(3), LENGTH)
+    rows = blocks.collect()
+    assert len(rows) == 3 and sum(len(r.widths) // 4 for r in rows) == 2_000  # the example without negatives is left out
+    assert sum(len(r.unique) for r in rows) <= 3 * (ITEMS + 1)  # and not 2,000 x 8
+    odd = spark.createDataFrame([(1, [0, 0, 7]), (2, [None, 9, 7, 3]), (3, None)], "event_id long, places array<long>").coalesce(1)
+    r = attention.packed(odd).first()
+    places = np.r_[0, r.unique][np.frombuffer(r.local, np.int32)]
+    assert places.tolist() == [0, 0, 7, 0, 9, 7, 3] and np.frombuffer(r.widths, np.int32).tolist() == [3, 4] and np.frombuffer(r.events, np.int64).tolist() == [1, 2]
